@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sigscan.llm.decontam import decontaminate, digest_rows
+from sigscan.llm.simhash import simhash_components
 from sigscan.llm.tokens import token_output
+from sigscan.llm.warc import warc_round_trip
 from sigscan.session import table
 
 
@@ -15,12 +19,56 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_rows(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op5_warc": op5_warc,
+    "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, array_to_string(list_slice(w, k, k + 12), ' ') AS s, least(13, len(w)) AS n
+            FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM b WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        places AS (
+            SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lengths WHERE len(w) >= n)),
+        found AS (SELECT r, k, p.n AS n, item FROM places p JOIN windows v ON p.s = v.s AND p.n = v.n),
+        words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM (SELECT DISTINCT r, k, n FROM found)) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+        s AS (SELECT page_id, CAST(octet_length(h) AS BIGINT) AS n, sha256(h) AS d FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM s)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM f""",
+}
