@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigscan.llm import langid, quality, toxicity
+from sigscan.llm.common import crc_mod
 from sigscan.llm.decontam import decontaminate, digest_rows
+from sigscan.llm.embeddings import near_vectors
+from sigscan.llm.mixing import mix
 from sigscan.llm.simhash import simhash_components
+from sigscan.llm.tokencount import count_tokens
 from sigscan.llm.tokens import token_output
 from sigscan.llm.warc import warc_round_trip
 from sigscan.session import table
@@ -23,6 +28,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_rows(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _held_out(n: int, rest: int):
+    return F.coalesce(crc_mod(F.col("doc_id"), n) == rest, F.lit(False)).alias("held_out")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -36,11 +59,32 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", _held_out(3, 1), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mix": op2_mix,
+    "op3_quality": op3_quality,
+    "op4_near_vectors": op4_near_vectors,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
+    "op8_token_counts": op8_token_counts,
+    "op9_language": op9_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -63,6 +107,33 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op2_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          md5(concat_ws('|', CAST(doc_id AS VARCHAR), text)) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CAST(list_extract([5, 2, 1], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1) AS DOUBLE) AS weight, 2.0 * source_size::DOUBLE AS cap FROM s),
+        o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+                     coalesce(sum(cap) OVER q, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS open
+              FROM w WINDOW q AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT *, (total - used) / open AS level FROM o),
+        m AS (SELECT first(level ORDER BY cap / weight, source NULLS LAST) AS level FROM l WHERE weight * level <= cap),
+        t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM m) IS NULL THEN cap ELSE least(cap, weight * (SELECT level FROM m)) END AS target FROM l),
+        p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM d)
+        SELECT doc_id, size, source_size, target,
+               greatest(0, least(size, CAST(round(target) AS BIGINT) - a)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - source_size - a)) AS taken
+        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source""",
+    "op4_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, label, len(embedding) AS n, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.r AS r, a.vec_id AS vec_id, b.r AS s, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND a.n = b.n AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT r, s, other FROM links UNION SELECT reach.r, links.s, links.other FROM reach JOIN links ON reach.s = links.r),
+        counts AS (SELECT r, vec_id, count(*) AS n FROM links GROUP BY r, vec_id),
+        least_ids AS (SELECT r, min(other) AS m FROM reach GROUP BY r),
+        known AS (SELECT vec_id, n, m FROM counts JOIN least_ids USING (r))
+        SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CASE WHEN m < e.vec_id THEN m ELSE e.vec_id END AS component_id, coalesce(m IS NULL OR m >= e.vec_id, false) AS kept
+        FROM embeddings e LEFT JOIN known ON e.vec_id = known.vec_id""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
         s AS (SELECT page_id, CAST(octet_length(h) AS BIGINT) AS n, sha256(h) AS d FROM p),
