@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from sigscan.llm.common import crc_mod, pieces
 from sigscan.session import ship
 
 #: Training rows and the bytes of a training text at most; documents that a word must be in to get a weight.
-MAX_ROWS, MAX_BYTES, LEAST_DOCS = 12_000, 16_384, 3
+MAX_ROWS, MAX_BYTES, LEAST_DOCS = 8_000, 16_384, 3
 #: Bytes of a longer word's start that count as its stems.
 STEMS = (4, 6)
 THRESHOLD = 0.5
@@ -97,30 +98,34 @@ class Model:
         return out
 
 
-def fit(bags: list[list[list[bytes]]], labels: np.ndarray, rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
-    """Noisy-or likelihood over bags of sentences, by Adam from log-odds starts. Weights of words that say little are dropped."""
-    n, pos = len(bags), float(labels.sum())
+def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
+    """Noisy-or likelihood over bags of sentences, by Adam from log-odds starts. Weights of words that say little are dropped.
+
+    Texts are split again in each pass, so that memory holds the candidates only.
+    """
+    n, pos = len(texts), float(labels.sum())
     if not n or pos in (0, n):
         return Model({}, 0.0)
-    seen: dict[bytes, list[float]] = {}
-    kept = []
-    for bag, y in zip(bags, labels, strict=True):
-        own = [_features(words) for words in bag]
-        kept.append(own)
-        for f in set().union(*own):
-            c = seen.setdefault(f, [0.0, 0.0])
-            c[int(y)] += 1
     neg = n - pos
+    toxic: Counter = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(set().union(*map(_features, sentences(text))))
+    toxic = Counter({f: c for f, c in toxic.items() if c >= LEAST_DOCS})
+    clean: Counter = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            clean.update(toxic.keys() & set().union(*map(_features, sentences(text))))
     # candidates: features that are clearly commoner in toxic documents
-    start = {f: math.log((b + 0.5) / (pos + 1)) - math.log((a + 0.5) / (neg + 1)) for f, (a, b) in seen.items() if b >= LEAST_DOCS}
+    start = {f: math.log((b + 0.5) / (pos + 1)) - math.log((clean[f] + 0.5) / (neg + 1)) for f, b in toxic.items()}
     names = sorted(f for f, v in start.items() if v > 1)
     if not names:
         return Model({}, 0.0)
     index = {f: k for k, f in enumerate(names)}
     doc, row, col, s = [], [], [], 0
-    for d, own in enumerate(kept):
-        for features in own:
-            hits = sorted(index[f] for f in features if f in index)
+    for d, text in enumerate(texts):
+        for words in sentences(text):
+            hits = sorted(index[f] for f in _features(words) if f in index)
             if hits:  # other sentences have no weight and add only the bias
                 row += [s] * len(hits)
                 col += hits
@@ -158,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, usable: Colu
     found = sample(docs, labels, "toxic", usable, rows).where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
     # copies of a document may share an id: what comes back is bounded too
     got = found.orderBy("doc_id", F.xxhash64("text"), "label").limit(rows).collect()
-    return fit([sentences(r.text.encode()) for r in got], np.array([int(r.label > 0) for r in got], int))
+    return fit([r.text.encode() for r in got], np.array([int(r.label > 0) for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, offending: bool = False) -> DataFrame:
