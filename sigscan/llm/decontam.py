@@ -121,6 +121,8 @@ class Judge:
         return self.size >= self.limit
 
     def verdicts(self) -> list[dict]:
+        if not self.counts:
+            return []
         counts = np.array(self.counts, np.int64)
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
         covered, found = np.zeros(len(owner), bool), {}
