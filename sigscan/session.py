@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Estimates from here on are guesses: plans without statistics report the largest number, joins of them products.
+_UNKNOWN = 1 << 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +78,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
-    """Number of partitions that hold about ``target_bytes`` of input each."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(max(cores, min(200_000, -(-plan_bytes(df) // target_bytes))))
+    """Number of partitions that hold about ``target_bytes`` of input each; the session's number where Catalyst has no estimate."""
+    spark = df.sparkSession
+    size = plan_bytes(df)
+    if size >= _UNKNOWN:
+        return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return int(max(spark.sparkContext.defaultParallelism, min(200_000, -(-size // target_bytes))))
 
 
 def ship(spark: SparkSession) -> None:
