@@ -38,6 +38,7 @@ from sigscan.session import shared_path, ship
 #: Words of a window; words of a shard; bytes of benchmark text in a block.
 WINDOW, SHARD_WORDS, BLOCK_BYTES = 13, 1 << 20, 8 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class Block:
@@ -146,7 +147,7 @@ def _character_spans(text: str, spans: list[tuple[int, int]]) -> list[dict]:
     """Word spans as character spans [start, end) of the text."""
     out, want = [], iter(spans)
     span, begin = next(want, None), 0
-    for k, m in enumerate(WORD.finditer(text)):
+    for k, m in enumerate(WORD.finditer(text.translate(_LOWER))):
         if span is None:
             break
         if k == span[0]:
@@ -260,7 +261,7 @@ def digest_rows(found: DataFrame) -> DataFrame:
 
 def brute_force(doc: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple:
     """The contract's columns for one document, by comparing every position with every window."""
-    fold = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    fold = lambda t: WORD.findall((t or "").translate(_LOWER))
     words, hit, names = fold(doc), set(), set()
     for item_id, text in items:
         own = fold(text)
