@@ -288,7 +288,7 @@ def test_links_within_two_bits_are_all_found(spark):
     fps = {int(s) for s in seeds}
     for s in seeds:
         for _ in range(6):
-            x = int(s)
+            x = int(s) % (1 << 64)
             for b in rng.choice(64, rng.integers(1, 4), replace=False):
                 x ^= 1 << int(b)
             fps.add(x - (1 << 64) if x >= 1 << 63 else x)
