@@ -87,7 +87,7 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.createDataFrame(written.collect(), "path string")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('good', 'ok'), ('bad_gzip', 'gzip_failed'), ('bad_tar', 'tar_failed')) t(name, status)")
 def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sound archive, one with a broken checksum, and one that holds no tar."""
     folder = shared_path(spark, "checked")
