@@ -31,7 +31,7 @@ from sigscan.llm.common import open_fs, pieces
 from sigscan.session import materialize, partitions_for, shared_path, ship
 
 #: Distinct white-space-free chunks that a worker keeps the ids of, and the longest that it keeps.
-CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 350_000, 64
 
 
 def _byte_alphabet() -> dict[int, str]:
