@@ -35,6 +35,8 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 #: The date of every record; archives of the same pages are then equal byte by byte.
 DATE = b"2000-01-01T00:00:00Z"
 _CHUNK = 1 << 18
+#: Most revisits (about 100 bytes each) that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _urn(page_id: int | None, tie: str = "") -> bytes:
@@ -124,17 +126,21 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_bytes: int = 16 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_bytes: int = 16 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``; one row (path, records) a file."""
     ship(pages.sparkSession)
     n = partitions_for(pages.select("page_id", "url", "html"), partition_bytes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    # which payloads repeat is decided from ids and digests; the payloads move once, evenly by page
+    # which payloads repeat is decided from ids and digests alone
     sums = keyed.where(F.octet_length("payload") >= min_bytes).select("page_id", "key", "digest")
     first = sums.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
-    again = sums.join(materialize(first, "repeated"), "digest").where("page_id is null or page_id <> first").groupBy("key", "digest").agg(F.min("first").alias("refers_to"))
-    marked = keyed.repartition(n, "key", "digest").join(again, ["key", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    again = materialize(sums.join(materialize(first, "repeated"), "digest").where("page_id is null or page_id <> first").groupBy("key", "digest").agg(F.min("first").alias("refers_to")), "revisits")
+    if again.count() <= broadcast_rows:
+        marked = keyed.join(F.broadcast(again), ["key", "digest"], "left")
+    else:  # the payloads move once, evenly by page
+        marked = keyed.repartition(n, "key", "digest").join(again.repartition(n, "key", "digest"), ["key", "digest"], "left")
+    marked = marked.select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches):
         from pyspark import TaskContext
