@@ -143,7 +143,7 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, partition_bytes: int = 16 << 20) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to files in ``folder``; one row (part, path, n_docs, n_ids) a file."""
     ship(docs.sparkSession)
-    n = partitions_for(docs.select("doc_id", "text"), partition_bytes)
+    n = partitions_for(docs, partition_bytes)  # of all columns: estimates of some count texts as 20 bytes
 
     def run(batches):
         from pyspark import TaskContext
