@@ -30,6 +30,8 @@ from sigscan.session import materialize, ship
 LEAST, CELL = 0.98, 4096
 #: Most pivots of all labels together: what is sent to executors is bounded by this many vectors.
 MAX_PIVOTS = 2048
+#: For rounding, which near a distance of 0 is the root of a double's; a replica too many costs time, never a link.
+EPS = 1e-6
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -78,15 +80,16 @@ def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
 
     def near(frames):
         for pdf in frames:
-            pivots, home, gap = sent.value, np.zeros(len(pdf), int), np.zeros(len(pdf))
             for space, at in pdf.groupby("space").indices.items():
-                if space in pivots:
-                    for i in range(0, len(at), 4096):
-                        d = _distance(_unit(np.stack(pdf["vector"].to_numpy()[at[i : i + 4096]]).astype(float)), pivots[space])
-                        home[at[i : i + 4096]], gap[at[i : i + 4096]] = d.argmin(1), d.min(1)
-            yield pd.DataFrame({"cell": pdf["space"] + "|" + pd.Series(home).astype(str), "gap": gap})
-
-    wide = {(r.cell): r.far for r in found.select("space", "vector").mapInPandas(near, "cell string, gap double").where("cell not like '%|0' or gap > 0").groupBy("cell").agg(F.max("gap").alias("far")).limit(2 * MAX_PIVOTS).collect()}
+                p = sent.value.get(space)  # a space without pivots is one cell and needs no radius
+                for i in range(0, len(at) if p is not None else 0, 4096):
+                    d = _distance(_unit(np.stack(pdf["vector"].to_numpy()[at[i : i + 4096]]).astype(float)), p)
+                    # every pivot that rounding may make the nearest; a gap of 0 is a radius too
+                    far = np.where(d <= d.min(1)[:, None] + EPS, d, -1.0).max(0)
+                    q = np.flatnonzero(far >= 0)
+                    yield pd.DataFrame({"cell": [f"{space}|{k}" for k in q], "gap": far[q]})
+
+    wide = {r.cell: r.far for r in found.select("space", "vector").mapInPandas(near, "cell string, gap double").groupBy("cell").agg(F.max("gap").alias("far")).collect()}
     radii = spark.sparkContext.broadcast(wide)
 
     def deal(frames):
@@ -101,9 +104,8 @@ def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
                     rows = part.iloc[i : i + 4096]
                     d = _distance(_unit(np.stack(rows["vector"].to_numpy()).astype(float)), p)
                     own = d.argmin(1)
-                    far = np.array([radii.value.get(f"{space}|{q}", -1.0) for q in range(len(p))])
-                    eps = 1e-9  # for rounding; a replica too many costs time, never a link
-                    go = (d <= d.min(1)[:, None] + 2 * radius + eps) & (d <= far[None, :] + radius + eps)
+                    far = np.array([radii.value.get(f"{space}|{q}", 0.0) for q in range(len(p))])
+                    go = (d <= d.min(1)[:, None] + 2 * radius + EPS) & (d <= far[None, :] + radius + EPS)
                     go[np.arange(len(rows)), own] = True
                     r, q = np.nonzero(go)
                     yield pd.DataFrame({"cell": [f"{space}|{k}" for k in q], "home": q == own[r], "nid": rows["nid"].to_numpy()[r], "vector": rows["vector"].to_numpy()[r], "copies": rows["copies"].to_numpy()[r]})

@@ -225,6 +225,17 @@ def test_near_vectors_equal_brute_force(spark, cell):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_cell_that_holds_only_its_pivot(spark):
+    """Uneven noise around one direction a label: outliers prefer a central pivot, so that an outlying pivot, the first one too, is alone in its cell."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(600):
+        c, noise = np.random.default_rng(k // 100).normal(size=32), rng.normal(size=32)
+        rows.append((k, (c / np.linalg.norm(c) + noise / np.linalg.norm(noise) * rng.choice([0.001, 0.15])).tolist(), k // 100))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted([tuple(r) for r in embeddings.near_vectors(df, cell=30).collect()], key=str)
+    assert got == sorted(brute_vectors(rows), key=str)
+
+
 def test_pivots_replicate_less_than_all_pairs(spark):
     """Tight clusters: the triangle inequality keeps a vector out of most cells."""
     rng = np.random.default_rng(2)
