@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sigscan.llm.common import LOWER_AZ, components, forest, pieces
 from sigscan.session import materialize, ship
@@ -145,23 +146,55 @@ def links(fps: DataFrame, radius: int = 2, lanes: int | None = None, tile: int =
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, lanes: int | None = None, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: documents whose fingerprints a chain of links joins share the least doc_id."""
+def _rooted(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, lanes: int | None = None, tile: int = TILE) -> DataFrame:
+    """(doc_id, fp, component_id, root) for every row; a root is a component's own, a component_id may be several's where a doc_id has several texts."""
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
     distinct = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius, lanes, tile))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialize(placed.join(least, "root").select(F.col("fp").alias("key"), "component_id"), "classes")
-    return prints.join(classes, prints.fp == classes.key, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes = materialize(placed.join(least, "root").select(F.col("fp").alias("key"), "component_id", "root"), "classes")
+    return prints.join(classes, prints.fp == classes.key, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "root")
+
+
+def simhash_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: documents whose fingerprints a chain of links joins share the least doc_id."""
+    return _rooted(docs, **options).drop("root")
+
+
+def _with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` and a column __fp."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                s = b.slice(i, 512)
+                fps = [fingerprint(t, words, seed) for t in s.column(at).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(fps, pa.int64())], [*s.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the least doc_id; rows without doc_id stay."""
-    found = materialize(simhash_components(docs, **options), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        return kept
-    whole = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(whole)
+    """The rows of ``docs`` that stay: one of each component, with its least doc_id; rows without doc_id stay.
+
+    Rows are told apart by doc_id and fingerprint: of a doc_id with several texts
+    each text stays or goes with its own component. Of several fingerprints that a
+    component has under its least doc_id the least stays; of rows with equal doc_id
+    and fingerprint any one.
+    """
+    found = materialize(_rooted(docs, **options), "components")
+    named, key = found.where("doc_id is not null"), docs["doc_id"].cast("long")
+    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    twice = materialize(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
+    if twice.isEmpty():
+        return docs.join(gone, key == gone["__id"], "left_anti")
+    # a doc_id alone says what to do with its row unless it is repeated; only rows that repeat one are read for fingerprints again
+    other = gone.union(twice).distinct()
+    once = docs.join(other, key == other["__id"], "left_anti")
+    stay = named.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.fp").alias("__print"))
+    again = _with_fingerprints(docs.join(twice, key == twice["__id"], "left_semi"), **{k: v for k, v in options.items() if k in ("words", "seed")})
+    again = again.join(stay, (again["doc_id"].cast("long") == stay["__stay"]) & (again["__fp"] == stay["__print"]), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "__fp"]).drop("__fp"))

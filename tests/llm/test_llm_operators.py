@@ -320,6 +320,16 @@ def test_simhash_dedup_keeps_one_of_each_group(spark):
     assert simhash.simhash_dedup(empty(spark)).count() == 0
 
 
+def test_simhash_dedup_by_row_where_ids_repeat(spark):
+    """A text goes with its own copies, not with another text under the same doc_id."""
+    a, b, c, d = (" ".join(random.Random(k).choices("one two three four five six".split(), k=80)) for k in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (5, c), (5, d), (6, d), (7, c), (7, c), (None, a)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, fp string").repartition(3)
+    kept = simhash.simhash_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (5, c), (5, d), (None, a)], key=str)
+
+
 # ---- 7, 8
 
 
