@@ -7,7 +7,8 @@ document labels alone. The trained model then scores each sentence, which
 locates the offending ones.
 
 Training reads a bounded sample of labelled rows: ``MAX_ROWS`` by hash of
-doc_id, texts of up to ``MAX_BYTES`` bytes. Scoring reads every whole text.
+doc_id, among those with texts of up to ``MAX_BYTES`` bytes. Scoring reads every
+whole text.
 
 Nulls, ties and odd texts: a null or wordless text has the score of an empty
 bag, 0; a null doc_id is scored and never learned from; labels that are null are
@@ -32,7 +33,7 @@ from sigscan.llm.common import crc_mod, pieces
 from sigscan.session import ship
 
 #: Training rows and the bytes of a training text at most; documents that a word must be in to get a weight.
-MAX_ROWS, MAX_BYTES, LEAST_DOCS = 8_000, 16_384, 3
+MAX_ROWS, MAX_BYTES, LEAST_DOCS = 12_000, 16_384, 3
 #: Bytes of a longer word's start that count as its stems.
 STEMS = (4, 6)
 THRESHOLD = 0.5
@@ -160,7 +161,11 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, usable: Column, rows
 def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, usable: Column | None = None) -> Model:
     """Fit on a bounded sample; ``usable`` says which rows may be learned from (by default crc32(doc_id) mod 5 is not 0)."""
     usable = crc_mod(F.col("doc_id"), 5) != 0 if usable is None else usable
-    found = sample(docs, labels, "toxic", usable, rows).where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
+    short = F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)
+    # rows are picked among those that can be learned from; only ids are shuffled for it
+    fits = docs.where(short).select(F.col("doc_id").cast("long").alias("__fit"))
+    labels = labels.join(fits, labels["doc_id"].cast("long") == fits["__fit"], "left_semi")
+    found = sample(docs, labels, "toxic", usable, rows).where(short)
     # copies of a document may share an id: what comes back is bounded too
     got = found.orderBy("doc_id", F.xxhash64("text"), "label").limit(rows).collect()
     return fit([r.text.encode() for r in got], np.array([int(r.label > 0) for r in got], int))

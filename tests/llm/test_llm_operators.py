@@ -161,6 +161,16 @@ def test_toxicity_held_out(spark, medium):
     assert all(r.predicted == int(r.score >= 0.5) and r.held_out == (crc(r.doc_id) % 5 == 0) for r in rows.values())
 
 
+def test_toxicity_picks_rows_that_can_be_learned(spark):
+    """Most labelled texts are too long to learn from: the sample is filled from the others."""
+    text = F.when(F.col("doc_id") >= 20, F.repeat(F.lit("plain words here. "), 1200)).otherwise(F.concat(F.when(F.col("doc_id") % 2 == 1, "you vile grub ").otherwise("you kind friend "), F.col("doc_id").cast("string")))
+    docs = spark.range(420).select(F.col("id").alias("doc_id")).withColumn("text", text)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels, rows=20, usable=F.lit(True))
+    assert {b"vile", b"grub"} <= set(model.weights)
+    assert {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()} == set(range(1, 20, 2))
+
+
 def test_classifiers_on_odd_rows(spark, medium):
     docs, labels = table(spark, medium, "documents"), table(spark, medium, "labels")
     q, t, g = quality.train(docs, labels), toxicity.train(docs, labels), langid.train(docs)
