@@ -8,7 +8,8 @@ close marks the text as ambiguous.
 
 Training reads a bounded sample: about ``MAX_ROWS`` documents, taken by hash in
 equal shares for each language, and of each text the n-gram counts of its
-whole. Scoring reads every whole text.
+whole. Only the ``MAX_LANGUAGES`` most frequent values of lang are learned; a
+rarer one is never predicted. Scoring reads every whole text.
 
 Nulls, ties and odd texts: a null text, and one without a letter, is ``und``
 with score 0; a null lang or doc_id is not learned from; repeated rows are
