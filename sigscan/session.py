@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 #: Estimates from here on are guesses: plans without statistics report the largest number, joins of them products.
 _UNKNOWN = 1 << 50
+#: What a batch of rows that Python gets may hold; Spark's own bound is in rows, which long texts make too large for a worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +89,9 @@ def partitions_for(df: DataFrame, target_bytes: int) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python stages can import it there."""
+    """Send this package to the executors, once per application, so that Python stages can import it there; bound the batches that they get, unless the session does."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_sigscan_shipped", False):
         return
