@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.llm import langid, quality, toxicity
+from sigscan.llm import langid, mixing, quality, toxicity
 from sigscan.llm.common import crc_mod
 from sigscan.llm.decontam import decontaminate, digest_rows
 from sigscan.llm.embeddings import near_vectors
-from sigscan.llm.mixing import mix
 from sigscan.llm.simhash import simhash_components
 from sigscan.llm.tokencount import count_tokens
 from sigscan.llm.tokens import token_output
@@ -29,7 +28,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def _held_out(n: int, rest: int):
@@ -118,10 +117,19 @@ ORACLES: dict[str, str] = {
         l AS (SELECT *, (total - used) / open AS level FROM o),
         m AS (SELECT first(level ORDER BY cap / weight, source NULLS LAST) AS level FROM l WHERE weight * level <= cap),
         t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM m) IS NULL THEN cap ELSE least(cap, weight * (SELECT level FROM m)) END AS target FROM l),
-        p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM d)
-        SELECT doc_id, size, source_size, target,
-               greatest(0, least(size, CAST(round(target) AS BIGINT) - a)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - source_size - a)) AS taken
-        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source""",
+        p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM d),
+        b AS (SELECT source, source_size, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(source_size / 8192) AS BIGINT) AS blocks FROM t),
+        n AS (SELECT *, CAST(CASE WHEN goal <= source_size THEN ceil(goal / 8192) ELSE blocks + ceil((goal - source_size) / 8192) END AS BIGINT) AS slots FROM b),
+        c AS (SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST) AS upto, sum(slots) OVER () AS total FROM n WHERE slots > 0),
+        shares AS (SELECT *, floor((upto - slots)::DOUBLE / total::DOUBLE * TURN::DOUBLE) AS low, floor(upto::DOUBLE / total::DOUBLE * TURN::DOUBLE) AS high FROM c),
+        points AS (SELECT i AS slot, CAST((i::HUGEINT * STEP) % TURN AS BIGINT) AS point FROM range(CAST((SELECT 3 * coalesce(max(total), 0) FROM c) AS BIGINT)) r(i)),
+        ranked AS (SELECT s.*, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM points JOIN shares s ON point >= low AND point < high),
+        firsts AS (SELECT source, k AS block, slot FROM ranked WHERE k < least(slots, blocks))
+        SELECT doc_id, size, p.source_size, target, taken, CASE WHEN size > 0 AND taken > 0 THEN slot END AS first_slot FROM (
+            SELECT doc_id, size, t.source, t.source_size, target, a,
+                   greatest(0, least(size, CAST(round(target) AS BIGINT) - a)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - source_size - a)) AS taken
+            FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source) p
+        LEFT JOIN firsts f ON p.source IS NOT DISTINCT FROM f.source AND f.block = a // 8192""".replace("STEP", str(mixing.STEP)).replace("TURN", str(mixing.TURN)),
     "op4_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT row_number() OVER () AS r, vec_id, label, len(embedding) AS n, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
