@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,57 @@ def pieces(data: bytes, limit: int = PIECE) -> Iterator[bytes]:
         start = end
 
 
+def word_parts(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """Words (between ASCII white space) of rows of text, in parts of about ``limit`` bytes that Arrow splits at once.
+
+    Yields (first row, words of each row, for each word its place among the
+    distinct ones, distinct words). An empty word stands for white space at an
+    end. A row longer than the limit comes alone, in several parts.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, row = sizes.cumsum(), 0
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] - sizes[row] + limit, "right")))
+        if sizes[row] > limit:
+            stop = row + 1
+            for piece in pieces(texts[row].as_buffer().to_pybytes(), limit):
+                yield row, *_words(pa.array([piece], pa.binary()).view(pa.string()))
+        else:
+            yield row, *_words(texts.slice(row, stop - row))
+        row = stop
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    split = pc.ascii_split_whitespace(texts)
+    found = split.flatten().dictionary_encode()
+    lens = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    return lens, found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_pylist()
+
+
+def tidied(run: Callable) -> Callable:
+    """A partition function that gives freed memory back to the system at its end: workers live on, and other stages' tasks share their executor."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI, for Python code on executors."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else uri)
@@ -74,8 +129,6 @@ _EDGE = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 
 def _contract(batches):
     """Replace the edges of a partition by a forest; memory holds one edge per node of the partition."""
-    import pyarrow as pa
-
     u = v = np.empty(0, np.int64)
     for b in batches:
         u = np.concatenate([u, b.column("u").to_numpy(zero_copy_only=False)])
@@ -86,9 +139,11 @@ def _contract(batches):
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """Connected components of undirected edges (u, v): one row (node, root) for each node that has an edge.
 
+    ``forests``: each partition of ``edges`` is a forest already, so no further Python stage contracts it.
+
     ``root`` is the least node of the component. Rounds of large-star and
     small-star (Kiveris et al., 2014); each round's edges are written to the
     shared folder, so a lost executor repeats one round at most. No node's
@@ -96,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
     combine) and a join that adaptive execution can split.
     """
     edges = edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    now = materialize(edges.mapInArrow(_contract, _EDGE).distinct(), "edges")
+    now = materialize((edges if forests else edges.mapInArrow(tidied(_contract), _EDGE)).distinct(), "edges")
     mark = None
     while True:
         # large star: neighbours above u move to the least neighbour of u

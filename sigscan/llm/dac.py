@@ -11,6 +11,7 @@ for the least size (Brisaboa, Ladra, Navarro, 2013).
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -167,6 +168,16 @@ class Writer:
         if self.held >= self.limit:
             self._flush()
 
+    def add_many(self, keys: list[int | None], lens: np.ndarray, ids: np.ndarray) -> None:
+        """Add documents whose ids follow each other."""
+        self.keys += [k or 0 for k in keys]
+        self.null += [k is None for k in keys]
+        self.lens += lens.tolist()
+        self.parts.append(ids)
+        self.held += len(ids)
+        if self.held >= self.limit:
+            self._flush()
+
     def _flush(self) -> None:
         if not self.keys:
             return
@@ -208,18 +219,49 @@ class Reader:
         lens = np.frombuffer(bytes(body[8 + 9 * n : 8 + 17 * n]), "<u8").astype(np.int64)
         return keys, null, lens, Dac(bytes(body[8 + 17 * n :]))
 
-    def documents(self):
-        """Yield (key or None, position of the first id in this file, ids)."""
+    def documents(self, check: bool = False):
+        """Yield (key or None, position of the first id in this file, ids).
+
+        ``check``: the last id of each document is also read by its position alone, and must agree.
+        """
         for k, (_, _, _, first) in enumerate(self.index):
             keys, null, lens, code = self._segment(k)
-            ids, at = code.all(), 0
+            ids, ends = code.all(), lens.cumsum()
+            if check and (code.get(ends[lens > 0] - 1) != ids[ends[lens > 0] - 1]).any():
+                raise ValueError("random access and sequential reading differ")
+            at = 0
             for key, gone, n in zip(keys.tolist(), null.tolist(), lens.tolist(), strict=True):
                 yield None if gone else key, first + at, ids[at : at + n]
                 at += n
 
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.stream.seek(at)
+        return self.stream.read(size)
+
     def token(self, position: int) -> int:
-        """The id at a position of this file."""
+        """The id at a position of this file. Of each level it reads the id's own bytes, one block of continuation bits and one rank."""
         if not 0 <= position < self.ids:
             raise IndexError("position out of range")
-        k = next(k for k in range(len(self.index) - 1, -1, -1) if self.index[k][3] <= position)
-        return int(self._segment(k)[3].get(np.array([position - self.index[k][3]]))[0])
+        k = bisect_right(self.index, position, key=lambda x: x[3]) - 1
+        start = self.index[k][0]
+        (docs,) = struct.unpack("<Q", self._bytes(start, 8))
+        code = start + 8 + 17 * docs
+        _, levels = struct.unpack("<QI", self._bytes(code, 12))
+        head = self._bytes(code + 12, 12 * levels)
+        i, at, value, shift = position - self.index[k][3], code + 12 + 12 * levels, 0, 0
+        for level, (w, n) in enumerate(struct.iter_unpack("<IQ", head)):
+            for p in range(w // 8):
+                value |= self._bytes(at + p * n + i, 1)[0] << (shift + 8 * p)
+            if w % 8:
+                value |= (self._bytes(at + (w // 8) * n + (i >> 1), 1)[0] >> (4 * (i & 1)) & 15) << (shift + w - 4)
+            if level == levels - 1:
+                break
+            bits = at + _plane_bytes(n, w)
+            ranks = bits + -(-n // _BLOCK) * (_BLOCK // 8)
+            block, inside = divmod(i, _BLOCK)
+            word = int.from_bytes(self._bytes(bits + block * (_BLOCK // 8), _BLOCK // 8), "little")
+            if not word >> inside & 1:
+                break
+            i = struct.unpack("<I", self._bytes(ranks + 4 * block, 4))[0] + (word & ((1 << inside) - 1)).bit_count()
+            at, shift = ranks + 4 * (-(-n // _BLOCK) + 1), shift + w
+        return value

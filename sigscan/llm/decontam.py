@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscan.llm.common import WORD_FOLD, open_fs, pieces
+from sigscan.llm.common import WORD_FOLD, open_fs, pieces, tidied
 from sigscan.llm.fmindex import FMIndex
 from sigscan.session import shared_path, ship
 
@@ -177,6 +177,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
     folder = shared_path(spark, "benchmark")
     n = -(-size // block_bytes)
 
+    @tidied
     def write(batches):
         from pyspark import TaskContext
 
@@ -208,6 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     ship(docs.sparkSession)
     blocks = _blocks(benchmark, window, block_bytes)
 
+    @tidied
     def run(batches):
         judge, held = Judge(blocks, shard_words), []
 
@@ -239,6 +241,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     ship(docs.sparkSession)
     blocks, at = _blocks(benchmark, window, BLOCK_BYTES), docs.columns.index("text")
 
+    @tidied
     def run(batches):
         judge = Judge(blocks)
         for b in batches:

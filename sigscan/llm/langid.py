@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigscan.llm.common import crc_mod, pieces
+from sigscan.llm.common import crc_mod, pieces, tidied
 from sigscan.session import ship
 
 #: Training documents, languages, and hashed features at most.
@@ -148,6 +148,7 @@ def train(docs: DataFrame, rows: int = MAX_ROWS, usable: Column | None = None) -
     at = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = known.where(at < F.try_element_at(chance, F.col("lang"))).orderBy(F.xxhash64("doc_id", F.lit(9)), F.xxhash64("text"), "lang").limit(2 * rows)
 
+    @tidied
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights, model.bias, model.trust))
     held: list[Model] = []
 
+    @tidied
     def run(batches):
         if not held:
             held.append(Model(*sent.value))

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sigscan.llm.common import LOWER_AZ, components, forest, pieces
+from sigscan.llm.common import LOWER_AZ, components, forest, free_name, pieces, tidied
 from sigscan.session import materialize, ship
 
 #: Fingerprints in a tile, and entries of a comparison at once.
 TILE, BLOCK = 32_768, 1 << 22
+#: Most cells (16 bytes each) whose counts are sent to every executor: those of up to four lanes.
+MAX_CELLS = 100_000
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -59,6 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) for every row of ``docs``."""
     ship(docs.sparkSession)
 
+    @tidied
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -99,7 +102,7 @@ def _compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[list, li
 
 
 def links(fps: DataFrame, radius: int = 2, lanes: int | None = None, tile: int = TILE) -> DataFrame:
-    """A forest (u, v) of the links among distinct fingerprints ``fps`` (fp)."""
+    """A forest (u, v) in each partition of the links among distinct fingerprints ``fps`` (fp)."""
     spark = fps.sparkSession
     ship(spark)
     lanes = lanes or lanes_for(fps.count())
@@ -115,14 +118,17 @@ def links(fps: DataFrame, radius: int = 2, lanes: int | None = None, tile: int =
         code = code * base + F.bit_count(lane).cast("long") + radius
     placed = fps.select("fp", code.alias("cell"))
     tiles_of = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("tiles"))
+    if (width + 1) ** lanes <= MAX_CELLS:  # there can be no more cells than combinations of lane counts
+        tiles_of = F.broadcast(tiles_of)
     dealt = placed.join(tiles_of, "cell").select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp")
-    # collect_list gathers a tile only: about `tile` numbers, by the hash above
-    tiles = materialize(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    # a crowded cell is dealt by tile; collect_list gathers a tile only: about `tile` numbers, by the hash above
+    tiles = materialize(dealt.repartition("cell", "tile").groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
 
     moves = [sum(x * base ** (lanes - 1 - k) for k, x in enumerate(d)) for d in _steps(lanes, radius)]
     left = tiles.select(F.explode(F.array(*[F.lit(m).cast("long") for m in moves])).alias("move"), F.col("cell").alias("c"), F.col("tile").alias("t"), F.col("fps").alias("a")).withColumn("cell", F.col("c") + F.col("move")).drop("c")
     pairs = left.join(tiles, "cell").where("move <> 0 or tile >= t").select((F.expr("move = 0 and tile = t")).alias("same"), "a", F.expr("if(move = 0 and tile = t, array(), fps)").alias("b"))
 
+    @tidied
     def run(batches):
         us, vs, held = [], [], 0
         for batch in batches:
@@ -150,7 +156,7 @@ def _rooted(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, la
     """(doc_id, fp, component_id, root) for every row; a root is a component's own, a component_id may be several's where a doc_id has several texts."""
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
     distinct = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, lanes, tile))
+    roots = components(links(distinct.select("fp"), radius, lanes, tile), forests=True)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(placed.join(least, "root").select(F.col("fp").alias("key"), "component_id", "root"), "classes")
@@ -162,19 +168,20 @@ def simhash_components(docs: DataFrame, **options) -> DataFrame:
     return _rooted(docs, **options).drop("root")
 
 
-def _with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` and a column __fp."""
+def _with_fingerprints(docs: DataFrame, name: str, words: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` and their fingerprints in a column ``name``."""
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 s = b.slice(i, 512)
                 fps = [fingerprint(t, words, seed) for t in s.column(at).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(fps, pa.int64())], [*s.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(fps, pa.int64())], [*s.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -185,16 +192,15 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
     component has under its least doc_id the least stays; of rows with equal doc_id
     and fingerprint any one.
     """
+    key_name, print_name = free_name(docs, "__key"), free_name(docs, "__print")
     found = materialize(_rooted(docs, **options), "components")
     named, key = found.where("doc_id is not null"), docs["doc_id"].cast("long")
-    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    twice = materialize(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
-    if twice.isEmpty():
-        return docs.join(gone, key == gone["__id"], "left_anti")
+    twice = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key_name))
+    twice = materialize(twice, "repeated-ids")
     # a doc_id alone says what to do with its row unless it is repeated; only rows that repeat one are read for fingerprints again
-    other = gone.union(twice).distinct()
-    once = docs.join(other, key == other["__id"], "left_anti")
-    stay = named.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.fp").alias("__print"))
-    again = _with_fingerprints(docs.join(twice, key == twice["__id"], "left_semi"), **{k: v for k, v in options.items() if k in ("words", "seed")})
-    again = again.join(stay, (again["doc_id"].cast("long") == stay["__stay"]) & (again["__fp"] == stay["__print"]), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "__fp"]).drop("__fp"))
+    other = named.where("doc_id <> component_id").select(F.col("doc_id").alias(key_name)).union(twice).distinct()
+    once = docs.join(other, key == other[key_name], "left_anti")
+    stay = named.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("s")).select(F.col("s.doc_id").alias(key_name), F.col("s.fp").alias("stays"))
+    again = _with_fingerprints(docs.join(twice, key == twice[key_name], "left_semi"), print_name, **{k: v for k, v in options.items() if k in ("words", "seed")})
+    again = again.join(stay, (again["doc_id"].cast("long") == stay[key_name]) & (again[print_name] == stay["stays"]), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", print_name]).drop(print_name))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigscan.llm.common import crc_mod, pieces
+from sigscan.llm.common import crc_mod, pieces, tidied
 from sigscan.session import ship
 
 #: Training rows and the bytes of a training text at most; documents that a word must be in to get a weight.
@@ -178,6 +178,7 @@ def score(docs: DataFrame, model: Model, offending: bool = False) -> DataFrame:
     held: list[Model] = []
     kind = [("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())] + [("offending", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))] * offending
 
+    @tidied
     def run(batches):
         if not held:
             held.append(Model(*sent.value))
@@ -200,6 +201,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     sent, at = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias)), docs.columns.index("text")
     held: list[Model] = []
 
+    @tidied
     def run(batches):
         if not held:
             held.append(Model(*sent.value))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscan.llm.common import open_fs
+from sigscan.llm.common import open_fs, tidied
 from sigscan.session import materialize, partitions_for, shared_path, ship
 
 #: Fixed values of the WARC 1.1 standard.
@@ -142,6 +142,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_by
         marked = keyed.repartition(n, "key", "digest").join(again.repartition(n, "key", "digest"), ["key", "digest"], "left")
     marked = marked.select("page_id", "url", "payload", "digest", "refers_to")
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
 
@@ -173,6 +174,7 @@ def read_warc(archives: DataFrame, payload: bool = False) -> DataFrame:
     ship(archives.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
 
+    @tidied
     def run(batches):
         for b in batches:
             for path in b.column(0).to_pylist():

@@ -1,6 +1,7 @@
 """The training-data operators on Spark: against SQL, brute force and round trips, with nulls, ties, empty tables and odd columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -106,6 +107,47 @@ def test_schedule_is_low_discrepancy(spark):
     assert abs(half.count("a") - 300) <= 4 and abs(half.count(None) - 75) <= 4
 
 
+def test_step_changes_the_order_and_never_the_totals(spark, sf):
+    docs = table(spark, sf, "documents")
+    a, b = (mixing._mix(docs, block_words=100, step=s).drop("bucket", "place").collect() for s in (mixing.STEP, mixing.STEP - 12_345_678))
+    totals = lambda rows: sorted((r.doc_id, r.size, r.target, r.taken) for r in rows)
+    assert totals(a) == totals(b) and {r.doc_id: r.slots for r in a} != {r.doc_id: r.slots for r in b}
+    with pytest.raises(ValueError, match="poor"):
+        mixing.mix(docs, block_words=100, step=1).collect()
+
+
+def test_points_of_large_slots(spark):
+    slots = [0, 1, (1 << 20) - 1, 1 << 20, (1 << 32) + 7, (1 << 39) + 12_345]
+    got = spark.createDataFrame([(s,) for s in slots], "s long").select("s", mixing.point(F.col("s")).alias("p")).collect()
+    assert {r.s: r.p for r in got} == {s: s * mixing.STEP % mixing.TURN for s in slots}
+    # three points for each slot leave no share of one slot without a point, wherever it lies
+    for n in (10, 1000, 30_000):
+        p = np.sort([s * mixing.STEP % mixing.TURN for s in range(n)])
+        assert np.diff([*p, p[0] + mixing.TURN]).max() < 2 * mixing.TURN / n
+
+
+def test_mixed_documents_come_in_the_order_of_the_schedule(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("__slot", F.lit("mine"))
+    rows = mixing._mix(table(spark, sf, "documents"), block_words=50)
+    want = sorted((s, r.h, r.doc_id) for r in rows.collect() for s in (r.slots or [])[: int(r.taken / max(r.size, 1) + 0.5)])
+    got = mixing.mixed_documents(docs, block_words=50)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [i for _, _, i in want]
+    # sources alternate: the first half of the mix has about half of each source's rows
+    order = [r.source for r in got.collect()]
+    for s in set(order):
+        assert order.count(s) < 20 or abs(order[: len(order) // 2].count(s) / order.count(s) - 0.5) < 0.25
+
+
+def test_two_texts_of_one_id_are_taken_apart(spark):
+    rows = [(1, "w " * 50, "a"), (1, "v " * 10, "a"), (2, "u " * 40, "b")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id int, text string, source string, h int")
+    takes = {r.h: (r.taken, r.size) for r in mixing._mix(df, block_words=7).collect()}
+    texts = [r.text for r in mixing.mixed_documents(df, block_words=7).collect()]
+    for r in df.select("text", mixing.row_hash(F.col("doc_id"), F.col("text")).alias("h")).collect():
+        taken, size = takes[r.h]
+        assert texts.count(r.text) == int(taken / size + 0.5)
+
+
 def test_mixing_odd_rows(spark):
     rows = mixing.mix(odd(spark), block_words=3)
     got = {(r.doc_id, r.source): r for r in rows.collect()}
@@ -371,7 +413,7 @@ def test_encoder_equals_library(sf):
     texts += ["".join(rng.choice("abÀéß'.,!? \n-_#1２ſ́’xyzẞ<|>") for _ in range(60)) for _ in range(400)]
     texts += pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
     for x in texts:
-        assert e.encode(x.encode()).tolist() == e._whole(x), x[:80]
+        assert e.encode(x.encode()).tolist() == e.whole(x), x[:80]
 
 
 def test_token_counts_on_odd_rows(spark):
@@ -384,6 +426,37 @@ def test_token_counts_on_odd_rows(spark):
 # ---- pipeline
 
 
+def brute_times(rows):
+    """How often each document is taken, from the contract alone: water filling, then running sums along the hash line."""
+    import hashlib
+
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r.doc_id] for r in rows if r.source == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(total.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * total[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 2.0 * total[s] for s in full}
+        left -= sum(2 * total[s] for s in full)
+        open_ -= full
+        if not open_:
+            break
+    out = {}
+    for s in sources:
+        at, goal = 0, round(target[s])
+        for _, i in sorted((hashlib.md5(f"{r.doc_id}|{r.text}".encode()).hexdigest(), r.doc_id) for r in rows if r.source == s):
+            n = size[i]
+            taken = sum(max(0, min(n, goal - turn * total[s] - at)) for turn in (0, 1))
+            out[i] = int(taken / max(n, 1) + 0.5)
+            at += n
+    return out
+
+
 def test_pipeline_equals_brute_force(spark, sf):
     import corpus_pipeline as cp
 
@@ -395,7 +468,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     left = {i: r for i, r in left.items() if not decontam.brute_force(r.text, items)[-1]}
     rows = spark.createDataFrame([tuple(left[i]) for i in left], table(spark, sf, "documents").schema)
-    times = {r.doc_id: int(r.taken / max(r.size, 1) + 0.5) for r in mixing.mix(rows).collect()}
+    times = brute_times(list(left.values()))
     from tokenizers import Tokenizer
 
     t, want, at = Tokenizer.from_file(queries.vocabulary(VOCABULARY)), [], 0

@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sigscan.llm import dac, decontam, fmindex, langid, quality, simhash, tokencount, toxicity, warc
+from sigscan.llm import common, dac, decontam, fmindex, langid, quality, simhash, tokencount, toxicity, warc
 from sigscan.llm.common import forest, pieces, union_edges
 
 
@@ -100,13 +101,24 @@ def test_long_texts_are_read_whole(monkeypatch):
     rng = random.Random(2)
     text = " ".join(rng.choice(["ab", "cde", "fgh", "i"]) for _ in range(4000)).encode()
     whole = simhash.fingerprint(text)
-    import sigscan.llm.common as common
-
     assert b"".join(common.pieces(text, 100)) == text
     monkeypatch.setattr(simhash, "pieces", lambda data: pieces(data, 64))
     assert simhash.fingerprint(text) == whole
 
 
+def test_word_parts_hold_all_words():
+    rng = random.Random(3)
+    texts = [None, "", "  a ", "\x0bx\x0c", "é\x1cz y"] + [" ".join(rng.choice(["ab", "cde", "fgh", "i"]) for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["lorem ipsum " * 300]
+    for limit in (1, 64, 1000, 1 << 20):
+        got = [[] for _ in texts]
+        for row, lens, code, distinct in common.word_parts(pa.array(texts), limit):
+            words = [distinct[c] for c in code.tolist()]
+            for k, n in enumerate(lens.tolist()):
+                got[row + k] += words[:n]
+                words = words[n:]
+        assert [[w for w in g if w] for g in got] == [(t or "").encode().split() for t in texts]
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(3)
     u, v = rng.integers(0, 500, 400), rng.integers(0, 500, 400)
@@ -137,8 +149,10 @@ def test_token_counts_equal_plain_dynamic_programming():
 
     words = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 12))) for _ in range(500)}
     c = tokencount.Counter(v, kept=200)
-    text = " ".join(sorted(words)).encode()
-    assert c.shard([text, None, b" ", text]) == [(len(words), sum(plain("▁" + w) for w in words)), (0, 0), (0, 0), (len(words), sum(plain("▁" + w) for w in words))]
+    text, n = " ".join(sorted(words)), sum(plain("▁" + w) for w in words)
+    long = " " + "ab" * 200 + "\n" + "ab" * 200
+    a, b = c.shard(pa.array([text, None, " ", text, long]))
+    assert (a.tolist(), b.tolist()) == ([len(words), 0, 0, len(words), 2], [n, 0, 0, n, 2 * plain("▁" + "ab" * 200)])
     f = tokencount.Forward(v)
     for w in sorted(words):
         f.tokens(w)
