@@ -6,14 +6,15 @@ codeword has the least logistic loss against the classifiers' margins, each bit
 weighted by how well its classifier did in training; a second codeword nearly as
 close marks the text as ambiguous.
 
-Training reads a bounded sample: about ``MAX_ROWS`` documents, taken by hash in
-equal shares for each language, and of each text the n-gram counts of its
-whole. Only the ``MAX_LANGUAGES`` most frequent values of lang are learned; a
-rarer one is never predicted. Scoring reads every whole text.
+Training reads a sample: about ``MAX_ROWS`` documents, taken by hash in equal
+shares for each language, and at least one of each, so that every value of lang
+that may be learned from is; of each text it takes the n-gram counts of its
+whole. What the driver gets grows with the number of languages (8 KB each beyond
+``MAX_ROWS``), not of documents. Scoring reads every whole text.
 
 Nulls, ties and odd texts: a null text, and one without a letter, is ``und``
-with score 0; a null lang or doc_id is not learned from; repeated rows are
-predicted alike; equal distances go to the first language by code point; texts
+with score 0; a null lang or doc_id is not learned from; rows that repeat a
+doc_id, its text and lang are learned once and predicted alike; equal distances go to the first language by code point; texts
 of any length are read whole, in pieces; without a learnable language all
 texts are ``und``; an empty table gives no rows. Columns besides doc_id, text
 and lang are not read.
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.llm.common import crc_mod, pieces, tidied
-from sigscan.session import ship
+from sigscan.session import materialize, ship
 
-#: Training documents, languages, and hashed features at most.
-MAX_ROWS, MAX_LANGUAGES, FEATURES = 4000, 512, 4096
+#: Training documents (more only if there are more languages), and hashed features.
+MAX_ROWS, FEATURES = 4000, 4096
 #: The least lead of the best codeword, in score, for a text to be unambiguous.
 LEAD = 0.2
 UND = "und"
@@ -76,9 +77,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         bits = [[1 if k >> i & 1 else -1 for i in range(n)] for k in range(1, 2 ** (n - 1))]
         return np.array(bits, float).T
     rng, b, best, far = np.random.default_rng(seed), int(np.ceil(12 * np.log2(n))), None, -1
-    for _ in range(50):
+    for _ in range(50 if n <= 512 else 1):  # of many codewords the first set is far enough apart; its search would grow with n * n
         code = np.stack([rng.permutation(np.where(np.arange(n) % 2, 1, -1)) for _ in range(b)], 1).astype(float)
-        gap = int(((b - code @ code.T) / 2 + np.eye(n) * b).min())
+        gap = int(((b - code @ code.T) / 2 + np.eye(n) * b).min()) if n <= 512 else 0
         if gap > far:
             best, far = code, gap
     return best
@@ -115,7 +116,8 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 120, ridge: float = 1e-4)
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((FEATURES, 1)), np.zeros(1), np.ones(1))
-    own = np.array([languages.index(v) for v in langs])
+    place = {v: k for k, v in enumerate(languages)}
+    own = np.array([place[v] for v in langs])
     share = (1 / np.bincount(own, minlength=len(languages)))[own]
     share = (share / share.sum()).astype(np.float32)[:, None]
     y = code[own].astype(np.float32)
@@ -139,24 +141,27 @@ def train(docs: DataFrame, rows: int = MAX_ROWS, usable: Column | None = None) -
     """Fit on a bounded sample; ``usable`` says which rows may be learned from (by default crc32(doc_id) mod 3 is not 1)."""
     ship(docs.sparkSession)
     usable = crc_mod(F.col("doc_id"), 3) != 1 if usable is None else usable
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.lit(9)).alias("key"))
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("least")), "languages")
+    languages = sizes.count()
+    if not languages:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    each = max(1, rows // len(sizes))
-    chance = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, min(1.0, 1.2 * each / r.n))])
-    at = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = known.where(at < F.try_element_at(chance, F.col("lang"))).orderBy(F.xxhash64("doc_id", F.lit(9)), F.xxhash64("text"), "lang").limit(2 * rows)
+    # keys alone decide which texts are read; those picked are about MAX_ROWS and the languages
+    at = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = known.select("lang", "key").join(sizes, "lang").where((F.col("key") == F.col("least")) | (at * F.col("n") < max(1.0, rows / languages))).select(F.col("key").alias("__key")).distinct()
+    found = known.join(F.broadcast(picked), F.col("key") == F.col("__key")).select("key", "lang", "text")
 
     @tidied
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 s = b.slice(i, 256)
-                found = [counts(t) for t in s.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([unit(c).astype(np.float16).tobytes() for c in found], pa.binary())], ["lang", "x"])
+                x = [unit(counts(t.as_py())).astype(np.float16).tobytes() for t in s.column(2).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(x, pa.binary())], ["key", "lang", "x"])
 
-    got = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
+    # rows that repeat another are dropped before the driver gets any
+    once = found.mapInArrow(run, "key long, lang string, x binary").groupBy("key", "lang").agg(F.first("x").alias("x"))
+    got = sorted(once.collect(), key=lambda r: (r.key, r.lang))
     x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
     return fit(x, [r.lang for r in got])
 

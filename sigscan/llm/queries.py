@@ -70,7 +70,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+    return toxicity.score(docs, model, offending=True).select("doc_id", _held_out(5, 0), "score", "predicted", "offending")
 
 
 QUERIES = {

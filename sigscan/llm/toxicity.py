@@ -6,16 +6,18 @@ toxic unless every sentence is harmless), and the weights are trained from
 document labels alone. The trained model then scores each sentence, which
 locates the offending ones.
 
-Training reads a bounded sample of labelled rows: ``MAX_ROWS`` by hash of
-doc_id, among those with texts of up to ``MAX_BYTES`` bytes. Scoring reads every
-whole text.
+Training reads a bounded sample of labelled rows, ``MAX_ROWS`` by hash. Their
+texts, of any length, stay on the executors: features are counted there, and
+the driver gets the features that a weight may be given to and, for each
+sentence, which of them it has. Scoring reads every whole text.
 
 Nulls, ties and odd texts: a null or wordless text has the score of an empty
-bag, 0; a null doc_id is scored and never learned from; labels that are null are
-not learned from, repeated or contradicting ones each count; repeated rows score
-alike; texts of any length are read whole, in pieces; without labels every
-score is 0; an empty table gives no rows. Columns besides doc_id and text are
-not read, but :func:`drop_toxic` keeps them.
+bag, 0; a null doc_id or text is never learned from; labels that are null are not
+learned from, contradicting ones each count; rows that repeat a doc_id, its text
+and its label are learned once and score alike; texts of any length are read
+whole, in pieces cut at white space (a piece ends a sentence); without labels of
+both kinds every score is 0; an empty table gives no rows. Columns besides
+doc_id and text are not read, but :func:`drop_toxic` keeps them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.llm.common import crc_mod, pieces, tidied
-from sigscan.session import ship
+from sigscan.session import discard, materialize, ship
 
-#: Training rows and the bytes of a training text at most; documents that a word must be in to get a weight.
-MAX_ROWS, MAX_BYTES, LEAST_DOCS = 12_000, 16_384, 3
+#: Training rows at most; toxic documents that a feature must be in to get a weight.
+MAX_ROWS, LEAST_DOCS = 12_000, 3
+#: Words that a worker remembers having a weight or none.
+KNOWN = 200_000
 #: Bytes of a longer word's start that count as its stems.
 STEMS = (4, 6)
 THRESHOLD = 0.5
@@ -42,9 +47,12 @@ _FOLD = bytes(10 if b in b".!?\n\r" else b + 32 if 65 <= b <= 90 else b if b >=
 SENTENCE = re.compile(r"[^.!?\n\r]+")
 
 
-def sentences(text: bytes) -> list[list[bytes]]:
+def sentences(text: bytes) -> Iterator[list[bytes]]:
     """Words of each sentence that has words."""
-    return [w for line in text.translate(_FOLD).split(b"\n") if (w := line.split())]
+    for piece in pieces(text):
+        for line in piece.translate(_FOLD).split(b"\n"):
+            if words := line.split():
+                yield words
 
 
 def _features(words: list[bytes]) -> set[bytes]:
@@ -75,18 +83,16 @@ class Model:
         if not text or not self.weights:
             return 0.0
         safe, known = 0.0, self._known
-        for piece in pieces(text):
-            for words in piece.translate(_FOLD).split(b"\n"):
-                words = words.split()
-                for w in words:
-                    hit = known.get(w)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        hit = known[w] = self._of_word(w)
-                    if hit:
-                        safe += math.log1p(-min(self.sentence(words), 1 - 1e-12))
-                        break
+        for words in sentences(text):
+            for w in words:
+                hit = known.get(w)
+                if hit is None:
+                    if len(known) > KNOWN:
+                        known.clear()
+                    hit = known[w] = self._of_word(w)
+                if hit:
+                    safe += math.log1p(-min(self.sentence(words), 1 - 1e-12))
+                    break
         return 1 - math.exp(safe)
 
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[dict]:
@@ -99,40 +105,30 @@ class Model:
         return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
-    """Noisy-or likelihood over bags of sentences, by Adam from log-odds starts. Weights of words that say little are dropped.
+def _document_features(text: bytes) -> set[bytes]:
+    return set().union(*map(_features, sentences(text)))
 
-    Texts are split again in each pass, so that memory holds the candidates only.
-    """
-    n, pos = len(texts), float(labels.sum())
-    if not n or pos in (0, n):
-        return Model({}, 0.0)
-    neg = n - pos
-    toxic: Counter = Counter()
-    for text, y in zip(texts, labels, strict=True):
-        if y:
-            toxic.update(set().union(*map(_features, sentences(text))))
-    toxic = Counter({f: c for f, c in toxic.items() if c >= LEAST_DOCS})
-    clean: Counter = Counter()
-    for text, y in zip(texts, labels, strict=True):
-        if not y:
-            clean.update(toxic.keys() & set().union(*map(_features, sentences(text))))
-    # candidates: features that are clearly commoner in toxic documents
-    start = {f: math.log((b + 0.5) / (pos + 1)) - math.log((clean[f] + 0.5) / (neg + 1)) for f, b in toxic.items()}
-    names = sorted(f for f, v in start.items() if v > 1)
-    if not names:
+
+def _candidates(counts: dict[bytes, tuple[int, int]], pos: float, neg: float) -> dict[bytes, float]:
+    """Log-odds of the features that are clearly commoner in toxic documents; counts: documents of each feature, (toxic, clean)."""
+    odds = {f: math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1)) for f, (a, b) in counts.items() if a >= LEAST_DOCS}
+    return {f: odds[f] for f in sorted(odds) if odds[f] > 1}
+
+
+def _hits(text: bytes, index: dict[bytes, int]) -> list[list[int]]:
+    """The candidates of each sentence that has any; other sentences have no weight and add only the bias."""
+    return [h for words in sentences(text) if (h := sorted(index[f] for f in _features(words) if f in index))]
+
+
+def _fit(start: dict[bytes, float], bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
+    """Noisy-or likelihood over bags of sentences, by Adam from log-odds starts. Weights of features that say little are dropped."""
+    if not start:
         return Model({}, 0.0)
-    index = {f: k for k, f in enumerate(names)}
-    doc, row, col, s = [], [], [], 0
-    for d, text in enumerate(texts):
-        for words in sentences(text):
-            hits = sorted(index[f] for f in _features(words) if f in index)
-            if hits:  # other sentences have no weight and add only the bias
-                row += [s] * len(hits)
-                col += hits
-                doc.append(d)
-                s += 1
-    doc, row, col = np.array(doc, int), np.array(row, int), np.array(col, int)
+    names, n = list(start), len(bags)
+    per_bag = np.array([len(b) for b in bags], int)
+    per_sentence = np.array([len(h) for b in bags for h in b], int)
+    doc, row = np.repeat(np.arange(n), per_bag), np.repeat(np.arange(len(per_sentence)), per_sentence)
+    col, s = np.array([c for b in bags for h in b for c in h], int), len(per_sentence)
     y = labels.astype(float)
     w, b = np.array([0.5 * start[f] for f in names]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -150,29 +146,68 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, ridge: float
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x > 0.05}, float(b))
 
 
+def fit(texts: list[bytes], labels: np.ndarray) -> Model:
+    """Fit on texts at hand."""
+    toxic, clean = Counter(), Counter()
+    for text, y in zip(texts, labels, strict=True):
+        (toxic if y else clean).update(_document_features(text))
+    pos = float(labels.sum())
+    start = _candidates({f: (n, clean[f]) for f, n in toxic.items()}, pos, len(texts) - pos) if 0 < pos < len(texts) else {}
+    index = {f: k for k, f in enumerate(start)}
+    return _fit(start, [_hits(t, index) for t in texts], labels)
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, usable: Column, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled documents, those with the least hash of doc_id."""
+    """(key, text, label) of at most ``rows`` labelled documents, those with the least hash; equal rows once."""
     at = F.xxhash64(F.col("doc_id").cast("long"), F.lit(7))
-    picked = labels.where(usable & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col(column).cast("int").alias("label"), at.alias("__at")).orderBy("__at", "__id", "label").limit(rows)
+    picked = labels.where(usable & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), (F.col(column) > 0).cast("int").alias("label"), at.alias("__at")).orderBy("__at", "__id", "label").limit(rows)
     # the sample has a fixed bound, so it may be sent to every executor
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select(F.xxhash64("__at", "text", "label").alias("key"), "text", "label")
+    # many rows may share an id: keys alone, which bound the sample again, decide which texts move
+    keys = found.select(F.col("key").alias("__key")).distinct().orderBy("__key").limit(rows)
+    return found.join(F.broadcast(keys), F.col("key") == F.col("__key")).groupBy("key").agg(F.first("text").alias("text"), F.first("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, usable: Column | None = None) -> Model:
     """Fit on a bounded sample; ``usable`` says which rows may be learned from (by default crc32(doc_id) mod 5 is not 0)."""
+    spark = docs.sparkSession
+    ship(spark)
     usable = crc_mod(F.col("doc_id"), 5) != 0 if usable is None else usable
-    short = F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)
-    # rows are picked among those that can be learned from; only ids are shuffled for it
-    fits = docs.where(short).select(F.col("doc_id").cast("long").alias("__fit"))
-    labels = labels.join(fits, labels["doc_id"].cast("long") == fits["__fit"], "left_semi")
-    found = sample(docs, labels, "toxic", usable, rows).where(short)
-    # copies of a document may share an id: what comes back is bounded too
-    got = found.orderBy("doc_id", F.xxhash64("text"), "label").limit(rows).collect()
-    return fit([r.text.encode() for r in got], np.array([int(r.label > 0) for r in got], int))
+    found = materialize(sample(docs, labels, "toxic", usable, rows), "toxicity-sample")
+    pos, n = found.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    if pos in (0, n):
+        return Model({}, 0.0)
+
+    @tidied
+    def count(batches):
+        for b in batches:
+            toxic, clean = Counter(), Counter()
+            for text, y in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
+                (toxic if y else clean).update(_document_features(text.as_py()))
+            names = list(toxic.keys() | clean.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
+
+    counted = found.select("text", "label").mapInArrow(count, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # only features that are commoner in toxic documents come to the driver
+    odds = F.log((F.col("toxic") + 0.5) / F.lit(float(pos + 1))) - F.log((F.col("clean") + 0.5) / F.lit(float(n - pos + 1)))
+    counts = {bytes(r.feature): (r.toxic, r.clean) for r in counted.where((F.col("toxic") >= LEAST_DOCS) & (odds > 0.99)).collect()}
+    start = _candidates(counts, float(pos), float(n - pos))
+    sent = spark.sparkContext.broadcast({f: k for k, f in enumerate(start)})
+
+    @tidied
+    def hits(batches):
+        for b in batches:
+            found = [_hits(t.as_py(), sent.value) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "label", "hits"])
+
+    got = sorted(found.select("key", "text", "label").mapInArrow(hits, "key long, label int, hits array<array<int>>").collect())
+    discard(found)
+    return _fit(start, [r.hits for r in got], np.array([r.label for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, offending: bool = False) -> DataFrame:
-    """(doc_id, score, predicted) for every row, and the offending sentences if asked for."""
+    """(doc_id, score, predicted) for every row and, if asked for, the offending sentences of those predicted toxic: places in the text and scores."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     held: list[Model] = []
@@ -189,7 +224,7 @@ def score(docs: DataFrame, model: Model, offending: bool = False) -> DataFrame:
                 scores = [held[0].document(t) for t in texts]
                 cols = [s.column(0), pa.array(scores), pa.array([int(x >= THRESHOLD) for x in scores], pa.int32())]
                 if offending:
-                    cols.append(pa.array([held[0].offending((t or b"").decode("utf-8", "replace")) for t in texts], kind[3][1]))
+                    cols.append(pa.array([held[0].offending(t.decode("utf-8", "replace")) if x >= THRESHOLD else [] for t, x in zip(texts, scores, strict=True)], kind[3][1]))
                 yield pa.RecordBatch.from_arrays(cols, [k for k, _ in kind])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int" + ", offending array<struct<start:int,end:int,score:double>>" * offending)

@@ -3,7 +3,9 @@
 Writing: each partition of pages becomes one ``.warc.gz`` file in the shared
 folder (a temporary name, renamed when complete). A payload of at least
 ``min_bytes`` that an earlier page (by page_id) has too is written as a revisit
-record without its payload. Reading: members are decompressed incrementally,
+record without its payload. Which are is decided from ids and digests; pages
+meet that decision in a join as finished gzip members, so that what it may have
+to move is as small as the archives. Reading: members are decompressed incrementally,
 each record is framed by its content length, and block and payload digests are
 verified; memory holds one record.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.llm.common import open_fs, tidied
-from sigscan.session import materialize, partitions_for, shared_path, ship
+from sigscan.session import materialize, shared_path, ship
 
 #: Fixed values of the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
@@ -35,22 +37,17 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 #: The date of every record; archives of the same pages are then equal byte by byte.
 DATE = b"2000-01-01T00:00:00Z"
 _CHUNK = 1 << 18
-#: Most revisits (about 100 bytes each) that are sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def _urn(page_id: int | None, tie: str = "") -> bytes:
     return b"<urn:x-page:%s>" % (b"none" + tie.encode() if page_id is None else str(page_id).encode())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record, uncompressed: a response with an HTTP block, or a revisit with the HTTP header alone."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
+def _record(kind: bytes, page_id: int | None, url: str | None, digest: str, block: bytes, more: tuple[bytes, ...] = ()) -> bytes:
     target = quote(url, safe="%/:=&?~#+!$,;'@()*[]|") if url else f"urn:x-page:{page_id}"
     head = [
         VERSION,
-        b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
+        b"WARC-Type: " + kind,
         b"WARC-Record-ID: " + _urn(page_id, "-" + digest[:16]),
         b"WARC-Date: " + DATE,
         b"WARC-Target-URI: " + target.encode(),
@@ -58,12 +55,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         b"WARC-Block-Digest: sha256:" + hashlib.sha256(block).hexdigest().encode(),
         b"Content-Type: application/http; msgtype=response",
         b"Content-Length: %d" % len(block),
+        *more,
     ]
-    if refers_to is not None:
-        head += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: " + _urn(refers_to)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _http(size: int) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str) -> bytes:
+    """A response, uncompressed: an HTTP header and the payload."""
+    return _record(b"response", page_id, url, digest, _http(len(payload)) + payload)
+
+
+def revisit(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int) -> bytes:
+    """A record that refers to the response with the same payload: the HTTP header alone."""
+    return _record(b"revisit", page_id, url, digest, _http(size), (b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: " + _urn(refers_to)))
+
+
 def member(data: bytes, level: int = 6) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -126,21 +136,30 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_bytes: int = 16 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``; one row (path, records) a file."""
     ship(pages.sparkSession)
-    n = partitions_for(pages.select("page_id", "url", "html"), partition_bytes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     # which payloads repeat is decided from ids and digests alone
-    sums = keyed.where(F.octet_length("payload") >= min_bytes).select("page_id", "key", "digest")
+    sums = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", key.alias("key"), F.sha2("payload", 256).alias("digest"))
     first = sums.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
     again = materialize(sums.join(materialize(first, "repeated"), "digest").where("page_id is null or page_id <> first").groupBy("key", "digest").agg(F.min("first").alias("refers_to")), "revisits")
-    if again.count() <= broadcast_rows:
-        marked = keyed.join(F.broadcast(again), ["key", "digest"], "left")
-    else:  # the payloads move once, evenly by page
-        marked = keyed.repartition(n, "key", "digest").join(again.repartition(n, "key", "digest"), ["key", "digest"], "left")
-    marked = marked.select("page_id", "url", "payload", "digest", "refers_to")
+
+    @tidied
+    def pack(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                s = b.slice(i, 128)
+                out = []
+                for page_id, url, payload in zip(*(s.column(k).to_pylist() for k in range(3)), strict=True):
+                    digest = hashlib.sha256(payload).hexdigest()
+                    out.append({"page_id": page_id, "key": "" if page_id is None else str(page_id), "url": url, "size": len(payload), "digest": digest, "data": member(record(page_id, url, payload, digest))})
+                yield pa.RecordBatch.from_pylist(out, PACKED)
+
+    # the size of ``again`` is known, so Spark itself broadcasts it where it is small; else the members move
+    packed = rows.mapInArrow(pack, "page_id long, key string, url string, size long, digest string, data binary")
+    marked = packed.join(again, ["key", "digest"], "left").select("page_id", "url", "size", "digest", "data", "refers_to")
 
     @tidied
     def run(batches):
@@ -154,8 +173,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_by
             for b in batches:
                 for i in range(0, b.num_rows, 128):
                     s = b.slice(i, 128)
-                    for row in zip(*(s.column(k).to_pylist() for k in range(5)), strict=True):
-                        out.write(member(record(*row)))
+                    for page_id, url, size, digest, data, refers_to in zip(*(s.column(k).to_pylist() for k in range(6)), strict=True):
+                        out.write(data if refers_to is None else member(revisit(page_id, url, size, digest, refers_to)))
                         count += 1
         if not count:
             fs.delete_file(temp)
@@ -166,6 +185,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100, partition_by
     return materialize(marked.mapInArrow(run, "path string, records long"), "archives")
 
 
+PACKED = pa.schema([("page_id", pa.int64()), ("key", pa.string()), ("url", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("data", pa.binary())])
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 

@@ -203,14 +203,154 @@ def test_toxicity_held_out(spark, medium):
     assert all(r.predicted == int(r.score >= 0.5) and r.held_out == (crc(r.doc_id) % 5 == 0) for r in rows.values())
 
 
-def test_toxicity_picks_rows_that_can_be_learned(spark):
-    """Most labelled texts are too long to learn from: the sample is filled from the others."""
-    text = F.when(F.col("doc_id") >= 20, F.repeat(F.lit("plain words here. "), 1200)).otherwise(F.concat(F.when(F.col("doc_id") % 2 == 1, "you vile grub ").otherwise("you kind friend "), F.col("doc_id").cast("string")))
-    docs = spark.range(420).select(F.col("id").alias("doc_id")).withColumn("text", text)
+def test_toxicity_learns_from_long_texts(spark):
+    text = F.concat(F.repeat(F.lit("plain words here. "), 80_000), F.when(F.col("doc_id") % 2 == 1, "you vile grub ").otherwise("you kind friend "), F.col("doc_id").cast("string"))
+    docs = spark.range(8).select(F.col("id").alias("doc_id")).withColumn("text", text)
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    model = toxicity.train(docs, labels, rows=20, usable=F.lit(True))
+    model = toxicity.train(docs, labels, usable=F.lit(True))
     assert {b"vile", b"grub"} <= set(model.weights)
-    assert {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()} == set(range(1, 20, 2))
+    rows = {r.doc_id: r for r in toxicity.score(docs, model, offending=True).collect()}
+    assert {i for i, r in rows.items() if r.predicted} == {1, 3, 5, 7}
+    assert [(s.start, s.end) for s in rows[1].offending] == [(18 * 80_000 - 1, 18 * 80_000 + 15)] and rows[2].offending == []
+
+
+def plain_toxicity(texts, labels):
+    """The model from its definition: dense matrices, a loop over documents, the same steps."""
+    import math
+
+    def parts(text):
+        lines = re.split(rb"[.!?\n\r]", text.encode())
+        bags = []
+        for line in lines:
+            words = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in line).split()
+            if words:
+                bags.append({w for w in words} | {b"^" + w[:k] for w in words for k in (4, 6) if len(w) > k})
+        return bags
+
+    bags, pos, neg = [parts(t) for t in texts], sum(labels), len(labels) - sum(labels)
+    has = lambda f, y: sum(any(f in b for b in bag) for bag, v in zip(bags, labels) if v == y)
+    seen = {f for bag, v in zip(bags, labels) if v for b in bag for f in b}
+    odds = {f: math.log((has(f, 1) + 0.5) / (pos + 1)) - math.log((has(f, 0) + 0.5) / (neg + 1)) for f in sorted(seen) if has(f, 1) >= 3}
+    names = [f for f in sorted(odds) if odds[f] > 1]
+    w, b, m, v = np.array([odds[f] / 2 for f in names]), -2.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    x = [[np.array([float(f in s) for f in names]) for s in bag if any(f in s for f in names)] for bag in bags]
+    for t in range(1, 151):
+        grad = np.zeros(len(names) + 1)
+        for sentences, y in zip(x, labels):
+            p = [1 / (1 + math.exp(-max(-30, min(30, b + s @ w)))) for s in sentences]
+            q = min(max(1 - math.prod(1 - min(k, 1 - 1e-9) for k in p), 1e-6), 1 - 1e-6)
+            for s, k in zip(sentences, p):
+                grad += np.append(s, 1.0) * k * (y / q - 1)
+        grad[:-1] -= 0.02 * w
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w + step[:-1], min(b + step[-1], -1.0)
+    weights = {f: k for f, k in zip(names, w) if k > 0.05}
+
+    def score(text):
+        safe = 1.0
+        for s in parts(text):
+            if any(f in weights for f in s):
+                safe *= 1 - 1 / (1 + math.exp(-(b + sum(weights.get(f, 0) for f in s))))
+        return 1 - safe
+
+    return score
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(11)
+    fill = ["the", "Water", "stone", "garden", "evening", "river", "letter", "window"]
+    rows = []
+    for k in range(60):
+        said = [" ".join(rng.choices(fill, k=6)) for _ in range(3)]
+        if k % 3 == 0:
+            said[rng.randrange(3)] += " " + rng.choice(["vilest", "vileness grub", "Grub", "gnarls"])
+        rows.append((k, "! ".join(said), int(k % 3 == 0)))
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learned = [(i, t, y) for i, t, y in rows if crc(i) % 5]
+    plain = plain_toxicity([t for _, t, _ in learned], [y for *_, y in learned])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-6) for i, t, _ in rows)
+
+
+def test_quality_score_equals_brute_force(spark, medium):
+    """Statistics by plain Python, rules by plain Python: the compiled expression agrees on every text."""
+    docs = table(spark, medium, "documents")
+    model = quality.train(docs, table(spark, medium, "labels"))
+
+    def stats(t):
+        t, n = t or "", max(len(t or ""), 1)
+        words, lines = re.split("[ \t\n\r]+", t), t.split("\n")
+        share = lambda p: len(re.findall(p, t)) / n
+        return {
+            "log_length": np.log1p(len(t)), "word_length": n / len(words), "distinct_words": len(set(words)) / len(words), "line_length": np.log1p(n / len(lines)), "distinct_lines": len(set(lines)) / len(lines),
+            "capitals": share("[A-Z]"), "digits": share("[0-9]"), "symbols": share(r"[#$%&*+=<>^~@\\/{}\[\]_]"), "bars": share("[|]"), "shouts": share("[!?]"), "stops": share("[.,;:]"),
+        }
+
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        x, z = stats(r.text), model.bias
+        for rule, w in model.rules:
+            z += w * all((x[s] > v) if up else (x[s] <= v) for s, up, v in rule.parts)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), r.doc_id
+
+
+def plain_language(text, model):
+    """The decoding from its definition: n-gram shares by a loop, every codeword's weighted loss."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = b" " + b" ".join(bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode()).split()) + b" "
+    m32, seen = (1 << 32) - 1, {}
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            h = data[i] * 2654435761 & m32
+            for k in range(1, n):
+                h = ((h ^ h >> 15) * (2246822519, 3266489917)[k - 1] + data[i + k] * 2654435761) & m32
+            seen[h >> 20] = seen.get(h >> 20, 0) + 1
+    total, x = sum(seen.values()), np.zeros(4096)
+    for h, c in seen.items():
+        x[h] = np.float32(math.sqrt(c / total))
+    margins = [float(x @ model.weights[:, j] + model.bias[j]) for j in range(model.code.shape[1])]
+    losses = [sum(t * math.log1p(math.exp(-m * bit)) for t, m, bit in zip(model.trust, margins, row)) for row in model.code]
+    e = [math.exp(-v) for v in losses]
+    best = max(range(len(e)), key=lambda k: (e[k], -k))
+    return model.languages[best], e[best] / sum(e)
+
+
+def test_language_equals_brute_force(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for r in docs.collect():
+        lang, score = plain_language(r.text, model)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows, one of them a third of all rows under one id."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(alphabet[(k + j) % 26] * 3 + alphabet[(k * 7 + j) % 26] for j in range(30)), f"l{k % 40:02d}") for k in range(400)]
+    rows += [(1000, "hot text of one id", "hot")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, rows=20, usable=F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_held_out_languages_are_not_learned(spark, sf):
+    docs = table(spark, sf, "documents")
+    flipped = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "xx").otherwise(F.col("lang")))
+    a, b = langid.train(docs), langid.train(flipped)
+    assert a.languages == b.languages and (a.weights == b.weights).all()
+
+
+def test_contradicting_labels_each_count(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, None), (2, 1), (None, 1)], "doc_id long, toxic int")
+    got = sorted((r.text, r.label) for r in toxicity.sample(docs, labels, "toxic", F.lit(True), 100).collect())
+    assert got == [("a b", 0), ("a b", 1), ("c", 0), ("c", 1)]
+    assert toxicity.sample(docs, labels, "toxic", F.lit(True), 100).count() == 4
 
 
 def test_classifiers_on_odd_rows(spark, medium):
@@ -306,8 +446,10 @@ def test_warc_round_trip(spark):
     big = "<html>" + "x" * 200
     rows = [(3, "u", big), (1, "u1", big), (1, "u1", big), (7, None, None), (8, "u", "short"), (9, "u", "short"), (None, "u", big), (4, "é \r\n", "ä" * 60), (2, "u", "ä" * 60)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
-    for limit in (100_000, 0):  # by broadcast and by shuffle
-        archives = warc.write_warc(df, warc.shared_path(spark, "w"), broadcast_rows=limit)
+    for threshold in ("10m", "-1"):  # by broadcast and by shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        archives = warc.write_warc(df, warc.shared_path(spark, "w"))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(archives).collect()], key=str)
         assert got == sorted([(3, 206, "revisit", 1), (1, 206, "response", None), (1, 206, "response", None), (7, 0, "response", None), (8, 5, "response", None), (9, 5, "response", None), (None, 206, "revisit", 1), (4, 120, "revisit", 2), (2, 120, "response", None)], key=str)
         assert {bytes(r.payload) for r in warc.read_warc(archives, payload=True).where("page_id = 1").collect()} == {big.encode()}

@@ -160,10 +160,10 @@ def test_token_counts_equal_plain_dynamic_programming():
 
 
 def test_warc_records():
-    data = warc.record(5, "http://x/ a\r\nb", "ü<p>".encode(), __import__("hashlib").sha256("ü<p>".encode()).hexdigest(), None)
+    data = warc.record(5, "http://x/ a\r\nb", "ü<p>".encode(), __import__("hashlib").sha256("ü<p>".encode()).hexdigest())
     row = warc.parse(data)
     assert (row["page_id"], row["payload"], row["record_type"], row["refers_to"]) == (5, "ü<p>".encode(), "response", None)
-    archive = warc.member(data) + warc.member(warc.record(6, None, b"q" * 200, "0" * 64, 5))
+    archive = warc.member(data) + warc.member(warc.revisit(6, None, 200, "0" * 64, 5))
     assert len(list(warc.members(io.BytesIO(archive)))) == 2
     again = warc.parse(list(warc.members(io.BytesIO(archive)))[1])
     assert (again["record_type"], again["refers_to"], again["payload_bytes"], again["payload"]) == ("revisit", 5, 200, b"")
