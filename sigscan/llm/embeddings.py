@@ -2,12 +2,15 @@
 
 Equal vectors of a label become one node. Unit vectors are points of a metric
 space where a cosine of at least ``least`` is a distance of at most r =
-sqrt(2 - 2 * least). Each label is partitioned by pivots of its own (vectors
-taken by hash, about one for every ``cell`` nodes); a node lives in the cell of
-its nearest pivot and is replicated to each cell whose pivot is at most 2 r
-farther and within that cell's radius plus r, which the triangle inequality
-shows to be all that can hold a partner. Cells join independently, in tiles of
-bounded size; a tile reports its nodes' numbers of links and a forest of them.
+sqrt(2 - 2 * least). Each label is partitioned by pivots of its own: of a sample
+taken by hash those that lie farthest from each other, one for every ``cell``
+nodes, two at least. A node lives in the cell of its nearest pivot and is
+replicated to each cell whose pivot is at most 2 r farther and within that
+cell's radius plus r, which the triangle inequality shows to be all that can
+hold a partner. Cells join independently, in tiles of bounded size, where nodes
+are ordered by their distance to one of them, and only those that differ in it
+by r at most are compared. A tile reports its nodes' numbers of links and a
+forest of them.
 
 Nulls, ties and odd rows: a vector that is null, empty, zero, or holds null or
 non-finite components, or whose label is null, links with nothing; so do
@@ -24,12 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscan.llm.common import components, forest, union_edges
+from sigscan.llm.common import components, tidied, union_edges
 from sigscan.session import materialize, ship
 
 LEAST, CELL = 0.98, 4096
-#: Most pivots of all labels together: what is sent to executors is bounded by this many vectors.
-MAX_PIVOTS = 2048
+#: Nodes of a label that is divided at least in two.
+FEW = 16
+#: Most pivots of all labels together, and of vectors that they are taken from: what the driver and the executors get is bounded by them.
+MAX_PIVOTS, MAX_SAMPLE = 2048, 8192
+#: Bytes (of doubles) of the home nodes of a tile; of other nodes it has twice as many.
+TILE_BYTES = 8 << 20
 #: For rounding, which near a distance of 0 is the root of a double's; a replica too many costs time, never a link.
 EPS = 1e-6
 
@@ -45,7 +52,9 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows (vec_id, key), key null where nothing can link; and the distinct vectors (nid, space, vector, copies, first)."""
-    e = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
+    # single precision is kept as it is: half the bytes to move, and exact when it is widened to compute
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    e = F.transform(F.col("embedding"), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 becomes 0.0
     fine = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
@@ -58,18 +67,30 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "key"), materialize(merged.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
 
+def _farthest(x: np.ndarray, n: int) -> np.ndarray:
+    """n of the rows, each the farthest from those before it, the first row first."""
+    out, near = [0], _distance(x, x[:1])[:, 0]
+    while len(out) < min(n, len(x)):
+        out.append(int(near.argmax()))
+        near = np.minimum(near, _distance(x, x[out[-1:]])[:, 0])
+    return x[out]
+
+
 def _pivots(found: DataFrame, cell: int) -> dict[str, np.ndarray]:
     """Unit pivots of each space that needs more than one cell, MAX_PIVOTS in all at most."""
-    sizes = found.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    total = sizes.agg(F.sum(F.ceil(F.col("n") / F.lit(float(cell))))).first()[0] or 0
-    scale = min(1.0, MAX_PIVOTS / total) if total else 1.0
-    chance = F.ceil(F.col("n") / F.lit(float(cell))) * scale / F.col("n")
+    wanted = F.greatest(F.ceil(F.col("n") / F.lit(float(cell))), F.lit(2))
+    sizes = materialize(found.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > min(FEW, cell)).withColumn("pivots", wanted), "spaces")
+    total = sizes.agg(F.sum("pivots")).first()[0] or 0
+    if not total:
+        return {}
+    few = max(1.0, total / MAX_PIVOTS)
     at = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = found.join(sizes, "space").where(at < chance * 1.5).orderBy(F.xxhash64("key")).limit(MAX_PIVOTS).select("space", "vector").collect()
+    chance = F.greatest(F.col("pivots") / few * 4, F.lit(8.0)) / F.col("n")
+    picked = found.join(sizes, "space").where(at < chance).orderBy(F.xxhash64("key")).limit(MAX_SAMPLE).select("space", "vector", "pivots").collect()
     out: dict[str, list] = {}
     for r in picked:
-        out.setdefault(r.space, []).append(r.vector)
-    return {s: _unit(np.array(v, float)) for s, v in out.items()}
+        out.setdefault(r.space, ([], int(np.ceil(r.pivots / few))))[0].append(r.vector)
+    return {s: _farthest(_unit(np.array(v, float)), n) for s, (v, n) in out.items()}
 
 
 def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
@@ -78,6 +99,7 @@ def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
     ship(spark)
     sent = spark.sparkContext.broadcast(_pivots(found, cell))
 
+    @tidied
     def near(frames):
         for pdf in frames:
             for space, at in pdf.groupby("space").indices.items():
@@ -92,6 +114,7 @@ def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
     wide = {r.cell: r.far for r in found.select("space", "vector").mapInPandas(near, "cell string, gap double").groupBy("cell").agg(F.max("gap").alias("far")).collect()}
     radii = spark.sparkContext.broadcast(wide)
 
+    @tidied
     def deal(frames):
         for pdf in frames:
             for space, at in pdf.groupby("space").indices.items():
@@ -110,14 +133,15 @@ def cells(found: DataFrame, radius: float, cell: int = CELL) -> DataFrame:
                     r, q = np.nonzero(go)
                     yield pd.DataFrame({"cell": [f"{space}|{k}" for k in q], "home": q == own[r], "nid": rows["nid"].to_numpy()[r], "vector": rows["vector"].to_numpy()[r], "copies": rows["copies"].to_numpy()[r]})
 
-    return found.select("space", "nid", "vector", "copies").mapInPandas(deal, "cell string, home boolean, nid long, vector array<double>, copies long")
+    return found.select("space", "nid", "vector", "copies").mapInPandas(deal, f"cell string, home boolean, nid long, vector {found.schema['vector'].dataType.simpleString()}, copies long")
 
 
-def links(found: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
+def links(found: DataFrame, least: float = LEAST, cell: int = CELL, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Rows (nid, n, null, null) with a node's links found in a tile, and (null, null, u, v) of a forest of the links."""
     radius = float(np.sqrt(2 - 2 * least))
     dealt = materialize(cells(found, radius, cell), "cells")
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / F.lit(float(cell))).alias("rows"), F.ceil(F.count("*") / F.lit(2.0 * cell)).alias("cols")).where("rows > 0")
+    wide = F.max(F.size("vector")) * F.lit(8.0 / tile_bytes)  # of a tile, that one vector takes
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) * wide).alias("rows"), F.ceil(F.count("*") * wide / 2).alias("cols")).where("rows > 0")
     # tile (i, j) of a cell: home nodes with hash i against all of the cell's nodes with hash j
     placed = dealt.join(sizes, "cell").withColumn("h", F.xxhash64("nid"))
     zero = F.lit(0).cast("long")
@@ -129,15 +153,20 @@ def links(found: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame
         if not len(a) or not len(b):
             return pd.DataFrame({"nid": [], "n": [], "u": [], "v": []})
         x, y = (_unit(np.stack(p["vector"].to_numpy()).astype(float)) for p in (a, b))
+        # in the order of the distance to one of them
+        dx, dy = _distance(x, y[:1])[:, 0], _distance(y, y[:1])[:, 0]
+        ox, oy = dx.argsort(kind="stable"), dy.argsort(kind="stable")
+        a, x, dx, b, y, dy = a.iloc[ox], x[ox], dx[ox], b.iloc[oy], y[oy], dy[oy]
         ids, at = np.unique(np.concatenate([a["nid"], b["nid"]]), return_inverse=True)
         ia, ib, copies = at[: len(a)], at[len(a) :], b["copies"].to_numpy()
-        counts, label = np.zeros(len(a), np.int64), np.arange(len(ids))
+        counts, label = np.zeros(len(a), np.int64), np.arange(len(ids))  # of nodes, least of their class
         for k in range(0, len(a), 256):
-            hit = x[k : k + 256] @ y.T >= least
-            hit &= ia[k : k + 256, None] != ib[None, :]
-            counts[k : k + 256] = hit @ copies
+            low, high = np.searchsorted(dy, (dx[k] - radius - EPS, dx[min(k + 256, len(dx)) - 1] + radius + EPS))
+            hit = x[k : k + 256] @ y[low:high].T >= least
+            hit &= ia[k : k + 256, None] != ib[None, low:high]
+            counts[k : k + 256] = hit @ copies[low:high]
             r, c = np.nonzero(hit)
-            label = union_edges(label, ia[k + r], ib[c])
+            label = union_edges(label, ia[k + r], ib[low + c])
         tree = np.flatnonzero(label != np.arange(len(ids)))
         n = np.flatnonzero(counts)
         blank = lambda k: pd.array([None] * k, "Int64")
@@ -146,10 +175,10 @@ def links(found: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame
     return rows.union(cols).groupBy("cell", "i", "j").applyInPandas(join, "nid long, n long, u long, v long")
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, cell: int = CELL, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     rows, found = nodes(vectors)
-    out = materialize(links(found, least, cell), "links")
+    out = materialize(links(found, least, cell, tile_bytes), "links")
     counts = out.where("nid is not null").groupBy("nid").agg(F.sum("n").alias("n"))
     roots = components(out.where("u is not null").select("u", "v"))
     placed = found.select("nid", "key", "copies", "first").join(counts, "nid", "left").join(roots, F.col("nid") == roots.node, "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first", F.coalesce("root", "nid").alias("root"))

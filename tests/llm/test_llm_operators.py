@@ -428,6 +428,40 @@ def test_cell_that_holds_only_its_pivot(spark):
     assert got == sorted(brute_vectors(rows), key=str)
 
 
+@pytest.mark.parametrize("seeds", [range(0, 7), range(7, 14), range(14, 20)])
+def test_planted_links_of_many_seeds(spark, seeds):
+    """Small cells and tiles; a label for each seed: clusters of several widths, a pair at the very threshold, copies, a lone outlier."""
+    rows = []
+    for seed in seeds:
+        rng = np.random.default_rng(seed)
+        centers = rng.normal(size=(4, 8))
+        for k in range(76):
+            v = centers[k % 4] + rng.normal(size=8) * rng.choice([0.0, 0.01, 0.1, 0.3])
+            rows.append((seed * 1000 + k, v.tolist(), seed))
+        edge = np.zeros(8)
+        edge[0], edge[1] = 0.98, np.sqrt(1 - 0.98**2)
+        rows += [(seed * 1000 + 90, [1.0] + [0.0] * 7, seed), (seed * 1000 + 91, (edge * 3).tolist(), seed), (seed * 1000 + 92, [-1.0] + [0.0] * 7, seed)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    want = sorted(brute_vectors(rows), key=str)
+    for cell, tile in ((2, 8 * 8 * 5), (9, 8 * 8 * 1000)):
+        assert sorted([tuple(r) for r in embeddings.near_vectors(df, cell=cell, tile_bytes=tile).collect()], key=str) == want
+
+
+def test_query_deals_by_pivots_and_finds_planted_links(spark, tmp_path):
+    """The registered query with its own parameters on labels large enough for several cells."""
+    rng, rows = np.random.default_rng(1), []
+    for k in range(900):
+        v = rng.normal(size=16) if k % 3 or k < 9 else np.array(rows[k - 9][1]) + rng.normal(size=16) * 0.05
+        rows.append((k, [float(np.float32(x)) for x in v], k % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    _, found = embeddings.nodes(df)
+    assert found.schema["vector"].dataType.elementType.typeName() == "float"
+    assert embeddings.cells(found, 0.2).select("cell").distinct().count() == 4
+    got = sorted([tuple(r) for r in queries.op4_near_vectors(spark, str(tmp_path)).collect()], key=str)
+    assert got == sorted(brute_vectors(rows), key=str) and sum(r[1] > 0 for r in got) > 200
+
+
 def test_pivots_replicate_less_than_all_pairs(spark):
     """Tight clusters: the triangle inequality keeps a vector out of most cells."""
     rng = np.random.default_rng(2)
