@@ -66,6 +66,7 @@ def predicate(field: str, year: int, types: Column, pub_year: Column, has_abstra
 
 def query_text(field: str, year: int, journals: list[str] | None = None) -> str:
     """The search as text for a literature service."""
+    # fixed values: the spelling of the searches
     tail = f'"{year}"[PDAT] AND hasabstract AND medline[sb]'
     words = {"rct": '"Randomized Controlled Trial"[PT]', "ct": '"Clinical Trial"[PT] NOT "Randomized Controlled trial"[PT]', "meta": '"Meta-analysis"[PT]', "review": '"Review"[PT] NOT "Meta-analysis"[PT]', "Systematic_Review": '"Systematic Review"[PT]', "Observational_Study": '"Observational Study"[PT]'}
     if field == "all":

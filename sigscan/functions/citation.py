@@ -11,6 +11,7 @@ from sigscan.functions.text import W, trim_ws
 SEASONS = ["Spring", "spring", "Summer", "summer", "Fall", "fall", "Autumn", "autumn", "Winter", "winter"]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
+# fixed values: the grammar of a citation's start; another order of its parts would accept other citations
 _S, _M = "|".join(SEASONS), "|".join(MONTHS)
 _DATE = (
     rf"((?:16|17|18|19|20)[0-9]{{2}})(?:{W}[A-Za-z]{{3}}(?:{W}[0-9]{{1,2}})?)?"

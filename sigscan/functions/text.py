@@ -50,3 +50,11 @@ def file_stem(path: Column) -> Column:
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 if valid, else as Latin-1 (which decodes anything)."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+
+
+def page_text(html: Column) -> Column:
+    """The readable text of a web page, tags of any kind tolerated: its body (the whole page if it has none) without comments, scripts, styles and tags, on one line."""
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<script[ \t\r\n>].*?</script[ \t\r\n]*>|<style[ \t\r\n>].*?</style[ \t\r\n]*>", " ")
+    t = F.regexp_replace(t, r"(?is)^.*?<body(?:[ \t\r\n][^>]*)?>", "")
+    t = F.regexp_replace(t, r"(?is)</body[ \t\r\n]*>.*$", "")
+    return clean_text(F.regexp_replace(t, "<[^>]*>", " "))

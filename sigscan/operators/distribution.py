@@ -21,6 +21,11 @@ def bin_counts(values: DataFrame, by: tuple[str, ...] = ("category",)) -> DataFr
     return counted.select(*by, bin_label(F.col("__bin")).alias("bin"), "lt", "eq", "gt", "other", "total")
 
 
+def sorted_bins(counts: DataFrame, by: tuple[str, ...] = ("category",)) -> DataFrame:
+    """Bins in the order of their keys; labels are of one width, so their order as text is that of their values."""
+    return counts.orderBy(*by, "bin")
+
+
 def totals(df: DataFrame, pvalues: str = "pv", by: tuple[str, ...] = ("category",)) -> DataFrame:
     """(by): articles and p-values."""
     return df.groupBy(*by).agg(F.count("*").alias("articles"), F.sum(F.size(pvalues).cast("long")).alias("pvalues"))

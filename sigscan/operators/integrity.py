@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigscan.functions.text import not_blank
+from sigscan.session import materialize
+
 
 def missing_ids(wanted: DataFrame, present: DataFrame, key: str = "article_id") -> DataFrame:
     """Distinct ids of ``wanted`` that ``present`` lacks, in string order."""
@@ -23,6 +26,12 @@ def distinct_lines(lines: DataFrame, text: str = "line", at: str = "pos", by: tu
     return lines.groupBy(*by, text).agg(F.min(at).alias(at))
 
 
+def without_blank_lines(files: DataFrame) -> DataFrame:
+    """(path, text) of text files with their blank lines dropped and the others' ends stripped of line marks; a file of blank lines becomes empty."""
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), not_blank)
+    return files.withColumn("text", F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""))
+
+
 def append_missing(corpus: DataFrame, fetched: DataFrame, key: str = "article_id") -> DataFrame:
     """The corpus with fetched rows whose ids it lacks."""
     return corpus.unionByName(fetched.join(corpus.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
@@ -31,11 +40,12 @@ def append_missing(corpus: DataFrame, fetched: DataFrame, key: str = "article_id
 def chunks(df: DataFrame, order: str, size: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``chunk``: fixed-size request batches in order, numbered from 0.
 
-    Without ``by`` the numbers come from counts of range partitions, not from one task.
+    Without ``by`` the numbers come from counts of range partitions, not from one task. The ordered rows are
+    written first: both uses of them must see the same partitions, which adaptive execution does not promise.
     """
     if by:
         return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size).cast("long"))
-    indexed = df.orderBy(order).withColumn("__id", F.monotonically_increasing_id())
+    indexed = materialize(df.orderBy(order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftrightunsigned("__id", 33)
     base = indexed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     base = base.withColumn("__base", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")

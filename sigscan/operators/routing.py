@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.functions.categories import CATEGORIES, article_id, bucket_array, truthy, year_of
 
+# fixed values: the headers that label tables have
 ID_NAMES, YEAR_NAMES = ("pmc id", "pmc_id", "pmcid"), ("year", "pdat_year", "pub_year")
 # fixed values: the reasons in skip logs, in the order in which they are decided
 UNRECOGNIZED, DUPLICATE, MISSING, NO_FLAGS, UNREADABLE = "non-xml or unrecognized filename", "duplicate-pmcid", "metadata-missing", "no-category-flags", "extract-failed"
@@ -21,12 +24,15 @@ def _pick(names: dict[str, str], wanted: tuple[str, ...], what: str) -> str:
 
 
 def load_labels(df: DataFrame, order: str | None = None) -> DataFrame:
-    """(pmcid, year, buckets) of a label table with any of the known headers; the last row (by ``order``) of an id wins."""
+    """(pmcid, year, buckets) of a label table with any of the known headers; the last row (by ``order``) of an id wins.
+
+    Rows of a table have no order of their own, so without one the greatest (year, buckets) wins: reruns agree.
+    """
     names = {c.strip().lower(): c for c in reversed(df.columns)}
     key, year = _pick(names, ID_NAMES, "article id"), _pick(names, YEAR_NAMES, "year")
     buckets = bucket_array({c.flag: truthy(F.col(f"`{names[c.flag]}`")) for c in CATEGORIES if c.flag in names})
-    rows = df.select(article_id(F.col(f"`{key}`")).alias("pmcid"), year_of(F.col(f"`{year}`")).alias("year"), buckets.alias("buckets"), (F.col(order) if order else F.monotonically_increasing_id()).alias("__at"))
-    last = rows.where("pmcid is not null").groupBy("pmcid").agg(F.max_by(F.struct("year", "buckets"), "__at").alias("v"))
+    rows = df.select(article_id(F.col(f"`{key}`")).alias("pmcid"), year_of(F.col(f"`{year}`")).alias("year"), buckets.alias("buckets"), (F.col(order) if order else F.lit(0)).alias("__at"))
+    last = rows.where("pmcid is not null").groupBy("pmcid").agg(F.max(F.struct("__at", "year", "buckets")).alias("v"))
     return last.select("pmcid", F.col("v.year").alias("year"), F.col("v.buckets").alias("buckets"))
 
 
@@ -44,8 +50,10 @@ def decide(members: DataFrame, labels: DataFrame, seen: DataFrame | None = None)
     """
     df = members if "readable" in members.columns else members.withColumn("readable", F.lit(True))
     df = df.withColumn("pmcid", member_id(F.col("inner_path")))
-    first = F.row_number().over(Window.partitionBy("pmcid").orderBy("src_tar", "member_pos")) == 1
-    named = df.where("pmcid is not null").withColumn("__again", ~first)
+    named = df.where("pmcid is not null")
+    # the first copy of an id comes from a minimum that copies of a hot id combine into before they are shuffled
+    first = named.groupBy("pmcid").agg(F.min(F.struct("src_tar", "member_pos")).alias("__first"))
+    named = named.join(first, "pmcid").withColumn("__again", F.struct("src_tar", "member_pos") > F.col("__first")).drop("__first")
     if seen is not None:
         known = seen.where("pmcid is not null and pmcid <> ''").select(F.col("pmcid").alias("__seen")).distinct()
         named = named.join(known, F.col("pmcid") == F.col("__seen"), "left").withColumn("__again", F.col("__again") | F.col("__seen").isNotNull()).drop("__seen")
@@ -85,6 +93,24 @@ def crosstab(decided: DataFrame) -> DataFrame:
     return copies(decided).groupBy("bucket", F.coalesce(F.col("year").cast("string"), F.lit("unknown")).alias("year")).agg(F.count("*").alias("n"))
 
 
+def sorted_crosstab(decided: DataFrame) -> DataFrame:
+    """The cross-table in the order of bucket and of the year's text."""
+    return crosstab(decided).orderBy("bucket", "year")
+
+
+#: The collections of the open-access subset in the order in which their archives are routed: of copies in several, the first one's is taken.
+COLLECTIONS = ("comm", "noncomm", "other")
+
+
+def union_collections(**members: DataFrame) -> DataFrame:
+    """Members (src_tar, ...) of the collections as one table; src_tar gets the collection's place in front, so that :func:`decide` takes copies in that order."""
+    wrong = sorted(set(members) - set(COLLECTIONS))
+    if wrong or not members:
+        raise ValueError(f"collections are {', '.join(COLLECTIONS)}" + f", not {', '.join(wrong)}" * bool(wrong))
+    placed = [members[c].withColumn("src_tar", F.concat(F.lit(f"{k}_{c}/"), F.col("src_tar"))) for k, c in enumerate(COLLECTIONS) if c in members]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+
+
 def write_buckets(copied: DataFrame, path: str) -> None:
     """Append copies as Parquet partitioned by bucket and year; rows are dealt by both and salted, so that a hot bucket has many writers."""
     n = copied.sparkSession.sparkContext.defaultParallelism

@@ -15,7 +15,7 @@ from sigscan.functions.text import WS, clean_text, file_stem, first_token, homog
 from sigscan.operators import distribution, integrity, metadata, routing, trend
 from sigscan.plans import carriers
 from sigscan.plans.carriers import ARTICLES, CORE_JOURNALS, FILELIST, LABELS, MEMBERS, derive
-from sigscan.session import table
+from sigscan.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,7 +94,7 @@ def journals(spark: SparkSession) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with their buckets and, extracted once for each article before any fan-out, their p-values."""
-    df = derive(spark, sf_dir, ARTICLES)
+    df = spread(derive(spark, sf_dir, ARTICLES))
     df = metadata.add_journal_flag(df, journals(spark))
     flags = {k: v == 1 for k, v in type_flags(F.col("publication_type")).items()} | {"clinical_useful_journal": F.col("clinical_useful_journal") == 1}
     return df.select("doc_id", "line", "year", bucket_array(flags).alias("buckets"))
@@ -109,7 +109,7 @@ def with_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PVALUES} SELECT doc_id, pos, p, op FROM pv")
 def pvalue_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = derive(spark, sf_dir, ARTICLES).select("doc_id", extract_pvalues(F.col("line")).alias("pv"))
+    df = spread(derive(spark, sf_dir, ARTICLES)).select("doc_id", extract_pvalues(F.col("line")).alias("pv"))
     return df.select("doc_id", F.posexplode_outer("pv").alias("pos", "v")).where("v is not null").select("doc_id", "pos", "v.p", "v.op")
 
 
@@ -147,6 +147,11 @@ def pvalue_bins_by_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(*[F.sum(c).alias(c) for c in ("lt", "eq", "gt", "other", "total")])
 
 
+@query(ORACLES["pvalue_bins_by_operator"])
+def pvalue_bins_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.sorted_bins(pvalue_bins_by_operator(spark, sf_dir))
+
+
 @query(f"WITH {BUCKETED} SELECT category, count(*) AS articles, CAST(sum(coalesce(n, 0)) AS BIGINT) AS pvalues FROM placed LEFT JOIN least_p USING (doc_id) WHERE {_LATE} GROUP BY category")
 def pvalue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.totals(trend.explode_buckets(with_pvalues(spark, sf_dir).where(_LATE)))
@@ -160,7 +165,7 @@ _EDGE = "({} * CAST(0.001 AS DOUBLE) + CAST(0.000000000001 AS DOUBLE))"
     "SELECT bin, count(*) AS n FROM pv JOIN edges ON p >= low AND (p < high OR (bin = 49 AND p = high)) GROUP BY bin"
 )
 def pvalue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = derive(spark, sf_dir, ARTICLES).select("doc_id", extract_pvalues(F.col("line")).alias("pv"))
+    df = spread(derive(spark, sf_dir, ARTICLES)).select("doc_id", extract_pvalues(F.col("line")).alias("pv"))
     return distribution.histogram(distribution.explode_pvalues(df))
 
 
@@ -261,6 +266,27 @@ def enrich_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.enrich_types(df, _fetch(spark, sf_dir))[1].select(F.col("PMID").alias("pmid"))
 
 
+_BLANK = "pmid IS NOT NULL AND trim(coalesce(pt, '')) = ''"
+
+
+@query(
+    f"WITH {_LIST}, n AS (SELECT doc_id, {_PMID} AS pmid, publication_type AS pt FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY pmid, {_BLANK} ORDER BY doc_id DESC) AS k FROM n) "
+    f"SELECT doc_id, pmid, CASE WHEN {_BLANK} AND k = 1 AND CAST(pmid AS INT) % 30 <> 0 THEN 'Fetched Type ' || CAST(CAST(pmid AS INT) % 4 AS VARCHAR) ELSE pt END AS publication_type FROM r"
+)
+def enrich_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows of a PMID only the last one is filled."""
+    df = derive(spark, sf_dir, FILELIST).select("doc_id", F.col("pmid").alias("PMID"), F.col("publication_type").alias("PublicationType"))
+    out = metadata.enrich_types(df, _fetch(spark, sf_dir), dup_policy="last", order="doc_id")[0]
+    return out.select("doc_id", F.col("PMID").alias("pmid"), F.col("PublicationType").alias("publication_type"))
+
+
+@query(f"WITH {_LIST}, n AS (SELECT doc_id, {_PMID} AS pmid FROM f) SELECT doc_id, pmid, CASE WHEN pmid IS NOT NULL AND CAST(pmid AS INT) % 30 <> 0 THEN 'Fetched Type ' || CAST(CAST(pmid AS INT) % 4 AS VARCHAR) ELSE '' END AS publication_type FROM n")
+def enrich_without_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list that lacks the column gets it, blank, and has it filled."""
+    df = derive(spark, sf_dir, FILELIST).select("doc_id", F.col("pmid").alias("PMID"))
+    return metadata.enrich_types(df, _fetch(spark, sf_dir))[0].select("doc_id", F.col("PMID").alias("pmid"), F.col("PublicationType").alias("publication_type"))
+
+
 @query(f"WITH {_LIST} SELECT accession, pmid, CAST(NULL AS VARCHAR) AS retracted FROM f WHERE doc_id % 2 = 0 UNION ALL SELECT accession, pmid, 'no' FROM f WHERE doc_id % 2 = 1 UNION ALL SELECT accession, pmid, CAST(NULL AS VARCHAR) FROM f WHERE doc_id % 2 = 0")
 def filelist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = derive(spark, sf_dir, FILELIST)
@@ -325,6 +351,23 @@ def bucket_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.crosstab(decided(spark, sf_dir))
 
 
+@query(ORACLES["bucket_crosstab"])
+def bucket_crosstab_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.sorted_crosstab(decided(spark, sf_dir))
+
+
+_COLLECTED = _DECIDED.replace("ranked AS (SELECT *,", "placed AS (SELECT * EXCLUDE (src_tar), concat(CASE left(src_tar, 1) WHEN 'a' THEN '2_other/' WHEN 'b' THEN '1_noncomm/' ELSE '0_comm/' END, src_tar) AS src_tar FROM members),\n    ranked AS (SELECT *,").replace("FROM members),\n    decided", "FROM placed),\n    decided")
+
+
+@query(f"WITH {_COLLECTED} SELECT src_tar, inner_path, pmcid, reason FROM decided")
+def collections_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three collections whose order is not that of their archives' names: of copies, the first collection's is taken."""
+    members = derive(spark, sf_dir, MEMBERS)
+    of = lambda letter: members.where(F.col("src_tar").startswith(letter))
+    both = routing.union_collections(other=of("a"), noncomm=of("b"), comm=of("c"))
+    return routing.decide(both, labels(spark, sf_dir)).select("src_tar", "inner_path", "pmcid", "reason")
+
+
 @query(f"WITH {_LABELS} SELECT count(*) AS n, min(year) AS least, max(year) AS greatest FROM labels")
 def label_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.extent(labels(spark, sf_dir), "year")
@@ -357,9 +400,9 @@ def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.distinct_lines(lines.select("line", (F.col("doc_id") * 1000000 + F.col("k")).alias("pos"))).select("line", "pos")
 
 
-@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 200 AS BIGINT) AS chunk FROM documents")
+@query("SELECT doc_id, lang, text, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 200 AS BIGINT) AS chunk FROM documents")
 def id_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.chunks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200)
+    return integrity.chunks(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", 200)
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0")

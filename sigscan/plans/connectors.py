@@ -4,28 +4,34 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.functions.text import clean_text, decode_text
-from sigscan.operators import routing
+from sigscan.functions.categories import query_text
+from sigscan.functions.text import clean_text, decode_text, page_text
+from sigscan.operators import integrity, metadata, routing
 from sigscan.plans.carriers import ARTICLES, MEMBERS, derive
-from sigscan.plans.catalogue import _DECIDED, labels, query
-from sigscan.session import shared_path, ship, table
+from sigscan.plans.catalogue import _DECIDED, _FIELDS, _TRIM, _YEAR_TEXT, decided, labels, query, re2
+from sigscan.session import materialize, shared_path, ship, table
 from sigscan.sources import archives, corpus, literature
-from sigscan.sources.xmltext import article_sections
+from sigscan.sources.xmltext import article_sections, publication_types
 from sigscan.streaming.router import Router
 
-# regular XML around the whole text, so that SQL can check it too; malformed for every 10th document
-_PLAIN = "regexp_replace(coalesce(text, ''), '[^ -~\\n]', '', 'g')"
+#: Characters that XML 1.0 does not allow.
+_FORBIDDEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]"
+_ALLOWED = f"regexp_replace(coalesce(text, ''), {re2(_FORBIDDEN)}, '', 'g')"
+_PLAIN = f"replace(replace({_ALLOWED}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"  # line ends as XML readers see them
 
 
 def _xml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    safe = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\\n]", "")
+    """Regular XML around whole texts, so that SQL can check it too; malformed for every 10th document."""
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), _FORBIDDEN, "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         safe = F.replace(safe, F.lit(a), F.lit(b))
     end = F.when(F.col("doc_id") % 10 == 9, "</broken>").otherwise("</article>")
@@ -35,56 +41,68 @@ def _xml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"SELECT doc_id, CASE WHEN doc_id % 10 <> 9 THEN 'First ' || CAST(doc_id AS VARCHAR) END AS abstract, "
-    f"CASE WHEN doc_id % 10 <> 9 THEN nullif(regexp_replace(regexp_replace({_PLAIN}, '^[ \\n]+', ''), '[ \\n]+$', ''), '') END AS body FROM documents"
+    f"CASE WHEN doc_id % 10 <> 9 THEN nullif({_TRIM(_PLAIN)}, '') END AS body FROM documents"
 )
 def xml_abstract_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _xml_docs(spark, sf_dir).select("doc_id", article_sections("xml").alias("s")).select("doc_id", "s.abstract", "s.body")
 
 
-@query()
+_B = "[ \\t\\r\\n]"
+_PAGE = f"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script[ \\t\\r\\n>].*?</script{_B}*>|<style[ \\t\\r\\n>].*?</style{_B}*>', ' ', 'g')"
+_PAGE = f"regexp_replace(regexp_replace({_PAGE}, '(?is)^.*?<body(?:{_B}[^>]*)?>', ''), '(?is)</body{_B}*>.*$', '')"
+
+
+@query(f"SELECT page_id, {_TRIM(f'regexp_replace(regexp_replace({_PAGE}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + _B + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS body FROM pages")
 def pages_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages are mostly not XML: those give null, as malformed articles do."""
-    df = table(spark, sf_dir, "pages").select("page_id", article_sections("html").alias("s"))
-    return df.select("page_id", clean_text(F.col("s.body")).alias("body"))
+    """Web pages are mostly not XML: their text is taken without a parser."""
+    return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("body"))
+
 
+_WITH_TEXT = MEMBERS.replace("SELECT ", "SELECT text, ", 1)
 
-@query(f"SELECT src_tar, inner_path, CAST(octet_length(encode('<a>' || inner_path || '</a>')) AS BIGINT) AS n FROM ({MEMBERS})")
+
+@query(f"SELECT src_tar, inner_path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, sha256(coalesce(text, '')) AS digest FROM ({_WITH_TEXT})")
 def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of archives that are written first, one for each source archive."""
-    df = derive(spark, sf_dir, MEMBERS).select("src_tar", "inner_path", "member_pos")
-    paths = _write_archives(df, shared_path(spark, "archives"))
-    return archives.members(paths).select("src_tar", "inner_path", F.octet_length("content").cast("long").alias("n"))
+    """Members of archives that are written first, one for each source archive, whole texts in them."""
+    paths = _write_archives(_with_text(spark, sf_dir), shared_path(spark, "archives"))
+    return archives.members(paths).select("src_tar", "inner_path", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
+
+
+def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, _WITH_TEXT).select("src_tar", "inner_path", "member_pos", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
 def _write_archives(df: DataFrame, folder: str) -> DataFrame:
-    """A gzip-compressed archive for each src_tar, members in order: (path). The fixture has three archives."""
+    """A gzip-compressed archive for each src_tar, members in order: (path). An archive gets its name when it is complete; the fixture has three."""
     ship(df.sparkSession)
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         now, out, tar, names = None, None, None, []
+
+        def close():
+            if tar:
+                tar.close()
+                out.close()
+                fs.move(temp, f"{base}/{now}")
+                names.append(f"{folder}/{now}")
+
         for b in batches:
-            for name, inner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, inner, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if name != now:
-                    if tar:
-                        tar.close()
-                        out.close()
-                    now, out = name, fs.open_output_stream(f"{base}/{name}", compression=None)
+                    close()
+                    now, temp = name, f"{base}/.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temp, compression=None)
                     tar = tarfile.open(fileobj=out, mode="w|gz")
-                    names.append(f"{folder}/{name}")
-                data = f"<a>{inner}</a>".encode()
                 info = tarfile.TarInfo(inner)
                 info.size = len(data)
                 tar.addfile(info, io.BytesIO(data))
-        if tar:
-            tar.close()
-            out.close()
+        close()
         if names:
             yield pa.RecordBatch.from_pydict({"path": pa.array(names)})
 
-    written = df.repartition("src_tar").sortWithinPartitions("src_tar", "member_pos").select("src_tar", "inner_path").mapInArrow(run, "path string")
-    return df.sparkSession.createDataFrame(written.collect(), "path string")
+    return materialize(df.repartition("src_tar").sortWithinPartitions("src_tar", "member_pos").select("src_tar", "inner_path", "content").mapInArrow(run, "path string"), "archives")
 
 
 @query("SELECT * FROM (VALUES ('good', 'ok'), ('bad_gzip', 'gzip_failed'), ('bad_tar', 'tar_failed')) t(name, status)")
@@ -105,28 +123,26 @@ def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("name"), "status")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE 'caf' || chr(233) || CAST(doc_id AS VARCHAR) END AS text FROM documents")
+_LATIN = r"[^\x00-\xff]"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE chr(233) || ' ' || regexp_replace(coalesce(text, ''), {re2(_LATIN)}, '?', 'g') END AS text FROM documents")
 def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    latin = F.encode(F.concat(F.lit("café"), F.col("doc_id").cast("string")), "ISO-8859-1")
-    content = F.when(F.col("doc_id") % 2 == 0, F.coalesce("text", F.lit("")).cast("binary")).otherwise(latin)
-    return docs.select("doc_id", decode_text(content).alias("text"))
+    """Whole texts, half of them as Latin-1 that is no UTF-8."""
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    latin = F.encode(F.concat(F.lit("é "), F.regexp_replace(text, _LATIN, "?")), "ISO-8859-1")
+    return docs.select("doc_id", decode_text(F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin)).alias("text"))
+
 
+_LINE = _TRIM("regexp_replace(line, '[ \\t\\r\\n]+', ' ', 'g')")
 
-@query(f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, 'review' AS category, year FROM ({ARTICLES})")
+
+@query(f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, 'review' AS category, year, sha256({_LINE}) AS digest FROM ({ARTICLES})")
 def line_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles written as line corpora of one file name for each year, then scanned."""
+    """Articles written as line corpora with category and year in their names, then scanned."""
     folder = shared_path(spark, "lines")
-    df = derive(spark, sf_dir, ARTICLES).select("year", clean_text(F.col("line")).alias("line"))
-    years = [r.year for r in df.select("year").distinct().collect()]  # 36 at most
-    fs, base = pafs.FileSystem.from_uri(folder)
-    df.repartition("year").write.partitionBy("year").text(f"{folder}/parts")
-    for y in years:
-        fs.create_dir(f"{base}/named", recursive=True)
-        for k, f in enumerate(x.path for x in fs.get_file_info(pafs.FileSelector(f"{base}/parts/year={y}")) if x.path.endswith(".txt")):
-            fs.create_dir(f"{base}/named/{k}", recursive=True)
-            fs.move(f, f"{base}/named/{k}/pmcxtract_list_review_{y}_body.txt")
-    return corpus.read_lines(spark, f"{folder}/named").select("article_id", "category", "year")
+    corpus.write_corpus(derive(spark, sf_dir, ARTICLES).select(F.lit("review").alias("category"), "year", F.lit("body").alias("section"), clean_text(F.col("line")).alias("line")), folder)
+    return corpus.read_lines(spark, folder).select("article_id", "category", "year", F.sha2("line", 256).alias("digest"))
 
 
 class TableService:
@@ -162,3 +178,161 @@ def incremental_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     router.process(members, 3)  # all seen: changes nothing
     kept = router.table("manifest").select("pmcid", "src_tar", F.lit(routing.ACCEPT).alias("reason"))
     return kept.unionByName(router.table("skipped").select(F.nullif("pmcid", F.lit("")).alias("pmcid"), "src_tar", "reason"))
+
+
+# ---- searches
+
+
+_JOURNALS = ["Acta Test", "Ward Notes"]
+_MADE_TYPES = {"Randomized Controlled Trial": 5, "Clinical Trial": 3, "Meta-analysis": 7, "Review": 4, "Systematic Review": 11, "Observational Study": 13}
+
+
+class SearchService:
+    """A literature service that evaluates the search text against made-up records: record k has the types whose number divides it, and a year, journal and flags by arithmetic."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    @staticmethod
+    def _matches(k: int, term: str) -> bool:
+        word, field = re.fullmatch(r'"?([^"\[]*)"?(?:\[([A-Za-z]+)\])?', term.strip()).groups()
+        if field == "PT":
+            return k % {t.lower(): d for t, d in _MADE_TYPES.items()}[word.lower()] == 0
+        if field == "PDAT":
+            return 1990 + k % 36 == int(word)
+        if field == "Journal":
+            return k % 8 == ["Acta Test", "Annals of Tests", "J Sample Res", "Ward Notes"].index(word)
+        return {"hasabstract": k % 3 != 1, "medline": k % 13 != 5, "open access": k % 2 == 0}[word]
+
+    def _all(self, query: str) -> list[str]:
+        parts = [(neg == "NOT", [t for t in re.split(r" OR ", p.strip("()"))]) for neg, p in re.findall(r"(?:^| AND | (NOT) )(\([^)]*\)|(?:(?! AND | NOT ).)+)", query)]
+        return [str(k) for k in range(self.n) if all(any(self._matches(k, t) for t in terms) != neg for neg, terms in parts)]
+
+    def count(self, db: str, query: str) -> int:
+        return len(self._all(query))
+
+    def ids(self, db: str, query: str, start: int, size: int) -> list[str]:
+        return self._all(query)[start : start + size]
+
+    def fetch(self, db: str, ids: list[str]) -> dict[str, str]:
+        return {i: f"<article><front><Abstract><p> t{i} </p><p>u</p></Abstract></front></article>" for i in ids}
+
+
+def _service(spark: SparkSession, sf_dir: str) -> SearchService:
+    return SearchService(table(spark, sf_dir, "documents").count())
+
+
+_K = "range(CAST((SELECT count(*) FROM documents) AS BIGINT)) t(k)"
+_BASE = "1990 + k % 36 = 2000 AND k % 3 <> 1 AND k % 13 <> 5"
+_TESTS = {
+    "all": "true", "rct": "k % 5 = 0", "ct": "k % 3 = 0 AND k % 5 <> 0", "meta": "k % 7 = 0", "review": "k % 4 = 0 AND k % 7 <> 0", "cuj": "k % 8 IN (0, 3)",
+    "Systematic_Review": "k % 11 = 0", "Observational_Study": "k % 13 = 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, CAST(k AS VARCHAR) AS article_id FROM {_K} WHERE {_TESTS[f]} AND {_BASE}" for f in _FIELDS))
+def category_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named search of a year, as text, against a service that evaluates it; pages of 7."""
+    service = _service(spark, sf_dir)
+    found = [literature.all_ids(spark, service, query_text(f, 2000, _JOURNALS), page=7).select(F.lit(f).alias("field"), "article_id") for f in _FIELDS]
+    return metadata.union_filelists(found)
+
+
+@query(f"SELECT 'review' AS field, count(*) AS n FROM {_K} WHERE {_TESTS['review']} AND {_BASE}")
+def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = literature.count_ids(_service(spark, sf_dir), query_text("review", 2000))
+    return spark.createDataFrame([("review", n)], "field string, n long")
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS article_id, 't' || CAST(k AS VARCHAR) || ' u' AS text FROM {_K} WHERE k % 2 = 0 ORDER BY 1 LIMIT 50")
+def capped_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts of the first full-text ids in string order: the cap is the feature."""
+    service = _service(spark, sf_dir)
+    return literature.abstracts(literature.all_ids(spark, service, "open access[filter]", "pmc", page=100), service, cap=50, batch=20)
+
+
+@query(f"SELECT CASE k % 8 WHEN 0 THEN 'Acta Test' ELSE 'Annals of Tests' END AS journal, CAST(k AS VARCHAR) AS article_id FROM {_K} WHERE k % 8 IN (0, 1) AND k % 2 = 0")
+def journal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open-access articles of the first two of four journals."""
+    names = ["Ward Notes", "J Sample Res", "Annals of Tests", "Acta Test", "Acta Test"]
+    return literature.journal_ids(spark, _service(spark, sf_dir), names, first=2, page=9)
+
+
+@query(f"SELECT 'Acta Test' AS journal, CAST(k AS VARCHAR) AS article_id, 't' || CAST(k AS VARCHAR) || ' u' || chr(10) || chr(10) AS block FROM {_K} WHERE k % 8 = 0")
+def journal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literature.journal_blocks(spark, _service(spark, sf_dir), ["Acta Test"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 <> 9 THEN 'Type ' || coalesce(lang, '') || ' ; T' || CAST(doc_id % 3 AS VARCHAR) END AS types FROM documents")
+def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication types out of records; a malformed one has none."""
+    end = F.when(F.col("doc_id") % 10 == 9, "</x>").otherwise("</r>")
+    xml = F.concat(F.lit("<r><PublicationType>Type "), F.coalesce("lang", F.lit("")), F.lit("</PublicationType><PublicationType/><a><PublicationType>T"), (F.col("doc_id") % 3).cast("string"), F.lit("</PublicationType></a>"), end)
+    return table(spark, sf_dir, "documents").select("doc_id", publication_types(xml).alias("types"))
+
+
+# ---- files
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), lang, NULL FROM documents WHERE doc_id % 2 = 1")
+def csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files with two headers in one folder, written and united by name."""
+    folder, docs = shared_path(spark, "csv"), table(spark, sf_dir, "documents")
+    corpus.write_csv(docs.where("doc_id % 2 = 0").select("doc_id", "lang", "source"), folder)
+    corpus.write_csv(docs.where("doc_id % 2 = 1").select("lang", "doc_id"), folder, mode="append")
+    return corpus.read_csvs(spark, folder).select("doc_id", "lang", "source")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS PMID FROM documents")
+def id_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "ids")
+    corpus.write_ids_csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id")), folder)
+    return corpus.read_csvs(spark, folder)
+
+
+@query(f"WITH {_DECIDED} SELECT bucket, {_YEAR_TEXT.replace('unknown', 'unknown-year')} AS year, r.pmcid || '.xml' AS inner_path, CAST(octet_length(encode(coalesce(d.text, ''))) AS BIGINT) AS n FROM (SELECT unnest(buckets) AS bucket, year, pmcid, member_pos FROM decided WHERE reason = 'accept') r JOIN documents d ON d.doc_id = r.member_pos")
+def bucket_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted articles written as tar archives of their buckets and years, whole texts in them, then read back."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("member_pos"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    copied = routing.copies(decided(spark, sf_dir)).select("bucket", "year", "pmcid", "member_pos").join(texts, "member_pos")
+    written = materialize(archives.export_tars(copied, shared_path(spark, "buckets"), max_members=100), "written")
+    # archives of one name lie in folders of their own, so the path says which bucket a member is of
+    return archives.members(written, by_path=True).select(F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 1).alias("bucket"), F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 2).alias("year"), "inner_path", F.octet_length("content").cast("long").alias("n"))
+
+
+_SECTIONS = f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, year, CASE WHEN doc_id % 10 <> 9 THEN 'First ' || CAST(doc_id AS VARCHAR) END AS abstract, CASE WHEN doc_id % 10 <> 9 THEN {_TRIM('regexp_replace(' + _PLAIN + ', ' + chr(39) + '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} END AS body FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'unknown-year' ELSE CAST(1990 + doc_id % 36 AS VARCHAR) END AS year FROM documents)"
+
+
+@query(f"WITH s AS ({_SECTIONS}) SELECT 'abstract' AS section, year, sha256(article_id || ' ' || abstract) AS digest FROM s WHERE abstract <> '' UNION ALL SELECT 'body', year, sha256(article_id || ' ' || body) FROM s WHERE body <> ''")
+def archive_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article texts of archives, written in two runs of which the second repeats the first one's archives: each line is there once."""
+    folder = shared_path(spark, "converted")
+    docs = _xml_docs(spark, sf_dir).select("doc_id", article_sections("xml").alias("s"))
+    path = F.concat(F.lit("archive-"), (F.col("doc_id") % 4).cast("string"))
+    year = F.when(F.col("doc_id") % 7 != 0, 1990 + F.col("doc_id") % 36).cast("int")
+    sections = docs.select(path.alias("path"), F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("article_id"), F.lit("review").alias("category"), year.alias("year"), "s.abstract", "s.body")
+    jobs = sections.select("path").distinct()
+    corpus.convert_archives(jobs.where("path < 'archive-2'"), sections, folder)
+    corpus.convert_archives(jobs, sections, folder)
+    out = spark.read.option("recursiveFileLookup", False).text(f"{folder}/texts")
+    return out.select("section", F.col("year").cast("string").alias("year"), F.sha2("value", 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: {_TRIM('x')} <> ''), lambda x: x || chr(10)), '') AS text FROM documents")
+def blank_lines_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return integrity.without_blank_lines(docs).withColumnRenamed("path", "doc_id")
+
+
+@query(f"WITH {_DECIDED} SELECT pmcid, src_tar, reason FROM decided")
+def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing from a stream of files, in two runs with checkpoints of their own over one ledger."""
+    folder = shared_path(spark, "stream")
+    members = derive(spark, sf_dir, MEMBERS)
+    router = Router(spark, f"{folder}/state", labels(spark, sf_dir))
+    source = spark.readStream.schema(members.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000)
+    for k, name in enumerate(("a_comm.tar", "b_noncomm.tar", "c_other.tar")):
+        members.where(F.col("src_tar") == name).write.parquet(f"{folder}/in/{name}")
+        router.stream(source.parquet(f"{folder}/in"), f"{folder}/checkpoint-{k // 2}")
+    kept = router.table("manifest").select("pmcid", "src_tar", F.lit(routing.ACCEPT).alias("reason"))
+    return kept.unionByName(router.table("skipped").select(F.nullif("pmcid", F.lit("")).alias("pmcid"), "src_tar", "reason"))

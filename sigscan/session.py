@@ -88,6 +88,17 @@ def partitions_for(df: DataFrame, target_bytes: int) -> int:
     return int(max(spark.sparkContext.defaultParallelism, min(200_000, -(-size // target_bytes))))
 
 
+def spread(df: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
+    """Deal the rows of a small input over all cores, for work that costs more than moving them; a large input's scan has tasks enough."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, plan_bytes(df)
+    return df.repartition(cores) if size < partition_bytes * cores else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python stages can import it there; bound the batches that they get, unless the session does."""
     if spark.conf.get(BATCH_SETTING, None) is None:

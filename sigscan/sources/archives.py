@@ -33,8 +33,8 @@ def open_uri(uri: str):
     return fs.open_input_stream(at, compression=None)
 
 
-def members(archives: DataFrame, content: bool = True, suffix: str = ".xml") -> DataFrame:
-    """The regular members named ``*.xml`` (any case) of archives (path), in order; ``content=False`` lists without reading.
+def members(archives: DataFrame, content: bool = True, suffix: str = ".xml", by_path: bool = False) -> DataFrame:
+    """The regular members named ``*.xml`` (any case) of archives (path), in order; ``content=False`` lists without reading; ``by_path`` gives whole paths as src_tar.
 
     Listing first and reading only what is routed is two cheap passes instead of
     one that carries every member's bytes through the decisions.
@@ -52,7 +52,7 @@ def members(archives: DataFrame, content: bool = True, suffix: str = ".xml") ->
                             continue
                         f = tar.extractfile(m) if content else None
                         data = f.read() if f else None
-                        rows.append({"src_tar": path.rsplit("/", 1)[-1], "inner_path": m.name, "member_pos": pos, "readable": not content or data is not None, "content": data})
+                        rows.append({"src_tar": path if by_path else path.rsplit("/", 1)[-1], "inner_path": m.name, "member_pos": pos, "readable": not content or data is not None, "content": data})
                         size += len(data or b"") + 200
                         if size > 1 << 24:
                             yield pa.RecordBatch.from_pylist(rows, schema)

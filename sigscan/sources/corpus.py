@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigscan.functions.text import WS, clean_text, decode_text, not_blank, trim_ws
 from sigscan.operators.metadata import union_filelists
+from sigscan.session import exists, materialize, ship
+from sigscan.sources.archives import open_uri
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
 _NAME = r"(pmcid|pmcxtract|pmid|pmxtract)_list_(.+?)_([0-9]{4}|unknown-year|unknown)(?:_(abstract|body))?\.txt$"
@@ -43,6 +50,68 @@ def write_lines(articles: DataFrame, path: str, mode: str = "append") -> None:
     kept.select("section", "category", "year", F.col("article_id").alias("value")).write.mode(mode).partitionBy("section", "category", "year").text(f"{path}/ids")
 
 
+def write_corpus(lines: DataFrame, folder: str, kind: str = "pmcxtract") -> DataFrame:
+    """Write (category, year, section, line) as line corpora ``<task>/<kind>_list_<category>_<year>_<section>.txt``: (path, lines).
+
+    Rows are dealt by key and salted, so that a hot key has many writers; each
+    file gets its name when it is complete.
+    """
+    ship(lines.sparkSession)
+    n = lines.sparkSession.sparkContext.defaultParallelism
+    rows = lines.select("category", F.coalesce(F.col("year").cast("string"), F.lit("unknown-year")).alias("year"), "section", "line").withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(n)))
+    dealt = rows.repartition("category", "year", "section", "salt").sortWithinPartitions("category", "year", "section").drop("salt")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, base = pafs.FileSystem.from_uri(folder)
+        part, now, out, done = f"{TaskContext.get().partitionId():06d}", None, None, []
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(temp, f"{base}/{done[-1][0]}")
+
+        for b in batches:
+            for *key, line in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != now:
+                    close()
+                    fs.create_dir(f"{base}/{part}", recursive=True)
+                    now, temp = key, f"{base}/{part}/.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temp, compression=None)
+                    done.append([f"{part}/{kind}_list_{'_'.join(filter(None, key))}.txt", 0])
+                out.write(line.encode() + b"\n")
+                done[-1][1] += 1
+        close()
+        if done:
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{p}" for p, _ in done], "lines": pa.array([k for _, k in done], pa.int64())})
+
+    return materialize(dealt.mapInArrow(run, "path string, lines long"), "corpus")
+
+
+def convert_archives(archives: DataFrame, sections: DataFrame, path: str) -> DataFrame:
+    """Write the texts of archives that are not done yet, and mark them done; returns the archives of this call.
+
+    ``archives`` (path) lists jobs, ``sections`` holds (path, article_id,
+    category, year, abstract, body) of any of them. An archive's texts go to a
+    folder of its own that is overwritten, and its mark is written after them:
+    a run that is broken off leaves archives undone, which the next run writes
+    again, without a line twice.
+    """
+    spark = archives.sparkSession
+    job = F.md5(F.col("path").cast("binary"))
+    jobs = archives.select("path", job.alias("job")).distinct()
+    if exists(spark, f"{path}/done"):
+        jobs = jobs.join(spark.read.schema("job string, path string").parquet(f"{path}/done").select("job"), "job", "left_anti")
+    jobs = materialize(jobs, "jobs")
+    texts = sections.join(jobs, "path").select("job", "article_id", "category", F.coalesce(F.col("year").cast("string"), F.lit("unknown-year")).alias("year"), F.expr("stack(2, 'abstract', abstract, 'body', body) as (section, text)"))
+    kept = texts.withColumn("value", F.concat_ws(" ", "article_id", clean_text(F.col("text")))).where(clean_text(F.col("text")) != "")
+    columns = kept.select("value", "job", "section", "category", "year")
+    columns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job", "section", "category", "year").text(f"{path}/texts")
+    jobs.write.mode("append").parquet(f"{path}/done")
+    return jobs
+
+
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of .txt files, UTF-8 or else Latin-1."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
@@ -50,14 +119,24 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files of a folder with their own headers, all columns text, united by name."""
-    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path").collect()]
-    if not files:
-        raise ValueError(f"no CSV file in {path}")
+    """All CSV files of a folder with their own headers, all columns text, united by name. Headers are read by tasks, a line of each file."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
+
+    def run(batches):
+        for b in batches:
+            heads = []
+            for p in b.column(0).to_pylist():
+                with open_uri(p) as f:
+                    heads.append(io.TextIOWrapper(io.BufferedReader(f), encoding="utf-8-sig", errors="replace").readline().rstrip("\r\n"))
+            yield pa.RecordBatch.from_pydict({"path": b.column(0), "head": pa.array(heads, pa.string())})
+
     # files with one header are read together; there are as many reads as headers
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    groups: dict[str, list[str]] = {}
+    for r in sorted(files.mapInArrow(run, "path string, head string").collect()):
+        groups.setdefault(r.head, []).append(r.path)
+    if not groups:
+        raise ValueError(f"no CSV file in {path}")
     return union_filelists([spark.read.option("header", True).option("enforceSchema", False).csv(fs) for fs in groups.values()])
 
 

@@ -6,9 +6,12 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from sigscan.session import ship
+
 _SECTIONS = {"abstract": {"abstract", "Abstract", "ABSTRACT"}, "body": {"body", "Body", "BODY"}}
 
 
@@ -28,15 +31,13 @@ def section_texts(data: str | bytes | None) -> tuple[str | None, str | None]:
 
 
 @pandas_udf(T.StructType([T.StructField("abstract", T.StringType()), T.StructField("body", T.StringType())]))
-def article_sections(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Struct (abstract, body) of article XML, text or bytes."""
+def _article_sections(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in content:
         yield pd.DataFrame([section_texts(x) for x in s], columns=["abstract", "body"], dtype=object)
 
 
 @pandas_udf(T.StringType())
-def abstract_nodes(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Texts of all descendants of abstract elements, blank-joined: pieces of text in order, null if malformed."""
+def _abstract_nodes(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(x):
         try:
             root = ET.fromstring(x)
@@ -56,14 +57,40 @@ def _elements(data: str | bytes | None, tag: str) -> list[str] | None:
 
 
 @pandas_udf(T.StringType())
-def publication_types(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The PublicationType texts of a record, joined by " ; "; null if malformed."""
+def _publication_types(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in xml:
         yield s.map(lambda x: None if (t := _elements(x, "PublicationType")) is None else " ; ".join(t))
 
 
 @pandas_udf(T.StringType())
-def record_line(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """PMID and its AbstractText elements as one tab-separated line; null without a PMID or if malformed."""
+def _record_line(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in xml:
         yield s.map(lambda x: "\t".join([ids[0], *_elements(x, "AbstractText")]) if (ids := _elements(x, "PMID")) else None)
+
+
+def _shipped(udf, content) -> Column:
+    """The column of a function of this module, which executors can then import."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+    return udf(content)
+
+
+def article_sections(content: Column | str) -> Column:
+    """Struct (abstract, body) of article XML, text or bytes."""
+    return _shipped(_article_sections, content)
+
+
+def abstract_nodes(content: Column | str) -> Column:
+    """Texts of all descendants of abstract elements, blank-joined: pieces of text in order, null if malformed."""
+    return _shipped(_abstract_nodes, content)
+
+
+def publication_types(xml: Column | str) -> Column:
+    """The PublicationType texts of a record, joined by " ; "; null if malformed."""
+    return _shipped(_publication_types, xml)
+
+
+def record_line(xml: Column | str) -> Column:
+    """PMID and its AbstractText elements as one tab-separated line; null without a PMID or if malformed."""
+    return _shipped(_record_line, xml)

@@ -1,19 +1,23 @@
 """Incremental routing: batches of archive members against a ledger, each applied exactly once.
 
-A batch is keyed by its id and all its outputs are folders of that id that are
-overwritten, so repeating a batch after a failure leaves the same state. The
-ledger is written last; a batch without it is not part of the state.
+A batch is known by its run and its number. All its outputs are folders of
+their own that are overwritten, so repeating a batch after a failure leaves the
+same state, and a new run never touches an older one's. The ledger is written
+last; a batch without it is not part of the state.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from sigscan.operators.routing import copies, decide, manifest, skipped
+from sigscan.operators.routing import ACCEPT, copies, decide, manifest, skipped
+from sigscan.session import discard, exists, materialize
 
-LEDGER = "src_tar string, inner_path string, pmcid string, batch long"
+LEDGER = "src_tar string, inner_path string, pmcid string, run string, batch long"
 
 
 class Router:
@@ -22,36 +26,45 @@ class Router:
     def __init__(self, spark: SparkSession, path: str, labels: DataFrame):
         self.spark, self.path, self.labels = spark, path.rstrip("/"), labels
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-
     def ledger(self) -> DataFrame:
         """Members that were processed; an empty pmcid for unrecognized names."""
-        return self._read("ledger", LEDGER)
+        if not exists(self.spark, f"{self.path}/ledger"):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger")
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-
-    def process(self, members: DataFrame, batch: int) -> None:
-        """Route one batch: members in the ledger are skipped, ids in it are duplicates."""
-        before = self.ledger().where(F.col("batch") < batch)
+    def process(self, members: DataFrame, batch: int, run: str = "0") -> None:
+        """Route one batch: members in the ledger are skipped, ids in it are duplicates. Batches of a run are numbered upwards; a number that was processed is done again, as if those after it were not there."""
+        before = self.ledger().where((F.col("run") != run) | (F.col("batch") < batch))
         fresh = members.join(before.select("src_tar", "inner_path"), ["src_tar", "inner_path"], "left_anti")
         decided = decide(fresh, self.labels, before.select("pmcid"))
-        self._write(manifest(decided), "manifest", batch)
-        self._write(skipped(decided), "skipped", batch)
+        if "content" in decided.columns:  # nobody reads the others'
+            decided = decided.withColumn("content", F.when(F.col("reason") == ACCEPT, F.col("content")))
+        decided = materialize(decided, "decided")
         kept = [c for c in ("pmcid", "bucket", "year", "content") if c in (*decided.columns, "bucket")]
-        self._write(copies(decided).select(*kept), "articles", batch)
-        self._write(decided.select("src_tar", "inner_path", F.coalesce("pmcid", F.lit("")).alias("pmcid")), "ledger", batch)
+        entries = decided.select("src_tar", "inner_path", F.coalesce("pmcid", F.lit("")).alias("pmcid"))
+        for name, df in (("manifest", manifest(decided)), ("skipped", skipped(decided)), ("articles", copies(decided).select(*kept)), ("ledger", entries)):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}/batch={batch}")
+        discard(decided)
 
     def table(self, name: str) -> DataFrame:
-        """All batches of an output."""
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """All complete batches of an output, with their run and batch."""
+        df = self.spark.read.parquet(f"{self.path}/{name}").withColumn("run", F.col("run").cast("string")).withColumn("batch", F.col("batch").cast("long"))
+        return df.join(self.ledger().select("run", "batch").distinct(), ["run", "batch"], "left_semi")
+
+    def _run_of(self, checkpoint: str) -> str:
+        """The run that a checkpoint belongs to: a name kept beside it, so that a new checkpoint is a new run."""
+        fs, base = pafs.FileSystem.from_uri(checkpoint if "://" in checkpoint else f"file://{checkpoint}")
+        fs.create_dir(base, recursive=True)
+        at = f"{base}/router-run"
+        if fs.get_file_info(at).type == pafs.FileType.NotFound:
+            with fs.open_output_stream(at, compression=None) as out:
+                out.write(f"r{uuid.uuid4().hex}".encode())
+        with fs.open_input_stream(at, compression=None) as f:
+            return f.read().decode()
 
     def stream(self, members: DataFrame, checkpoint: str):
         """Process a streaming DataFrame of members until it is exhausted; returns the finished query."""
-        query = members.writeStream.foreachBatch(lambda df, n: self.process(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run = self._run_of(checkpoint)
+        query = members.writeStream.foreachBatch(lambda df, n: self.process(df, n, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query

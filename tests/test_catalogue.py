@@ -11,9 +11,8 @@ def test_query_equals_sql(spark, sf, name):
     compare(spark, sf, catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_archive_check(spark, sf):

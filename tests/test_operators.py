@@ -1,12 +1,15 @@
 """Metadata, routing, sources, streaming on small fixtures."""
 
 import gzip
+import os
+import subprocess
 import sys
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from conftest import ROOT
 from sigscan.functions.categories import query_text
 from sigscan.operators import integrity, metadata, routing, trend
 from sigscan.sources import archives, corpus, literature
@@ -32,6 +35,8 @@ def test_labels(spark):
 def test_decisions(spark):
     df = spark.createDataFrame(MEMBERS, "src_tar string, inner_path string, member_pos long")
     got = {(r.src_tar, r.inner_path): r.reason for r in routing.decide(df, labels(spark)).collect()}
+    with pytest.raises(ValueError):
+        routing.union_collections(common=df)
     assert [got[m[:2]] for m in MEMBERS] == ["accept", "accept", "no-category-flags", "metadata-missing", "duplicate-pmcid", "duplicate-pmcid", "non-xml or unrecognized filename"]
     m = {r.pmcid: r for r in routing.manifest(routing.decide(df, labels(spark))).collect()}
     assert m["PMC12"].year == "unknown" and m["PMC12"].output_tar_paths == "pmc/all-articles/unknown-year.tar"
@@ -53,6 +58,61 @@ def test_router_replays_and_streams(spark, tmp_path):
     assert state() == first
 
 
+def test_a_new_run_keeps_the_older_ones(spark, tmp_path):
+    df = spark.createDataFrame([(*m, b"x" * 10) for m in MEMBERS], "src_tar string, inner_path string, member_pos long, content binary")
+    router = Router(spark, f"{tmp_path}/state", labels(spark))
+    assert router.ledger().count() == 0
+    for k, name in enumerate(("a", "b")):
+        df.where(f"src_tar = '{name}.tar'").write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        router.stream(stream, f"{tmp_path}/checkpoint{k}")  # batches count from 0 again
+    assert sorted(r.pmcid for r in router.table("manifest").collect()) == ["PMC11", "PMC12"]
+    assert sorted((r.src_tar, r.reason) for r in router.table("skipped").collect() if r.pmcid == "PMC99") == [("a.tar", "metadata-missing"), ("b.tar", "duplicate-pmcid")]
+    assert router.ledger().count() == len(MEMBERS) and router.ledger().select("run").distinct().count() == 2
+    # a batch that was broken off before its ledger is not part of the state
+    df.limit(1).select("src_tar", "inner_path").write.parquet(f"{tmp_path}/state/manifest/run=rz/batch=0")
+    assert sorted(r.pmcid for r in router.table("manifest").collect()) == ["PMC11", "PMC12"]
+
+
+def test_archives_are_resumed(spark, tmp_path):
+    rows = [(f"t{k % 3}", f"PMC{k}", "review", 2000 if k % 2 else None, f"abstract {k}", "" if k % 4 else f"body\n{k}") for k in range(12)]
+    df = spark.createDataFrame(rows, "path string, article_id string, category string, year int, abstract string, body string")
+    jobs = df.select("path")
+    out = f"file://{tmp_path}/out"
+    assert corpus.convert_archives(jobs.where("path = 't0'"), df, out).count() == 1
+    # texts of an archive that was broken off are there without its mark
+    df.where("path = 't1'").selectExpr("'partial' as value", "md5('t1') as job", "'body' as section", "category", "'2000' as year").write.mode("append").partitionBy("job", "section", "category", "year").text(f"{out}/texts")
+    assert sorted(r.path for r in corpus.convert_archives(jobs, df, out).collect()) == ["t1", "t2"]
+    assert corpus.convert_archives(jobs, df, out).count() == 0
+    got = sorted((r.value, r.section, str(r.year)) for r in spark.read.text(f"{out}/texts").collect() if r.value != "partial")
+    year = lambda y: str(y) if y else "unknown-year"
+    assert got == sorted([(f"{i} {a}", "abstract", year(y)) for _, i, _, y, a, _ in rows] + [(f"{i} {' '.join(b.split())}", "body", year(y)) for _, i, _, y, _, b in rows if b])
+
+
+def test_chunks_of_wide_rows_lose_none(spark):
+    df = spark.range(200_000).select(F.col("id"), *[F.concat(F.lit(f"column {k} "), F.md5(F.col("id").cast("string"))).alias(f"c{k}") for k in range(6)]).repartition(37)
+    got = integrity.chunks(df, "id", 1000)
+    assert got.count() == 200_000
+    sizes = got.groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("least")).collect()
+    assert {r.chunk: (r.n, r.least) for r in sizes} == {k: (1000, 1000 * k) for k in range(200)}
+
+
+def test_xml_columns_work_where_the_package_is_not_installed(tmp_path):
+    """Workers that start in another folder get the package from the driver."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local-cluster[1,1,1024]').config('spark.ui.enabled', 'false').config('spark.executorEnv.PYTHONPATH', '').getOrCreate()
+from sigscan.sources.xmltext import article_sections, publication_types
+df = spark.createDataFrame([('<a><abstract>x</abstract><PublicationType>T</PublicationType></a>',)], 'x string')
+print([tuple(r) for r in df.select(article_sections('x').alias('s'), publication_types('x').alias('t')).select('s.abstract', 't').collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "[('x', 'T')]" in out.stdout, out.stderr[-2000:]
+
+
 def test_archives(spark, tmp_path):
     rows = [("all-articles", 2010, f"PMC{k}", f"<a>{k}</a>".encode()) for k in range(5)] + [("review", None, "PMC1", b"<a/>")]
     done = archives.export_tars(spark.createDataFrame(rows, "bucket string, year int, pmcid string, content binary"), f"file://{tmp_path}/tars", max_members=3).collect()
@@ -134,9 +194,19 @@ class Flaky:
 def test_service(spark):
     assert literature.count_ids(Flaky(), "q") == 5
     assert sorted(r.article_id for r in literature.all_ids(spark, Flaky(), "q", page=2).collect()) == ["0", "1", "4"]
+    pages = literature.search_pages(spark, Flaky(), "q", page=2).where("error is not null").collect()
+    assert [(r.page, r.article_id, r.error) for r in pages] == [(1, None, "page lost")]
+
+    class Down(Flaky):
+        def fetch(self, db, ids):
+            raise OSError("down")
+
+    lost = literature.fetch_records(spark.createDataFrame([("1",), ("2",)], "id string").coalesce(1), Down(), batch=5).collect()
+    assert sorted((r.article_id, r.xml, r.error) for r in lost) == [("1", None, "down"), ("2", None, "down")]
     got = literature.abstracts(spark.createDataFrame([("1",), ("2",)], "id string"), Flaky(), cap=1).collect()
     assert [(r.article_id, r.text) for r in got] == [("1", "t1")]
-    assert literature.journal_ids(spark, Flaky(), ["B", "A", "A"], first=1).select("journal").distinct().collect()[0].journal == "A"
+    assert literature.journal_ids(spark, Flaky(), ["B", "A", "A"], first=1, page=2).select("journal").distinct().collect()[0].journal == "A"
+    assert literature.journal_ids(spark, Flaky(), []).count() == 0
     with pytest.raises(ValueError):
         query_text("nothing", 2000)
     assert query_text("all", 2001) == '"2001"[PDAT] AND hasabstract AND medline[sb]'
