@@ -7,9 +7,11 @@ one, so the index is built over what is left. All windows are searched together
 backwards through wavelet ranks, located by sampled suffix positions, and the
 occurrences merged into spans. Documents are never shuffled.
 
-A benchmark of up to ``BLOCK_BYTES`` is one block of windows, sent to the
-executors; a larger one is dealt into blocks that lie in the shared folder and
-that tasks read one at a time, so memory is bounded for any benchmark.
+The benchmark's windows are dealt into blocks of about ``BLOCK_BYTES`` of text,
+which tasks build and write to the shared folder and other tasks read one at a
+time: memory is bounded for any benchmark, and the driver sees no item. Of a
+benchmark of several blocks a shard's index is built for each, since its symbols
+are the words of the block.
 
 Nulls, ties and odd texts: a null or wordless text has no words, no hits and is
 clean; items that are null or have no words have no windows; an item without
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -163,42 +166,37 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size <= block_bytes:
-        rows = [(r.item_id, r.text.encode()) for r in items.collect()]
-        sent = spark.sparkContext.broadcast(pickle.dumps(Block(rows, window)))
-        held: list = []
-
-        def one():
-            if not held:
-                held.append(pickle.loads(sent.value))
-            return held
-
-        return one
     folder = shared_path(spark, "benchmark")
-    n = -(-size // block_bytes)
 
     @tidied
     def write(batches):
         from pyspark import TaskContext
 
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)]
+        if not rows:
+            return
         part = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/.{part}-{TaskContext.get().taskAttemptId()}") as out:
+        temp = f"{base}/.{part}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(temp, compression=None) as out:
             out.write(pickle.dumps(Block(rows, window)))
-        fs.move(f"{base}/.{part}-{TaskContext.get().taskAttemptId()}", f"{base}/block-{part}")
+        fs.move(temp, f"{base}/block-{part}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
-    parts = [r.part for r in items.repartition(n, F.xxhash64("item_id", "text")).mapInArrow(write, "part int").collect()]
+    parts = sorted(r.part for r in items.repartition(-(-size // block_bytes) or 1, F.xxhash64("item_id", "text")).mapInArrow(write, "part int").collect())
+    last: dict[int, Block] = {}  # the block read last; of a benchmark of one block a task reads it once
 
-    def many():
+    def blocks():
         fs, base = open_fs(folder)
         for part in parts:
-            with fs.open_input_stream(f"{base}/block-{part}") as f:
-                yield pickle.loads(f.read())
+            if part not in last:
+                last.clear()
+                with fs.open_input_stream(f"{base}/block-{part}", compression=None) as f:
+                    last[part] = pickle.loads(f.read())
+            yield last[part]
 
-    return many
+    return blocks
 
 
 _SPANS = "array<struct<start:int,end:int>>"

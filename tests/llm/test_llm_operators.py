@@ -566,16 +566,15 @@ def test_token_output_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    texts = {r.doc_id: r.text for r in odd(spark).where("doc_id <> 5").collect()}
+    texts = {r.doc_id: r.text for r in odd(spark).where("doc_id is null or doc_id <> 5").collect()}
     got = sorted(tokens.token_output(odd(spark), path).collect(), key=lambda r: r.start)
     assert len(got) == 9 and [r.doc_id for r in got] == [None, 1, 1, 2, 3, 4, 5, 6, 7]
     at = 0
     for r in got:
         assert r.start == at
         at += r.n_tokens
-        if r.doc_id is not None and r.doc_id != 5:
-            ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
-            assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        ids = [*t.encode((LONG if r.doc_id == 5 else texts[r.doc_id]) or "", add_special_tokens=False).ids, 1]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert tokens.token_output(empty(spark), path).count() == 0
 
 
@@ -657,6 +656,44 @@ def test_pipeline_equals_brute_force(spark, sf):
     assert len(left) < len(docs) and got == sorted(want)
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline as cp
+
+    want = {  # doc_ids that stay, by the stages' docstrings
+        "toxicity": [1, 1, 2, 3, 4, 5, 6, 7, None],
+        "simhash_near_dedup": [1, 2, 5, 7, None],
+        "decontamination": [1, 1, 2, 3, 4, 5, 6, 7, None],
+    }
+    clash = odd(spark).withColumn("__key", F.lit(1)).withColumn("__slot", F.lit(2)).withColumn("__hash", F.lit("h"))
+    for name, stage in cp.STAGES:
+        for docs in (odd(spark), clash):
+            got = stage(spark, docs, sf)
+            ids = sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x or 0))
+            if name == "token_output":
+                assert len(ids) == 9
+                continue
+            assert got.columns == docs.columns
+            if name in want:
+                assert ids == want[name], name
+            else:
+                assert 2 not in ids and 3 not in ids and 6 not in ids and 5 in ids
+        assert stage(spark, empty(spark), sf).count() == 0
+
+
+def test_simhash_by_default_lanes_at_every_size(spark, monkeypatch):
+    """The number of lanes follows the number of fingerprints; every choice links the same at the level of the query."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)) for _ in range(10)]
+    df = spark.createDataFrame([(k, base[k % 10] + f" end{k % 3}") for k in range(40)], "doc_id long, text string")
+    got = []
+    for n in (10, 100_000, 10_000_000, 1 << 31):
+        lanes = simhash.lanes_for(n)
+        monkeypatch.setattr(simhash, "lanes_for", lambda _, lanes=lanes: lanes)
+        got.append(sorted(map(tuple, simhash.simhash_components(df).collect())))
+        monkeypatch.undo()
+    assert got[0] == got[1] == got[2] == got[3] and [simhash.lanes_for(n) for n in (10, 100_000, 10_000_000, 1 << 31)] == [1, 2, 4, 8]
+
+
 def test_stages_keep_columns(spark, sf):
     import corpus_pipeline as cp
 
