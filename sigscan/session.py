@@ -14,7 +14,7 @@ _PACKAGE = Path(__file__).resolve().parent
 #: Estimates from here on are guesses: plans without statistics report the largest number, joins of them products.
 _UNKNOWN = 1 << 50
 #: What a batch of rows that Python gets may hold; Spark's own bound is in rows, which long texts make too large for a worker.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
