@@ -154,17 +154,17 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 3) -> Model:
     live = spread > 0
     z, rules, spread = z[:, live], [r for r, k in zip(rules, live, strict=True) if k], spread[live]
     center = z.mean(0)
-    u = (z - center) / spread
+    u = np.ascontiguousarray((z - center) / spread, np.float32)
     w, b = np.zeros(u.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
     vw, vb, t = w, b, 1.0
-    top = np.ones(u.shape[1])
+    top = np.ones(u.shape[1], np.float32)
     for _ in range(20):  # the largest eigenvalue, for the step
         top = u.T @ (u @ top)
         top /= np.linalg.norm(top)
     rate = 4 / max(float(np.linalg.norm(u @ top) ** 2) / n, 1.0)
-    for _ in range(400):
-        g = 1 / (1 + np.exp(-(u @ vw + vb))) - y
-        step = vw - rate * (u.T @ g) / n
+    for _ in range(400):  # the products in single precision, as u is
+        g = 1 / (1 + np.exp(-((u @ vw.astype(np.float32)).astype(float) + vb))) - y
+        step = vw - rate * (u.T @ g.astype(np.float32)).astype(float) / n
         nw = np.sign(step) * np.maximum(np.abs(step) - rate * PENALTY, 0)
         nb = vb - rate * float(g.mean())
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
