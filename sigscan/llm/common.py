@@ -43,7 +43,7 @@ def pieces(data: bytes, limit: int = PIECE) -> Iterator[bytes]:
         start = end
 
 
-def word_parts(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+def word_parts(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
     """Words (between ASCII white space) of rows of text, in parts of about ``limit`` bytes that Arrow splits at once.
 
     Yields (first row, words of each row, for each word its place among the

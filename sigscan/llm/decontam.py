@@ -241,16 +241,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     @tidied
     def run(batches):
-        judge = Judge(blocks)
+        judge, held = Judge(blocks), []
+
+        def flush():
+            keep, row = [not v["contaminated"] for v in judge.verdicts()], 0
+            for b in held:
+                yield b.filter(pa.array(keep[row : row + b.num_rows], pa.bool_()))
+                row += b.num_rows
+            held.clear()
+
         for b in batches:
-            keep, i = [], 0
-            while i < b.num_rows:
-                for text in b.column(at).slice(i, 256).cast(pa.binary()).to_pylist():
-                    judge.add(text)
-                i += 256
-                if judge.full or i >= b.num_rows:
-                    keep += [not v["contaminated"] for v in judge.verdicts()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for text in b.column(at).cast(pa.binary()):
+                judge.add(text.as_py())
+            held.append(b)
+            if judge.full:
+                yield from flush()
+        yield from flush()
 
     return docs.mapInArrow(run, docs.schema)
 

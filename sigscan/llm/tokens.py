@@ -31,7 +31,7 @@ from sigscan.llm.common import open_fs, tidied, word_parts
 from sigscan.session import materialize, partitions_for, shared_path, ship
 
 #: Distinct white-space-free chunks that a worker keeps the ids of (about 150 bytes each), and the longest that it keeps.
-CACHE_CHUNKS, CACHE_BYTES = 450_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 64
 
 
 def _byte_alphabet() -> dict[int, str]:
