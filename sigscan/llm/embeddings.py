@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sigscan.llm.common import components, tidied, union_edges
 from sigscan.session import materialize, ship
 
-LEAST, CELL = 0.98, 4096
+LEAST, CELL = 0.98, 16_384
 #: Nodes of a label that is divided at least in two.
 FEW = 16
 #: Most pivots of all labels together, and of vectors that they are taken from: what the driver and the executors get is bounded by them.
