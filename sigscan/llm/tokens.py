@@ -19,6 +19,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 from string import punctuation as _PUNCTUATION
 
 import numpy as np
@@ -99,6 +100,8 @@ class Encoder:
     def _add(self, chunk: bytes) -> int:
         s = chunk.decode("utf-8", "replace")
         if self.direct:
+            if chunk.isalpha() and chunk.islower():  # small ASCII letters, the commonest kind
+                return self._keep(chunk, self._word(s))
             w = s.rstrip(_PUNCTUATION)
             if w.isalpha() and (w.isascii() or max(w) < "Ā"):
                 low = w.lower()
@@ -119,8 +122,10 @@ class Encoder:
         for row, words, code, distinct in word_parts(texts):
             if len(self.ends) > self.limit:
                 self.reset()
-            get, add = self.cache.get, self._add
-            at = np.fromiter((k if (k := get(c)) is not None else add(c) for c in distinct), np.int64, len(distinct))
+            get = self.cache.get
+            at = np.fromiter(map(get, distinct, repeat(-1)), np.int64, len(distinct))
+            for i in np.flatnonzero(at < 0).tolist():
+                at[i] = k if (k := get(c := distinct[i])) is not None else self._add(c)
             bounds, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
             first, size = bounds[at], bounds[at + 1] - bounds[at]
             lens = size[code]
