@@ -43,12 +43,21 @@ def pieces(data: bytes, limit: int = PIECE) -> Iterator[bytes]:
         start = end
 
 
-def word_parts(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+def give_back() -> None:
+    """Return freed memory to the system; a few milliseconds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def word_parts(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
     """Words (between ASCII white space) of rows of text, in parts of about ``limit`` bytes that Arrow splits at once.
 
     Yields (first row, words of each row, for each word its place among the
     distinct ones, distinct words). An empty word stands for white space at an
-    end. A row longer than the limit comes alone, in several parts.
+    end. A row longer than the limit comes alone, in several parts. What a part
+    needed is given back before the next one.
     """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, row = sizes.cumsum(), 0
@@ -58,8 +67,10 @@ def word_parts(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.
             stop = row + 1
             for piece in pieces(texts[row].as_buffer().to_pybytes(), limit):
                 yield row, *_words(pa.array([piece], pa.binary()).view(pa.string()))
+                give_back()
         else:
             yield row, *_words(texts.slice(row, stop - row))
+            give_back()
         row = stop
 
 
@@ -78,10 +89,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 
