@@ -117,7 +117,7 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS, step: int = STEP)
 
 def row_hash(doc_id: Column, text: Column) -> Column:
     """What shuffles a source's documents; rows that share it have the same doc_id and text."""
-    return F.md5(F.concat_ws("|", doc_id.cast("long").cast("string"), text).cast("binary"))
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), text).cast("binary"))
 
 
 def _mix(docs: DataFrame, weights=WEIGHTS, multiple: float = MULTIPLE, cap: int = CAP, block_words: int = BLOCK_WORDS, digits: int = DIGITS, step: int = STEP) -> DataFrame:

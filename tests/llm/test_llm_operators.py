@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -148,6 +149,13 @@ def test_two_texts_of_one_id_are_taken_apart(spark):
         assert texts.count(r.text) == int(taken / size + 0.5)
 
 
+def test_text_that_looks_like_an_id_and_a_text(spark):
+    df = spark.createDataFrame([(None, "5|x y z", "a"), (5, "x y z", "a"), (6, "w", "b")], "doc_id long, text string, source string")
+    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(df, block_words=2).collect()}
+    got = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df, block_words=2).collect())
+    assert got[None, "5|x y z"] == int(taken[None, 3] / 3 + 0.5) and got[5, "x y z"] == int(taken[5, 3] / 3 + 0.5)
+
+
 def test_mixing_odd_rows(spark):
     rows = mixing.mix(odd(spark), block_words=3)
     got = {(r.doc_id, r.source): r for r in rows.collect()}
