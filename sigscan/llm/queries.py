@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigscan.llm import langid, mixing, quality, toxicity
 from sigscan.llm.common import crc_mod
+from sigscan.llm.convrepair import repair_damaged
 from sigscan.llm.decontam import decontaminate, digest_rows
 from sigscan.llm.embeddings import near_vectors
 from sigscan.llm.simhash import simhash_components
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, offending=True).select("doc_id", _held_out(5, 0), "score", "predicted", "offending")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_repair": op11_repair,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
