@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.llm import langid, mixing, quality, toxicity
+from sigscan.llm import chatformat, langid, mixing, quality, toxicity
 from sigscan.llm.common import crc_mod
 from sigscan.llm.convrepair import repair_damaged
 from sigscan.llm.decontam import decontaminate, digest_rows
@@ -78,6 +78,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.chat_round_trip(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -90,8 +94,12 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "op11_repair": op11_repair,
+    "op13_chat_format": op13_chat_format,
 }
 
+_CONTROL = r"'\[\\*(?:/?INST|/?SYS|/?ROLE|TEXT)\]|<\\*/?s>'"
+_AROUND = " ".join(f"WHEN '{role}' THEN {len(a) + len(b) + 1}" for role, (a, b) in chatformat.MARKS.items())
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -156,4 +164,13 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f""",
+    "op13_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+               CAST(sum(length(text) + len(regexp_extract_all(text, {_CONTROL})) + CASE role {_AROUND} ELSE {sum(map(len, chatformat.OTHER)) + 1} + length(role) + len(regexp_extract_all(role, {_CONTROL})) END) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
 }
