@@ -11,6 +11,7 @@ from sigscan.llm.convrepair import repair_damaged
 from sigscan.llm.decontam import decontaminate, digest_rows
 from sigscan.llm.embeddings import near_vectors
 from sigscan.llm.simhash import simhash_components
+from sigscan.llm.spelling import group_spellings
 from sigscan.llm.tokencount import count_tokens
 from sigscan.llm.tokens import token_output
 from sigscan.llm.warc import warc_round_trip
@@ -78,6 +79,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.chat_round_trip(table(spark, sf_dir, "conversations"))
 
@@ -94,6 +99,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "op11_repair": op11_repair,
+    "op12_spelling": op12_spelling,
     "op13_chat_format": op13_chat_format,
 }
 
