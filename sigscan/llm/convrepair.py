@@ -19,13 +19,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.llm import convdp
 from sigscan.llm.common import tidied
 from sigscan.operators.ordering import positions
-from sigscan.session import materialize, partitions_for, ship
+from sigscan.session import materialize, partitions_for, ship, spread
 
 #: Rows of a block, and rows of conversations that a task repairs at once.
 BLOCK, AT_ONCE = 4096, 1 << 18
@@ -126,31 +127,35 @@ def solve(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _unpack(batches):
     for b in batches:
-        out = []
-        for conv_id, base, plan, end in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            rows, places, edits, roles = convdp.steps(np.frombuffer(plan, np.uint8))
-            if end is not None:  # the last block: insertions after its rows
-                n = int(convdp.END[end] // convdp.INSERT)
-                rows, places, edits = np.append(rows, [len(plan)] * n), np.append(places, range(n)), np.append(edits, [ord("I")] * n)
-                roles = np.append(roles, np.frombuffer(b"ua", np.uint8)[2 - n :])
-            kept = edits != ord("D")
-            size = int(kept.sum())
-            text = lambda x: pa.array(np.ascontiguousarray(x[kept].astype(np.uint8)).view("S1").astype("U1") if size else [], pa.string())  # noqa: B023, E731
-            out.append(pa.RecordBatch.from_arrays([pa.array([conv_id] * size, pa.int64()), pa.array(base + rows[kept], pa.int64()), pa.array(places[kept], pa.int32()), text(edits), text(roles)], ["conv_id", "pos", "place", "edit", "role"]))
-        yield from out
+        conv, base, plans, end = b.column(0), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3)
+        lens = np.fromiter(map(len, plans), np.int64, len(plans))
+        block, start = np.repeat(np.arange(len(plans)), lens), lens.cumsum() - lens
+        row, places, edits, roles = convdp.steps(np.frombuffer(b"".join(plans), np.uint8))
+        owner = block[row]
+        kinds = [(owner, base[owner] + row - start[owner], places, edits, roles)]
+        # behind the last block of a conversation: insertions after its rows
+        after = np.where(end.is_null(), 0, convdp.END[pc.fill_null(end, 0).to_numpy()] // convdp.INSERT)
+        for k in (0, 1):
+            has = np.flatnonzero(after > k)
+            kinds.append((has, base[has] + lens[has], np.full(len(has), k), np.full(len(has), ord("I")), np.where(after[has] - k == 2, ord("u"), ord("a"))))
+        owner, pos, places, edits, roles = (np.concatenate(x) for x in zip(*kinds, strict=True))
+        kept = edits != ord("D")
+        text = lambda x: pa.array(x[kept].astype(np.uint8).view("S1").astype("U1") if kept.any() else [], pa.string())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([conv.take(pa.array(owner[kept])), pa.array(pos[kept], pa.int64()), pa.array(places[kept], pa.int32()), text(edits), text(roles)], ["conv_id", "pos", "place", "edit", "role"])
 
 
 def repaired(rows: DataFrame, placed: DataFrame, solved: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, pos, place, edit, turn, role, text): the rows of the repaired conversations; inserted ones stand before the row at pos, with an empty text."""
     plans = solved.select("conv_id", F.posexplode("plans").alias("block", "plan"), F.size("plans").alias("n"), "end")
     plans = plans.select("conv_id", F.col("block") * F.lit(block).cast("long"), "plan", F.when(F.col("block") == F.col("n") - 1, F.col("end")).alias("end"))
-    edits = plans.mapInArrow(tidied(_unpack), "conv_id long, pos long, place int, edit string, role string")
+    # what a plan of a few bytes unpacks to is far more than Spark's estimate of it, so both joins are kept from broadcasting
+    edits = spread(plans).mapInArrow(tidied(_unpack), "conv_id long, pos long, place int, edit string, role string")
     renamed = F.when(F.col("e.role") == "u", "user").when(F.col("e.role") == "a", "assistant")
-    kept = edits.alias("e").where("edit <> 'I'").join(placed.alias("p"), F.col("e.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("e.pos") == F.col("p.pos")))
+    kept = edits.alias("e").where("edit <> 'I'").hint("merge").join(placed.alias("p"), F.col("e.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("e.pos") == F.col("p.pos")))
     kept = kept.select("e.conv_id", "e.pos", "e.place", "e.edit", "p.turn", "p.said", renamed.alias("as"))
     # of rows with one digest the first alone may be kept, so a digest has one text
     texts = rows.select(_said().alias("said"), "role", "text").dropDuplicates(["said"])
-    kept = kept.join(texts, "said").select("conv_id", "pos", "place", "edit", "turn", F.coalesce("as", "role").alias("role"), "text")
+    kept = kept.hint("merge").join(texts, "said").select("conv_id", "pos", "place", "edit", "turn", F.coalesce("as", "role").alias("role"), "text")
     return kept.unionByName(edits.alias("e").where("edit = 'I'").select("conv_id", "pos", "place", "edit", F.lit(None).cast("long").alias("turn"), renamed.alias("role"), F.lit("").alias("text")))
 
 
