@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from sigscan.functions.text import WS, W, homogenize_number
 
 # fixed values: the grammar of a p-value; what it accepts must be the same wherever it is read
-_OPERATOR = f"(?:[=<>≤≥]|less{W}+than|of{W}+<)+"
+# (possessive repetitions take the same: nothing behind them can begin inside what they took, and they are loops where the
+# others are recursions, which long runs would overflow)
+_OPERATOR = f"(?:[=<>≤≥]|less{W}++than|of{W}++<)++"
 _DIGITS = r"(?:[0-9]|[,.•][0-9])[0-9]*[,.•]?[0-9]*"
 _EXPONENT = rf"\({W}*-{W}*[0-9]+{W}*\)|{W}*-{W}*[0-9]+"
 _AFTER_P = (
-    rf"(?:{W}|-)*(?:values?)?{W}*({_OPERATOR}){W}*"
+    rf"[{WS}-]*+(?:values?)?{W}*+({_OPERATOR}){W}*+"
     rf"({_DIGITS}){W}*(?:(%)|([x×]?){W}*([0-9]*){W}*(?:(exp|Exp|E|e)?{W}*({_EXPONENT}))?)"
 )
 #: Groups: 1 operator, 2 digits, 3 percent sign, 4 multiplication mark, 5 base, 6 exponent mark, 7 exponent.

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 #: White space as Python's str methods see it; regular-expression engines differ on ``\s``, so it is spelled out.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 W = f"[{WS}]"
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trim_ws(c: Column) -> Column:
     """Strip white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{W}+|{W}+$", "")
+    return F.btrim(c, F.lit(SPACES))  # linear, where a pattern tries every run inside the text
 
 
 def not_blank(c: Column) -> Column:
@@ -52,9 +54,22 @@ def decode_text(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
+def _to_last(t: Column, mark: str) -> tuple[Column, Column]:
+    """A text up to its last ``mark``, and the rest."""
+    head = F.regexp_extract(t, f"(?s)^.*{mark}", 0)
+    return head, F.substring(t, F.length(head) + 1, F.length(t))
+
+
 def page_text(html: Column) -> Column:
-    """The readable text of a web page, tags of any kind tolerated: its body (the whole page if it has none) without comments, scripts, styles and tags, on one line."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<script[ \t\r\n>].*?</script[ \t\r\n]*>|<style[ \t\r\n>].*?</style[ \t\r\n]*>", " ")
-    t = F.regexp_replace(t, r"(?is)^.*?<body(?:[ \t\r\n][^>]*)?>", "")
+    """The readable text of a web page, tags of any kind tolerated: its body (the whole page if it has none) without comments, scripts, styles and tags, on one line.
+
+    A comment, script or style that is not closed reaches the page's end. Time is
+    linear: an opener always finds its end, and tags are looked for only before the last ">".
+    """
+    end = lambda name: rf"(?:</{name}[ \t\r\n]*>|\z)"
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<!--.*?(?:-->|\z)|<script[ \t\r\n>].*?{end('script')}|<style[ \t\r\n>].*?{end('style')}", " ")
+    head, tail = _to_last(t, ">")
+    t = F.concat(F.regexp_replace(head, r"(?is)^.*?<body(?:[ \t\r\n][^>]*)?>", ""), tail)
     t = F.regexp_replace(t, r"(?is)</body[ \t\r\n]*>.*$", "")
-    return clean_text(F.regexp_replace(t, "<[^>]*>", " "))
+    head, tail = _to_last(t, ">")
+    return clean_text(F.concat(F.regexp_replace(head, "<[^>]*>", " "), tail))

@@ -37,7 +37,8 @@ def query(sql: str | None = None):
 
 
 def re2(pattern: str) -> str:
-    """A pattern in the spelling of RE2, as a SQL string."""
+    """A pattern in the spelling of RE2, as a SQL string; RE2 needs no possessive repetitions."""
+    pattern = pattern.replace("*+", "*").replace("++", "+")
     out = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", re.sub(r"\\x([0-9a-f]{2})(?![0-9a-f}])", r"\\x{\1}", pattern))
     return "'" + out.replace("'", "''") + "'"
 

@@ -48,7 +48,7 @@ def xml_abstract_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _B = "[ \\t\\r\\n]"
-_PAGE = f"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script[ \\t\\r\\n>].*?</script{_B}*>|<style[ \\t\\r\\n>].*?</style{_B}*>', ' ', 'g')"
+_PAGE = f"regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\\z)|<script[ \\t\\r\\n>].*?(?:</script{_B}*>|\\z)|<style[ \\t\\r\\n>].*?(?:</style{_B}*>|\\z)', ' ', 'g')"
 _PAGE = f"regexp_replace(regexp_replace({_PAGE}, '(?is)^.*?<body(?:{_B}[^>]*)?>', ''), '(?is)</body{_B}*>.*$', '')"
 
 

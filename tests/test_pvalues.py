@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,20 @@ def test_extraction_is_planned_once(spark, sf):
     for name in ("trend_by_category_year", "pvalue_bins_by_operator", "pvalue_totals"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") == 1, name
+
+
+@pytest.mark.parametrize(
+    ("run", "tail", "want"),
+    [("-", "< 0.05", [(0.05, "<")]), (" ", "= 0.01", [(0.01, "=")]), ("=", "0.02", [(0.02, "=")]), ("less than", "0.03", [(0.03, "<")]), ("<\xa0", "x", []), ("> ", " 0.04", []), ("p ", "p<0.02", [(0.02, "<")]), ("p=0.5 ", "", None), ("p value of ", "", []), ("p=0.05" + " " * 1000, "", None), ("0", "", [])],
+)
+def test_long_runs_are_read_in_linear_time(spark, run, tail, want):
+    """A megabyte between P and its number, of each kind that the grammar repeats; no stack is used up and no place is tried again."""
+    n = (1 << 20) // len(run)
+    df = spark.createDataFrame([("PMC1 (p" + run * n + tail, f"PMC1 (p{run * 200}{tail}")], "t string, short string")
+    began = time.perf_counter()
+    got = [(v.p, v.op) for v in df.select(extract_pvalues(F.col("t")).alias("v")).first().v]
+    assert time.perf_counter() - began < 20
+    assert want is None or [(round(p, 9), o) for p, o in got] == want
+    short = [(v.p, v.op) for v in df.select(extract_pvalues(F.col("short")).alias("v")).first().v]
+    if len(run) < 20:
+        assert [o for _, o in short] == [o for _, o in Evaluator(f"PMC1 (p{run * 200}{tail}").run()]
