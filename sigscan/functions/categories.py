@@ -31,6 +31,7 @@ CATEGORIES = [
 #: Predicates beyond the categories.
 EXTRA = {"Systematic_Review": "systematic review", "Observational_Study": "observational study"}
 TREND_YEARS, DISTRIBUTION_YEARS = (1990, 2025), (2015, 2025)
+# fixed values: the spellings of a set flag, and what stands between publication types
 TRUTHY = ["1", "true", "t", "y", "yes"]
 SEPARATOR = " ; "
 

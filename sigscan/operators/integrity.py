@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigscan.functions.text import not_blank
-from sigscan.session import materialize
+from sigscan.operators.ordering import positions
+from sigscan.session import materialize, partitions_for
 
 
 def missing_ids(wanted: DataFrame, present: DataFrame, key: str = "article_id") -> DataFrame:
@@ -26,6 +27,25 @@ def distinct_lines(lines: DataFrame, text: str = "line", at: str = "pos", by: tu
     return lines.groupBy(*by, text).agg(F.min(at).alias(at))
 
 
+def write_distinct_lines(lines: DataFrame, order: list[str], text: str, folder: str) -> None:
+    """Write the first of equal lines, by ``order``, to text files in ``folder`` whose names sort in that order.
+
+    Copies combine before they are shuffled; what is left is dealt by ranges of
+    its order, so a task writes the lines between two bounds. Line feeds inside a line are not kept apart.
+    """
+    at = F.struct(*order)
+    first = lines.groupBy(text).agg(F.min(at).alias("__at"))
+    n = partitions_for(lines, 64 << 20)
+    first.repartitionByRange(n, "__at").sortWithinPartitions("__at").select(F.coalesce(text, F.lit("")).alias("value")).write.mode("overwrite").text(folder)
+
+
+def read_ordered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(pos, line) of the files of a folder in the order of their names: the place of each line in all of them."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    lines = spark.read.option("lineSep", "\n").text(folder).select(name.alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"), F.col("value").alias("line"))
+    return positions(lines, [], ["__file", "__block", "__line"]).select("pos", "line")
+
+
 def without_blank_lines(files: DataFrame) -> DataFrame:
     """(path, text) of text files with their blank lines dropped and the others' ends stripped of line marks; a file of blank lines becomes empty."""
     lines = F.filter(F.split("text", r"\r\n|\r|\n"), not_blank)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigscan.functions.categories import CATEGORIES, article_id, bucket_array, truthy, year_of
+from sigscan.session import materialize
 
 # fixed values: the headers that label tables have
 ID_NAMES, YEAR_NAMES = ("pmc id", "pmc_id", "pmcid"), ("year", "pdat_year", "pub_year")
@@ -45,25 +46,28 @@ def member_id(path: Column) -> Column:
 def decide(members: DataFrame, labels: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Add pmcid, year, buckets and reason to members (src_tar, inner_path, member_pos[, readable]).
 
-    The first copy of an id by (src_tar, member_pos) is judged, later ones and
-    those in ``seen`` (pmcid) are duplicates, whether or not the id has labels.
+    The first copy of an id by (src_tar, member_pos, inner_path) is judged, later
+    ones, rows that repeat the first and ids in ``seen`` (pmcid) are duplicates,
+    whether or not the id has labels. Members are read once and written with a
+    number for each row, which tells equal rows apart.
     """
     df = members if "readable" in members.columns else members.withColumn("readable", F.lit(True))
-    df = df.withColumn("pmcid", member_id(F.col("inner_path")))
-    named = df.where("pmcid is not null")
+    rows = materialize(df.withColumn("pmcid", member_id(F.col("inner_path"))).withColumn("__row", F.monotonically_increasing_id()), "members")
+    named, at = rows.where("pmcid is not null"), F.struct("src_tar", "member_pos", "inner_path", "__row")
     # the first copy of an id comes from a minimum that copies of a hot id combine into before they are shuffled
-    first = named.groupBy("pmcid").agg(F.min(F.struct("src_tar", "member_pos")).alias("__first"))
-    named = named.join(first, "pmcid").withColumn("__again", F.struct("src_tar", "member_pos") > F.col("__first")).drop("__first")
+    first = named.groupBy("pmcid").agg(F.min(at).alias("__first"))
+    named = named.join(first, "pmcid").withColumn("__again", F.col("__first.__row") != F.col("__row")).drop("__first")
     if seen is not None:
         known = seen.where("pmcid is not null and pmcid <> ''").select(F.col("pmcid").alias("__seen")).distinct()
         named = named.join(known, F.col("pmcid") == F.col("__seen"), "left").withColumn("__again", F.col("__again") | F.col("__seen").isNotNull()).drop("__seen")
-    df = named.unionByName(df.where("pmcid is null").withColumn("__again", F.lit(False)))
-    df = df.join(labels.withColumn("__known", F.lit(True)), "pmcid", "left")
+    named = named.join(labels.withColumn("__known", F.lit(True)), "pmcid", "left")
+    others = rows.where("pmcid is null").withColumn("__again", F.lit(False))
+    df = named.unionByName(others, allowMissingColumns=True)
     reason = (
         F.when(F.col("pmcid").isNull(), UNRECOGNIZED).when(F.col("__again"), DUPLICATE).when(F.col("__known").isNull(), MISSING)
         .when(F.size("buckets") == 0, NO_FLAGS).when(~F.col("readable"), UNREADABLE).otherwise(ACCEPT)
     )
-    return df.withColumn("reason", reason).drop("__again", "__known")
+    return df.withColumn("reason", reason).drop("__again", "__known", "__row")
 
 
 def target_path(bucket: Column, year: Column) -> Column:
@@ -98,7 +102,7 @@ def sorted_crosstab(decided: DataFrame) -> DataFrame:
     return crosstab(decided).orderBy("bucket", "year")
 
 
-#: The collections of the open-access subset in the order in which their archives are routed: of copies in several, the first one's is taken.
+# fixed values: the collections of the open-access subset in the order in which their archives are routed: of copies in several, the first one's is taken.
 COLLECTIONS = ("comm", "noncomm", "other")
 
 

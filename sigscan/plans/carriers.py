@@ -55,6 +55,8 @@ MEMBERS = (
     "concat('d/', CASE WHEN doc_id % 11 = 0 THEN concat('notes', CAST(doc_id AS STRING), '.xml') WHEN doc_id % 10 = 3 THEN concat('pmc', CAST(doc_id - 3 AS STRING), '.XML') ELSE concat('PMC', CAST(doc_id AS STRING), '.xml') END) AS inner_path, "
     "doc_id % 29 <> 0 AS readable FROM documents"
 )
+#: The same with some members listed twice.
+REPEATED = f"{MEMBERS} UNION ALL {MEMBERS} WHERE doc_id % 13 = 4"
 _FLAG = lambda k, v: f"CASE WHEN doc_id % {k} = 0 THEN {v} ELSE '0' END"
 LABELS = (
     f"SELECT doc_id, {case('doc_id % 3', [_ID, f'concat(' + chr(39) + 'pmc' + chr(39) + f', {_ID})'], f'concat(' + chr(39) + ' PMC' + chr(39) + f', {_ID})')} AS pmcid, "

@@ -12,10 +12,10 @@ from sigscan.functions import citation
 from sigscan.functions.categories import CATEGORIES, DISTRIBUTION_YEARS, TREND_YEARS, bucket_array, null_id, predicate, publication_types, type_flags
 from sigscan.functions.pvalues import PATTERN, extract_pvalues
 from sigscan.functions.text import WS, clean_text, file_stem, first_token, homogenize_number, line_count
-from sigscan.operators import distribution, integrity, metadata, routing, trend
+from sigscan.operators import distribution, integrity, metadata, ordering, routing, trend
 from sigscan.plans import carriers
-from sigscan.plans.carriers import ARTICLES, CORE_JOURNALS, FILELIST, LABELS, MEMBERS, derive
-from sigscan.session import spread, table
+from sigscan.plans.carriers import ARTICLES, CORE_JOURNALS, FILELIST, LABELS, MEMBERS, REPEATED, derive
+from sigscan.session import shared_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -329,9 +329,10 @@ def labels_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).select("pmcid", "year", F.array_join("buckets", ";").alias("buckets"))
 
 
-@query(f"WITH {_DECIDED} SELECT src_tar, inner_path, pmcid, reason FROM decided")
+@query(f"WITH {_DECIDED.replace(MEMBERS, REPEATED)} SELECT src_tar, inner_path, pmcid, reason FROM decided")
 def route_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("src_tar", "inner_path", "pmcid", "reason")
+    """Some members are listed twice: their first row is judged, the second is a duplicate."""
+    return routing.decide(derive(spark, sf_dir, REPEATED), labels(spark, sf_dir)).select("src_tar", "inner_path", "pmcid", "reason")
 
 
 @query(f"WITH {_DECIDED} SELECT coalesce(pmcid, '') AS pmcid, src_tar, inner_path, reason FROM decided WHERE reason <> 'accept'")
@@ -440,6 +441,16 @@ def line_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    return ordering.ordered_concat(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", F.coalesce("text", F.lit(""))], "text")
+
+
+_LINE_AT = f"SELECT line, doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS copy FROM ({_LINES})"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY doc_id, k) - 1 AS BIGINT) AS pos, line FROM ({_LINE_AT}) WHERE copy = 1")
+def lines_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal lines, written in the order of document and line as files whose names keep that order, and read back."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
+    folder = shared_path(spark, "distinct-lines")
+    integrity.write_distinct_lines(lines, ["doc_id", "k"], "line", folder)
+    return integrity.read_ordered_lines(spark, folder)

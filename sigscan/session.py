@@ -112,4 +112,4 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(_PACKAGE.rglob("*.py")):
             z.write(f, f"{_PACKAGE.name}/{f.relative_to(_PACKAGE)}")
     sc.addPyFile(archive)
-    sc._sigscan_shipped = True
+    sc._sigscan_shipped = archive

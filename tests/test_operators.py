@@ -1,7 +1,6 @@
 """Metadata, routing, sources, streaming on small fixtures."""
 
 import gzip
-import os
 import subprocess
 import sys
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import ROOT
 from sigscan.functions.categories import query_text
 from sigscan.operators import integrity, metadata, routing, trend
+from sigscan.session import ship
 from sigscan.sources import archives, corpus, literature
 from sigscan.sources.xmltext import section_texts
 from sigscan.streaming.router import Router
@@ -97,20 +97,21 @@ def test_chunks_of_wide_rows_lose_none(spark):
     assert {r.chunk: (r.n, r.least) for r in sizes} == {k: (1000, 1000 * k) for k in range(200)}
 
 
-def test_xml_columns_work_where_the_package_is_not_installed(tmp_path):
-    """Workers that start in another folder get the package from the driver."""
-    code = f"""
-import sys
-sys.path.insert(0, {str(ROOT)!r})
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master('local-cluster[1,1,1024]').config('spark.ui.enabled', 'false').config('spark.executorEnv.PYTHONPATH', '').getOrCreate()
-from sigscan.sources.xmltext import article_sections, publication_types
-df = spark.createDataFrame([('<a><abstract>x</abstract><PublicationType>T</PublicationType></a>',)], 'x string')
-print([tuple(r) for r in df.select(article_sections('x').alias('s'), publication_types('x').alias('t')).select('s.abstract', 't').collect()])
-"""
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_LOCAL_IP": "127.0.0.1"}
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
-    assert "[('x', 'T')]" in out.stdout, out.stderr[-2000:]
+def test_package_is_shipped_whole(spark, tmp_path):
+    """A bare interpreter in another folder imports the archive that executors get, without the repository."""
+    ship(spark)
+    archive = spark.sparkContext._sigscan_shipped
+    assert any(archive.rsplit("/", 1)[-1] in f for f in spark.sparkContext.listFiles)
+    code = f"import sys; sys.path.insert(0, {archive!r}); from sigscan.sources import xmltext as x; from sigscan.llm import tokens; print(x.__file__, x.section_texts('<a><abstract>x</abstract></a>'))"
+    code = code if (ROOT / "sigscan/llm").exists() else code.replace("from sigscan.llm import tokens; ", "")
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == f"{archive}/sigscan/sources/xmltext.py ('x', None)", out.stderr[-2000:]
+
+
+def test_rows_that_repeat_are_accepted_once(spark):
+    rows = [("a.tar", "d/PMC11.xml", 0)] * 3 + [("a.tar", "e/pmc11.xml", 0), ("a.tar", "d/PMC12.xml", 1), ("b.tar", "d/PMC12.xml", 0), ("a.tar", "x.xml", 0), ("a.tar", "x.xml", 0)]
+    got = sorted((r.inner_path, r.src_tar, r.reason) for r in routing.decide(spark.createDataFrame(rows, "src_tar string, inner_path string, member_pos long").repartition(4), labels(spark)).collect())
+    assert got == sorted([("d/PMC11.xml", "a.tar", "accept")] + [("d/PMC11.xml", "a.tar", "duplicate-pmcid")] * 2 + [("e/pmc11.xml", "a.tar", "duplicate-pmcid"), ("d/PMC12.xml", "a.tar", "accept"), ("d/PMC12.xml", "b.tar", "duplicate-pmcid")] + [("x.xml", "a.tar", "non-xml or unrecognized filename")] * 2)
 
 
 def test_archives(spark, tmp_path):
