@@ -65,7 +65,7 @@ _WITH_TEXT = MEMBERS.replace("SELECT ", "SELECT text, ", 1)
 def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of archives that are written first, one for each source archive, whole texts in them."""
     paths = _write_archives(_with_text(spark, sf_dir), shared_path(spark, "archives"))
-    return archives.members(paths).select("src_tar", "inner_path", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
+    return archives.members(paths, by_path=False).select("src_tar", "inner_path", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
 
 
 def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:

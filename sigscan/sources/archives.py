@@ -1,4 +1,4 @@
-"""Tar archives of article XML: members, integrity, jobs, export. Archives are read as streams on executors."""
+"""Tar archives of article XML: an index of members, reading by ranges, integrity, jobs, export."""
 
 from __future__ import annotations
 
@@ -12,10 +12,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.session import ship
+from sigscan.session import materialize, ship
 
 MEMBERS = "src_tar string, inner_path string, member_pos long, readable boolean, content binary"
+#: A member's place: ``offset`` and ``size`` of its bytes in an archive that is not compressed, null in one that is (``size`` is known in both).
+INDEX = "path string, inner_path string, member_pos long, offset long, size long"
 _KINDS = (".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz")
+#: Bytes of members that a task reads, and of a batch of them.
+RANGE_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
 
 
 def list_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = _KINDS) -> DataFrame:
@@ -25,43 +29,137 @@ def list_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = _KIND
     return files.where(F.lower(name).rlike(r"\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$") & F.lower(name).rlike("|".join(k.replace(".", r"\.") + "$" for k in kinds))).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("field"), F.regexp_replace(name, r"(?i)\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$", "").alias("year"))
 
 
-def open_uri(uri: str):
-    """A readable stream of a file by URI, on an executor."""
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = uri.replace("file:/", "file:///", 1)
-    fs, at = pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(uri)
+
+
+def open_uri(uri: str):
+    """A readable stream of a file by URI, on an executor."""
+    fs, at = _located(uri)
     return fs.open_input_stream(at, compression=None)
 
 
-def members(archives: DataFrame, content: bool = True, suffix: str = ".xml", by_path: bool = False) -> DataFrame:
-    """The regular members named ``*.xml`` (any case) of archives (path), in order; ``content=False`` lists without reading; ``by_path`` gives whole paths as src_tar.
+def _index_of(path: str, suffix: str):
+    """(inner_path, member_pos, offset, size) of the wanted members of an archive. Of one that is not compressed only the headers are read, the rest is skipped over."""
+    fs, at = _located(path)
+    with fs.open_input_file(at) as f:
+        plain = _is_plain(f)
+        f.seek(0)
+        with tarfile.open(fileobj=f, mode="r:" if plain else "r|*") as tar:
+            for pos, m in enumerate(tar):
+                if plain:
+                    tar.members = []  # an archive of millions of members is not kept
+                if m.isfile() and m.name.lower().endswith(suffix):
+                    yield m.name, pos, m.offset_data if plain and not m.issparse() else None, m.size
 
-    Listing first and reading only what is routed is two cheap passes instead of
-    one that carries every member's bytes through the decisions.
-    """
+
+def _is_plain(f) -> bool:
+    """Whether a file begins with a tar header as it is; an empty one does not matter."""
+    head = f.read(512)
+    try:
+        return len(head) == 512 and (not head.strip(b"\0") or tarfile.TarInfo.frombuf(head, "utf-8", "surrogateescape") is not None)
+    except tarfile.TarError:
+        return False
+
+
+def index_archives(archives: DataFrame, suffix: str = ".xml") -> DataFrame:
+    """(path, inner_path, member_pos, offset, size) of the regular members named ``*.xml`` (any case) of archives (path), written to the shared folder: a table of places, with which any task reads any member."""
     ship(archives.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("inner_path", pa.string()), ("member_pos", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
-        schema = pa.schema([("src_tar", pa.string()), ("inner_path", pa.string()), ("member_pos", pa.int64()), ("readable", pa.bool_()), ("content", pa.binary())])
         for b in batches:
+            rows = []
             for path in b.column(0).to_pylist():
-                rows, size = [], 0
-                with open_uri(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
-                    for pos, m in enumerate(tar):
-                        if not m.isfile() or not m.name.lower().endswith(suffix):
-                            continue
-                        f = tar.extractfile(m) if content else None
-                        data = f.read() if f else None
-                        rows.append({"src_tar": path if by_path else path.rsplit("/", 1)[-1], "inner_path": m.name, "member_pos": pos, "readable": not content or data is not None, "content": data})
-                        size += len(data or b"") + 200
-                        if size > 1 << 24:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                for row in _index_of(path, suffix):
+                    rows.append((path, *row))
+                    if len(rows) >= 8192:
+                        yield _batch(rows, schema)
+                        rows = []
+            if rows:
+                yield _batch(rows, schema)
 
     n = max(archives.count(), 1)
-    return archives.select("path").repartition(n, "path").mapInArrow(run, MEMBERS)
+    return materialize(archives.select("path").repartition(n, "path").mapInArrow(run, INDEX), "tar-index")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _contents(rows):
+    """The rows (path, inner_path, member_pos, offset, size) with the members' bytes. Rows of an archive come in order, so a file is opened once and a compressed one is streamed once."""
+    now, handles, stream = None, [], None
+    try:
+        for path, inner, pos, offset, size in rows:
+            if path != now:
+                _close(handles)
+                fs, at = _located(path)
+                now, stream = path, None
+                handles.append(fs.open_input_file(at))
+            if offset is not None:
+                handles[0].seek(offset)
+                data = handles[0].read(size)
+                if len(data) != size:
+                    raise OSError(f"{path} ends inside {inner}")
+            else:
+                if stream is None:
+                    handles.append(fs.open_input_stream(at, compression=None))
+                    handles.append(tarfile.open(fileobj=handles[1], mode="r|*"))
+                    stream = enumerate(handles[2])
+                m = next(m for k, m in stream if k == pos)
+                x = handles[2].extractfile(m)
+                data = x.read() if x else None
+            yield path, inner, pos, data
+    finally:
+        _close(handles)
+
+
+def _close(handles: list) -> None:
+    while handles:
+        handles.pop().close()
+
+
+def ranges(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Add ``part`` to an index: members of one archive that lie in the same ``range_bytes`` of it; a compressed archive is one part, as it can only be read from its start."""
+    return index.withColumn("part", F.coalesce(F.floor(F.col("offset") / F.lit(range_bytes)), F.lit(0)).cast("long"))
+
+
+def read_members(index: DataFrame, by_path: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(src_tar, inner_path, member_pos, readable, content) of the members of an index, or of any rows of it: a large archive is read by many tasks, each its ranges of bytes."""
+    ship(index.sparkSession)
+    schema = pa.schema([("src_tar", pa.string()), ("inner_path", pa.string()), ("member_pos", pa.int64()), ("readable", pa.bool_()), ("content", pa.binary())])
+
+    def run(batches):
+        out, size = [], 0
+        for path, inner, pos, data in _contents(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)):
+            out.append((path if by_path else path.rsplit("/", 1)[-1], inner, pos, data is not None, data))
+            size += len(data or b"") + 200
+            if size > BATCH_BYTES:
+                yield _batch(out, schema)
+                out, size = [], 0
+        if out:
+            yield _batch(out, schema)
+
+    placed = ranges(index, range_bytes)
+    n = max(index.sparkSession.sparkContext.defaultParallelism, placed.select("path", "part").distinct().count())
+    dealt = placed.repartition(n, "path", "part").sortWithinPartitions("path", "member_pos")
+    return dealt.select("path", "inner_path", "member_pos", "offset", "size").mapInArrow(run, MEMBERS)
+
+
+def members(archives: DataFrame, content: bool = True, suffix: str = ".xml", by_path: bool = True) -> DataFrame:
+    """The regular members named ``*.xml`` (any case) of archives (path); ``content=False`` lists without reading.
+
+    ``by_path=False`` gives an archive's base name as src_tar, for archives whose names differ. Listing first and
+    reading only what is routed is two cheap passes instead of one that carries every member's bytes through the decisions.
+    """
+    index = index_archives(archives, suffix)
+    if content:
+        return read_members(index, by_path)
+    src = F.col("path") if by_path else F.regexp_extract("path", r"([^/]+)$", 1)
+    return index.select(src.alias("src_tar"), "inner_path", "member_pos", F.lit(True).alias("readable"), F.lit(None).cast("binary").alias("content"))
 
 
 def check_archives(archives: DataFrame) -> DataFrame:

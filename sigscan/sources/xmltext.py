@@ -1,9 +1,13 @@
-"""Text of article XML. Mixed content and tolerance of malformed input are beyond the JVM's XML functions, so this is Arrow-batched Python."""
+"""Text of article XML. Mixed content and tolerance of malformed input are beyond the JVM's XML functions, so this is Arrow-batched Python.
+
+A document is read as events in one pass: only the texts that are asked for are
+held, never a tree, and a document may come in pieces.
+"""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -12,22 +16,75 @@ from pyspark.sql.functions import pandas_udf
 
 from sigscan.session import ship
 
-_SECTIONS = {"abstract": {"abstract", "Abstract", "ABSTRACT"}, "body": {"body", "Body", "BODY"}}
-
-
-def section_texts(data: str | bytes | None) -> tuple[str | None, str | None]:
-    """(abstract, body): the stripped texts of matching elements in document order, joined by line feeds; (None, None) if malformed."""
+_ABSTRACT, _BODY = ("abstract", "Abstract", "ABSTRACT"), ("body", "Body", "BODY")
+
+
+class _Events:
+    """A parser's target that keeps texts of some elements, in the order in which they begin.
+
+    ``whole`` elements keep all text inside them, ``own`` elements the text
+    before their first child; with ``nodes`` each whole element also keeps the own
+    texts of everything inside it.
+    """
+
+    def __init__(self, whole: Iterable[str] = (), own: Iterable[str] = (), nodes: bool = False):
+        self.whole, self.own, self.nodes = frozenset(whole), frozenset(own), nodes
+        self.found: list[tuple[str, list[str], list[list[str]]]] = []
+        self.open: list[tuple[str, list[str], list[list[str]]]] = []  # whole elements around
+        self.texts: list[list[str] | None] = []  # own text of each element around, None once it had a child
+
+    def start(self, tag: str, attributes: dict) -> None:
+        if self.texts:
+            self.texts[-1] = None
+        if tag in self.whole:
+            self.open.append((tag, [], []))
+            self.found.append(self.open[-1])
+        own: list[str] | None = None
+        if tag in self.own:
+            own = []
+            self.found.append((tag, own, []))
+        elif self.nodes and self.open:
+            own = []
+        if self.nodes and own is not None:
+            for e in self.open:
+                e[2].append(own)
+        self.texts.append(own)
+
+    def data(self, text: str) -> None:
+        for e in self.open:
+            e[1].append(text)
+        if self.texts and self.texts[-1] is not None:
+            self.texts[-1].append(text)
+
+    def end(self, tag: str) -> None:
+        self.texts.pop()
+        if tag in self.whole:
+            self.open.pop()
+
+    def close(self) -> _Events:
+        return self
+
+
+def _read(data: str | bytes | Iterable[bytes] | None, **wanted) -> _Events | None:
+    """What a document holds of the wanted elements; None for no document or a malformed one."""
     if data is None:
-        return None, None
+        return None
+    parser = ET.XMLParser(target=_Events(**wanted))
     try:
-        root = ET.fromstring(data)
+        for piece in (data,) if isinstance(data, (str, bytes)) else data:
+            parser.feed(piece)
+        return parser.close()
     except (ET.ParseError, ValueError, LookupError):
+        return None
+
+
+def section_texts(data: str | bytes | Iterable[bytes] | None) -> tuple[str | None, str | None]:
+    """(abstract, body): the stripped texts of matching elements in document order, joined by line feeds; (None, None) if malformed. A document may be given in pieces."""
+    read = _read(data, whole=_ABSTRACT + _BODY)
+    if read is None:
         return None, None
-    out = []
-    for tags in _SECTIONS.values():
-        texts = [t for e in root.iter() if e.tag in tags and (t := "".join(e.itertext()).strip())]
-        out.append("\n".join(texts) or None)
-    return out[0], out[1]
+    join = lambda tags: "\n".join(t for tag, text, _ in read.found if tag in tags and (t := "".join(text).strip())) or None
+    return join(_ABSTRACT), join(_BODY)
 
 
 @pandas_udf(T.StructType([T.StructField("abstract", T.StringType()), T.StructField("body", T.StringType())]))
@@ -36,36 +93,44 @@ def _article_sections(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([section_texts(x) for x in s], columns=["abstract", "body"], dtype=object)
 
 
+def node_texts(data: str | bytes | None) -> str | None:
+    """Own texts of abstract elements and of everything inside them, stripped and blank-joined."""
+    read = _read(data, whole=_ABSTRACT, nodes=True)
+    return None if read is None else " ".join(t for _, _, nodes in read.found for own in nodes if (t := "".join(own).strip()))
+
+
 @pandas_udf(T.StringType())
 def _abstract_nodes(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(x):
-        try:
-            root = ET.fromstring(x)
-        except (ET.ParseError, ValueError, TypeError, LookupError):
-            return None
-        return " ".join(t for e in root.iter() if e.tag in _SECTIONS["abstract"] for d in e.iter() if d.text and (t := d.text.strip()))
-
     for s in content:
-        yield s.map(one)
+        yield s.map(node_texts)
 
 
-def _elements(data: str | bytes | None, tag: str) -> list[str] | None:
-    try:
-        return [e.text for e in ET.fromstring(data).iter(tag) if e.text]
-    except (ET.ParseError, ValueError, TypeError, LookupError):
-        return None
+def own_texts(data: str | bytes | None, *tags: str) -> dict[str, list[str]] | None:
+    """The texts before the first child of elements, by tag; empty ones are left out."""
+    read = _read(data, own=tags)
+    return None if read is None else {tag: [t for found, text, _ in read.found if found == tag and (t := "".join(text))] for tag in tags}
+
+
+def types_of(xml: str | bytes | None) -> str | None:
+    texts = own_texts(xml, "PublicationType")
+    return None if texts is None else " ; ".join(texts["PublicationType"])
+
+
+def line_of(xml: str | bytes | None) -> str | None:
+    texts = own_texts(xml, "PMID", "AbstractText")
+    return "\t".join([texts["PMID"][0], *texts["AbstractText"]]) if texts and texts["PMID"] else None
 
 
 @pandas_udf(T.StringType())
 def _publication_types(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in xml:
-        yield s.map(lambda x: None if (t := _elements(x, "PublicationType")) is None else " ; ".join(t))
+        yield s.map(types_of)
 
 
 @pandas_udf(T.StringType())
 def _record_line(xml: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in xml:
-        yield s.map(lambda x: "\t".join([ids[0], *_elements(x, "AbstractText")]) if (ids := _elements(x, "PMID")) else None)
+        yield s.map(line_of)
 
 
 def _shipped(udf, content) -> Column:
