@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
 import re
@@ -10,6 +11,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import PythonException, SparkRuntimeException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from sigscan.plans.carriers import ARTICLES, MEMBERS, derive
 from sigscan.plans.catalogue import _DECIDED, _FIELDS, _TRIM, _YEAR_TEXT, decided, labels, query, re2
 from sigscan.session import materialize, shared_path, ship, table
 from sigscan.sources import archives, corpus, literature
-from sigscan.sources.xmltext import article_sections, publication_types
+from sigscan.sources.xmltext import article_sections, publication_types, section_texts
 from sigscan.streaming.router import Router
 
 #: Characters that XML 1.0 does not allow.
@@ -300,22 +302,34 @@ def bucket_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.members(written, by_path=True).select(F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 1).alias("bucket"), F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 2).alias("year"), "inner_path", F.octet_length("content").cast("long").alias("n"))
 
 
-_SECTIONS = f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, year, CASE WHEN doc_id % 10 <> 9 THEN 'First ' || CAST(doc_id AS VARCHAR) END AS abstract, CASE WHEN doc_id % 10 <> 9 THEN {_TRIM('regexp_replace(' + _PLAIN + ', ' + chr(39) + '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} END AS body FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'unknown-year' ELSE CAST(1990 + doc_id % 36 AS VARCHAR) END AS year FROM documents)"
+_SECTIONS = f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, year, CASE WHEN doc_id % 10 <> 9 THEN 'First ' || CAST(doc_id AS VARCHAR) END AS abstract, CASE WHEN doc_id % 10 <> 9 THEN {_TRIM('regexp_replace(' + _PLAIN + ', ' + chr(39) + '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} END AS body FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(1990 + doc_id % 36 AS INTEGER) END AS year FROM documents)"
 
 
-@query(f"WITH s AS ({_SECTIONS}) SELECT 'abstract' AS section, year, sha256(article_id || ' ' || abstract) AS digest FROM s WHERE abstract <> '' UNION ALL SELECT 'body', year, sha256(article_id || ' ' || body) FROM s WHERE body <> ''")
+class BreaksOff:
+    """An extraction that fails at articles whose number of bytes leaves ``rest`` by 5: what a killed run looks like to the units after it."""
+
+    def __init__(self, rest: int):
+        self.rest = rest
+
+    def __call__(self, data: bytes):
+        if len(data) % 5 == self.rest:
+            raise OSError("broken off")
+        return section_texts(data)
+
+
+@query(f"WITH s AS ({_SECTIONS}) SELECT 'pmc_abstract' AS source, year, sha256(article_id || ' ' || abstract) AS digest FROM s WHERE abstract <> '' UNION ALL SELECT 'pmc_body', year, sha256(article_id || ' ' || body) FROM s WHERE body <> ''")
 def archive_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article texts of archives, written in two runs of which the second repeats the first one's archives: each line is there once."""
+    """Whole texts as XML in a tar archive a year, converted in two runs that are broken off and one that ends: each line is there once."""
     folder = shared_path(spark, "converted")
-    docs = _xml_docs(spark, sf_dir).select("doc_id", article_sections("xml").alias("s"))
-    path = F.concat(F.lit("archive-"), (F.col("doc_id") % 4).cast("string"))
     year = F.when(F.col("doc_id") % 7 != 0, 1990 + F.col("doc_id") % 36).cast("int")
-    sections = docs.select(path.alias("path"), F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("article_id"), F.lit("review").alias("category"), year.alias("year"), "s.abstract", "s.body")
-    jobs = sections.select("path").distinct()
-    corpus.convert_archives(jobs.where("path < 'archive-2'"), sections, folder)
-    corpus.convert_archives(jobs, sections, folder)
-    out = spark.read.option("recursiveFileLookup", False).text(f"{folder}/texts")
-    return out.select("section", F.col("year").cast("string").alias("year"), F.sha2("value", 256).alias("digest"))
+    copied = _xml_docs(spark, sf_dir).select(F.lit("review").alias("bucket"), year.alias("year"), F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), F.col("xml").cast("binary").alias("content"))
+    written = materialize(archives.export_tars(copied, f"{folder}/tars"), "written")
+    jobs = written.select("path", F.lit("review").alias("category"), F.regexp_extract("path", "/([0-9]{4})/[^/]+$", 1).try_cast("int").alias("year"))
+    for rest in (0, 1):
+        with contextlib.suppress(PythonException, SparkException):
+            corpus.convert_archives(jobs, folder, 4 << 20, BreaksOff(rest))
+    corpus.convert_archives(jobs, folder, 4 << 20)
+    return corpus.read_converted(spark, folder).select("source", "year", F.sha2("line", 256).alias("digest"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: {_TRIM('x')} <> ''), lambda x: x || chr(10)), '') AS text FROM documents")

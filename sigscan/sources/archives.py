@@ -89,7 +89,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _contents(rows):
+def contents(rows):
     """The rows (path, inner_path, member_pos, offset, size) with the members' bytes. Rows of an archive come in order, so a file is opened once and a compressed one is streamed once."""
     now, handles, stream = None, [], None
     try:
@@ -134,7 +134,7 @@ def read_members(index: DataFrame, by_path: bool = True, range_bytes: int = RANG
 
     def run(batches):
         out, size = [], 0
-        for path, inner, pos, data in _contents(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)):
+        for path, inner, pos, data in contents(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)):
             out.append((path if by_path else path.rsplit("/", 1)[-1], inner, pos, data is not None, data))
             size += len(data or b"") + 200
             if size > BATCH_BYTES:

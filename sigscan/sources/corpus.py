@@ -3,35 +3,44 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import uuid
+from collections.abc import Callable
+from contextlib import ExitStack
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigscan.functions.text import WS, clean_text, decode_text, not_blank, trim_ws
 from sigscan.operators.metadata import union_filelists
 from sigscan.session import exists, materialize, ship
-from sigscan.sources.archives import open_uri
+from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, open_uri, ranges
+from sigscan.sources.xmltext import section_texts
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
+_LINE_BREAKS = re.compile("[\r\n\t ]+")
 _NAME = r"(pmcid|pmcxtract|pmid|pmxtract)_list_(.+?)_([0-9]{4}|unknown-year|unknown)(?:_(abstract|body))?\.txt$"
 
 
-def _parts(df: DataFrame) -> DataFrame:
+def _parts(df: DataFrame, *more: Column) -> DataFrame:
     path = F.col("_metadata.file_path")
     part = lambda k: F.nullif(F.regexp_extract(path, _NAME, k), F.lit(""))
     kind = part(1)
     source = F.when(kind.startswith("pmc"), F.concat(F.lit("pmc_"), part(4))).when(kind.isNotNull(), F.lit("pubmed_abstract"))
-    return df.select(trim_ws(F.col("value")).alias("line"), source.alias("source"), part(2).alias("category"), part(3).try_cast("int").alias("year")).where(not_blank(F.col("line")))
+    return df.select(trim_ws(F.col("value")).alias("line"), source.alias("source"), part(2).alias("category"), part(3).try_cast("int").alias("year"), *more).where(not_blank(F.col("line")))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(article_id, text, line, source, category, year) of line corpora; blank lines are skipped, missing files are just absent."""
-    lines = _parts(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*xtract_list_*.txt").text(path))
+def read_lines(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
+    """(article_id, text, line, source, category, year) of line corpora, and ``more`` columns; blank lines are skipped, missing files are just absent."""
+    lines = _parts(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*xtract_list_*.txt").text(path), *more)
+    kept = [c for c in lines.columns if c not in ("line", "source", "category", "year")]
     head = F.regexp_extract("line", f"^[^{WS}]+", 0)
-    return lines.select(head.alias("article_id"), trim_ws(F.substring("line", F.length(head) + 1, F.length("line"))).alias("text"), "line", "source", "category", "year")
+    return lines.select(head.alias("article_id"), trim_ws(F.substring("line", F.length(head) + 1, F.length("line"))).alias("text"), "line", "source", "category", "year", *kept)
 
 
 def read_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -89,27 +98,93 @@ def write_corpus(lines: DataFrame, folder: str, kind: str = "pmcxtract") -> Data
     return materialize(dealt.mapInArrow(run, "path string, lines long"), "corpus")
 
 
-def convert_archives(archives: DataFrame, sections: DataFrame, path: str) -> DataFrame:
-    """Write the texts of archives that are not done yet, and mark them done; returns the archives of this call.
+#: What a unit of work writes: the texts of each section, and the ids of the articles that have it.
+_SECTIONS = ("abstract", "body")
+DONE = "job string, path string, part long, category string, year string, articles long, abstract long, body long"
 
-    ``archives`` (path) lists jobs, ``sections`` holds (path, article_id,
-    category, year, abstract, body) of any of them. An archive's texts go to a
-    folder of its own that is overwritten, and its mark is written after them:
-    a run that is broken off leaves archives undone, which the next run writes
-    again, without a line twice.
+
+def convert_archives(archives: DataFrame, folder: str, unit_bytes: int = RANGE_BYTES, sections: Callable[[bytes], tuple[str | None, str | None]] = section_texts) -> DataFrame:
+    """Write the texts of archives (path, category, year) of article XML that are not done yet; returns what this call did, as :func:`converted`.
+
+    A unit of work is the members in one range of bytes of an archive. Its task
+    writes its four outputs (texts and ids of abstracts and of bodies) to a
+    folder of its own, each named when it is complete, and then its mark. So a run that
+    is broken off keeps every unit that was finished, the next one does the
+    others, and nothing that a unit left without its mark is ever read. Article
+    texts are read and written one at a time.
     """
     spark = archives.sparkSession
-    job = F.md5(F.col("path").cast("binary"))
-    jobs = archives.select("path", job.alias("job")).distinct()
-    if exists(spark, f"{path}/done"):
-        jobs = jobs.join(spark.read.schema("job string, path string").parquet(f"{path}/done").select("job"), "job", "left_anti")
-    jobs = materialize(jobs, "jobs")
-    texts = sections.join(jobs, "path").select("job", "article_id", "category", F.coalesce(F.col("year").cast("string"), F.lit("unknown-year")).alias("year"), F.expr("stack(2, 'abstract', abstract, 'body', body) as (section, text)"))
-    kept = texts.withColumn("value", F.concat_ws(" ", "article_id", clean_text(F.col("text")))).where(clean_text(F.col("text")) != "")
-    columns = kept.select("value", "job", "section", "category", "year")
-    columns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job", "section", "category", "year").text(f"{path}/texts")
-    jobs.write.mode("append").parquet(f"{path}/done")
-    return jobs
+    ship(spark)
+    index = ranges(index_archives(archives.select("path").distinct()), unit_bytes)
+    job = F.md5(F.concat_ws(":", "path", "part").cast("binary"))
+    units = index.withColumn("job", job).join(archives.select("path", "category", F.coalesce(F.col("year").cast("string"), F.lit("unknown-year")).alias("year")).dropDuplicates(["path"]), "path")
+    before = converted(spark, folder).select("job")
+    todo = units.join(before, "job", "left_anti")
+    left = materialize(todo.select("job").distinct(), "units")
+    n = max(left.count(), 1)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        # of each row what reading needs, and beside it the unit that it belongs to
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True))
+        for (job_, path, part, category, year), unit in groupby(rows, itemgetter(5, 0, 6, 7, 8)):
+            done = _convert(fs, f"{base}/units/{job_}", f"{category}_{year}", contents(r[:5] for r in unit), sections)
+            mark = {"job": job_, "path": path, "part": part, "category": category, "year": year, **done}
+            _put(fs, f"{base}/done", f"{job_}.json", json.dumps(mark).encode() + b"\n")
+            yield pa.RecordBatch.from_pylist([{"job": job_}], pa.schema([("job", pa.string())]))
+
+    dealt = todo.repartition(n, "job").sortWithinPartitions("job", "path", "member_pos")
+    columns = ["path", "inner_path", "member_pos", "offset", "size", "job", "part", "category", "year"]
+    materialize(dealt.select(*columns).mapInArrow(run, "job string"), "converted")
+    return converted(spark, folder).join(left, "job", "left_semi")
+
+
+def _put(fs: pafs.FileSystem, folder: str, name: str, data: bytes) -> None:
+    """A small file that is there whole or not at all."""
+    fs.create_dir(folder, recursive=True)
+    temp = f"{folder}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        out.write(data)
+    fs.move(temp, f"{folder}/{name}")
+
+
+def _convert(fs: pafs.FileSystem, folder: str, name: str, articles, sections) -> dict[str, int]:
+    """Write a unit's four files; what an attempt before left under other names goes."""
+    attempt = f"{folder}/.{uuid.uuid4().hex}"
+    fs.create_dir(attempt, recursive=True)
+    files = {(kind, s): f"{kind}_list_{name}_{s}.txt" for kind in ("pmcxtract", "pmcid") for s in _SECTIONS}
+    counts = {"articles": 0} | dict.fromkeys(_SECTIONS, 0)
+    with ExitStack() as stack:
+        out = {k: stack.enter_context(fs.open_output_stream(f"{attempt}/{f}", compression=None)) for k, f in files.items()}
+        for _, inner, _, data in articles:
+            article = inner.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            counts["articles"] += 1
+            for s, text in zip(_SECTIONS, sections(data), strict=True):
+                text = _LINE_BREAKS.sub(" ", text or "").strip()
+                if text:
+                    out["pmcxtract", s].write(f"{article} {text}\n".encode())
+                    out["pmcid", s].write(f"{article}\n".encode())
+                    counts[s] += 1
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.type == pafs.FileType.File:
+            fs.delete_file(info.path)
+    for f in files.values():
+        fs.move(f"{attempt}/{f}", f"{folder}/{f}")
+    fs.delete_dir(attempt)
+    return counts
+
+
+def converted(spark: SparkSession, folder: str) -> DataFrame:
+    """The units of a folder that are done: (job, path, part, category, year, articles, abstract, body)."""
+    if not exists(spark, f"{folder}/done"):
+        return spark.createDataFrame([], DONE)
+    return spark.read.schema(DONE).json(f"{folder}/done")
+
+
+def read_converted(spark: SparkSession, folder: str) -> DataFrame:
+    """(article_id, text, line, source, category, year) of all units that are done, as :func:`read_lines`; files of others are not seen."""
+    lines = read_lines(spark, f"{folder}/units", F.regexp_extract("_metadata.file_path", r"/units/([0-9a-f]{32})/", 1).alias("job"))
+    return lines.join(converted(spark, folder).select("job"), "job", "left_semi").drop("job")
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:

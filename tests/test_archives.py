@@ -1,12 +1,15 @@
 """Tar archives: index and ranges against the sequential reader."""
 
 import io
+import sys
 import tarfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from sigscan.sources import archives
+from sigscan.sources import archives, corpus
+from sigscan.sources.xmltext import section_texts
 
 
 def pack(path, names, mode="w", size=lambda k: 300 + k % 50):
@@ -65,3 +68,50 @@ def test_empty_and_odd_archives(spark, tmp_path):
     got = archives.members(archives.list_archives(spark, f"{tmp_path}")).collect()
     assert [(r.inner_path, r.member_pos, bytes(r.content)) for r in got] == [("PMC1.xml", 2, b"")]
     assert archives.members(archives.list_archives(spark, f"{tmp_path}").where("false")).count() == 0
+
+
+class Breaks:
+    """An extraction that fails at one article."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def __call__(self, data):
+        if self.name in data:
+            raise OSError("broken off")
+        return section_texts(data)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors can't import tests
+
+
+def test_a_broken_run_keeps_what_is_finished(spark, tmp_path):
+    (tmp_path / "in/review").mkdir(parents=True)
+    for year in range(2000, 2006):
+        with tarfile.open(tmp_path / f"in/review/{year}.tar", "w") as tar:
+            for k in range(60):
+                data = f"<a><abstract>abstract {year}-{k}</abstract><body>{'body' if k % 3 else ''}\n text</body>{'x' * 2000}</a>".encode() if k != 7 else b"<a>"
+                info = tarfile.TarInfo(f"d/PMC{year}{k:02}.xml")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    jobs = archives.list_archives(spark, f"{tmp_path}/in").select("path", F.col("field").alias("category"), F.col("year").cast("int").alias("year"))
+    out, unit = f"file://{tmp_path}/out", 1 << 16
+    units = archives.ranges(archives.index_archives(jobs.select("path")), unit).select("path", "part").distinct().count()
+    assert units > 6  # an archive is many units
+    with pytest.raises(Exception, match="broken off"):
+        corpus.convert_archives(jobs.withColumn("category", F.lit("other")), out, unit, Breaks(b"abstract 2003-50<"))
+    kept = {r.job for r in corpus.converted(spark, out).collect()}
+    assert len(kept) < units
+    # files of a unit without its mark, of a category that has changed since
+    corpus.convert_archives(jobs.where("year = 2003"), out, unit)
+    again = {r.job for r in corpus.converted(spark, out).where("year = '2003'").collect()} - kept
+    assert again
+    rest = {r.job for r in corpus.convert_archives(jobs, out, unit).collect()}
+    assert not rest & (kept | again) and len(kept | again | rest) == units
+    assert corpus.convert_archives(jobs, out, unit).count() == 0
+    lines = corpus.read_converted(spark, out).collect()
+    want = [f"PMC{y}{k:02} abstract {y}-{k}" for y in range(2000, 2006) for k in range(60) if k != 7] + [f"PMC{y}{k:02} {'body ' if k % 3 else ''}text" for y in range(2000, 2006) for k in range(60) if k != 7]
+    assert sorted(r.line for r in lines) == sorted(want)
+    done = corpus.converted(spark, out).agg(F.sum("articles").alias("a"), F.sum("abstract").alias("b"), F.sum("body").alias("c")).first()
+    assert tuple(done) == (360, 354, 354)
+    assert corpus.read_ids(spark, f"{tmp_path}/out/units").where("category = 'review'").count() > 0

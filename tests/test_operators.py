@@ -74,21 +74,6 @@ def test_a_new_run_keeps_the_older_ones(spark, tmp_path):
     assert sorted(r.pmcid for r in router.table("manifest").collect()) == ["PMC11", "PMC12"]
 
 
-def test_archives_are_resumed(spark, tmp_path):
-    rows = [(f"t{k % 3}", f"PMC{k}", "review", 2000 if k % 2 else None, f"abstract {k}", "" if k % 4 else f"body\n{k}") for k in range(12)]
-    df = spark.createDataFrame(rows, "path string, article_id string, category string, year int, abstract string, body string")
-    jobs = df.select("path")
-    out = f"file://{tmp_path}/out"
-    assert corpus.convert_archives(jobs.where("path = 't0'"), df, out).count() == 1
-    # texts of an archive that was broken off are there without its mark
-    df.where("path = 't1'").selectExpr("'partial' as value", "md5('t1') as job", "'body' as section", "category", "'2000' as year").write.mode("append").partitionBy("job", "section", "category", "year").text(f"{out}/texts")
-    assert sorted(r.path for r in corpus.convert_archives(jobs, df, out).collect()) == ["t1", "t2"]
-    assert corpus.convert_archives(jobs, df, out).count() == 0
-    got = sorted((r.value, r.section, str(r.year)) for r in spark.read.text(f"{out}/texts").collect() if r.value != "partial")
-    year = lambda y: str(y) if y else "unknown-year"
-    assert got == sorted([(f"{i} {a}", "abstract", year(y)) for _, i, _, y, a, _ in rows] + [(f"{i} {' '.join(b.split())}", "body", year(y)) for _, i, _, y, _, b in rows if b])
-
-
 def test_chunks_of_wide_rows_lose_none(spark):
     df = spark.range(200_000).select(F.col("id"), *[F.concat(F.lit(f"column {k} "), F.md5(F.col("id").cast("string"))).alias(f"c{k}") for k in range(6)]).repartition(37)
     got = integrity.chunks(df, "id", 1000)
