@@ -22,6 +22,7 @@ from sigscan.plans.carriers import ARTICLES, MEMBERS, derive
 from sigscan.plans.catalogue import _DECIDED, _FIELDS, _TRIM, _YEAR_TEXT, decided, labels, query, re2
 from sigscan.session import materialize, shared_path, ship, table
 from sigscan.sources import archives, corpus, literature
+from sigscan.sources.tarstore import TarStore
 from sigscan.sources.xmltext import article_sections, publication_types, section_texts
 from sigscan.streaming.router import Router
 
@@ -294,12 +295,16 @@ def id_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DECIDED} SELECT bucket, {_YEAR_TEXT.replace('unknown', 'unknown-year')} AS year, r.pmcid || '.xml' AS inner_path, CAST(octet_length(encode(coalesce(d.text, ''))) AS BIGINT) AS n FROM (SELECT unnest(buckets) AS bucket, year, pmcid, member_pos FROM decided WHERE reason = 'accept') r JOIN documents d ON d.doc_id = r.member_pos")
 def bucket_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted articles written as tar archives of their buckets and years, whole texts in them, then read back."""
+    """Accepted articles appended in three runs to the tar archives of their buckets and years, whole texts in them, compacted and read back."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("member_pos"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     copied = routing.copies(decided(spark, sf_dir)).select("bucket", "year", "pmcid", "member_pos").join(texts, "member_pos")
-    written = materialize(archives.export_tars(copied, shared_path(spark, "buckets"), max_members=100), "written")
-    # archives of one name lie in folders of their own, so the path says which bucket a member is of
-    return archives.members(written, by_path=True).select(F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 1).alias("bucket"), F.regexp_extract("src_tar", r"([^/]+)/([^/]+)/[^/]+$", 2).alias("year"), "inner_path", F.octet_length("content").cast("long").alias("n"))
+    store = TarStore(spark, shared_path(spark, "buckets"))
+    for k in range(3):  # three runs add to the same buckets; then each bucket and year is one archive
+        store.append(copied.where(F.pmod(F.col("member_pos"), F.lit(3)) == k).drop("member_pos"), f"run-{k}")
+    store.compact("compacted")
+    parts = store.parts()
+    found = archives.members(parts, by_path=True).withColumnRenamed("src_tar", "path").join(parts, "path")
+    return found.select("bucket", "year", "inner_path", F.octet_length("content").cast("long").alias("n"))
 
 
 _SECTIONS = f"SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS article_id, year, CASE WHEN doc_id % 10 <> 9 THEN 'First ' || CAST(doc_id AS VARCHAR) END AS abstract, CASE WHEN doc_id % 10 <> 9 THEN {_TRIM('regexp_replace(' + _PLAIN + ', ' + chr(39) + '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} END AS body FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(1990 + doc_id % 36 AS INTEGER) END AS year FROM documents)"

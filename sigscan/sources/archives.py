@@ -20,6 +20,8 @@ INDEX = "path string, inner_path string, member_pos long, offset long, size long
 _KINDS = (".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz")
 #: Bytes of members that a task reads, and of a batch of them.
 RANGE_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Members of an archive that is written.
+MAX_MEMBERS = 100_000
 
 
 def list_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = _KINDS) -> DataFrame:
@@ -189,7 +191,7 @@ def check_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path").repartition(max(archives.count(), 1), "path").mapInArrow(run, "path string, status string")
 
 
-def export_tars(copied: DataFrame, folder: str, max_members: int = 100_000) -> DataFrame:
+def export_tars(copied: DataFrame, folder: str, max_members: int = MAX_MEMBERS) -> DataFrame:
     """Write copies (bucket, year, pmcid, content) as tar archives ``bucket/year/part.tar`` in a shared folder: (path, members).
 
     A bucket of any size has as many archives as it needs; owners are zeroed.

@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sigscan.sources import archives, corpus
+from sigscan.sources.tarstore import TarStore
 from sigscan.sources.xmltext import section_texts
 
 
@@ -115,3 +116,42 @@ def test_a_broken_run_keeps_what_is_finished(spark, tmp_path):
     done = corpus.converted(spark, out).agg(F.sum("articles").alias("a"), F.sum("abstract").alias("b"), F.sum("body").alias("c")).first()
     assert tuple(done) == (360, 354, 354)
     assert corpus.read_ids(spark, f"{tmp_path}/out/units").where("category = 'review'").count() > 0
+
+
+def stored(spark, store):
+    parts = store.parts()
+    found = archives.members(parts).withColumnRenamed("src_tar", "path").join(parts, "path")
+    return sorted((r.bucket, r.year, r.inner_path, bytes(r.content)) for r in found.collect())
+
+
+def test_runs_append_and_a_kill_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    store = TarStore(spark, f"file://{tmp_path}/store")
+    rows = [(b, 2010 if k % 2 else None, f"PMC{k}", f"<a>{k}</a>".encode() * (k + 1)) for k in range(30) for b in ("all", "review")[: 1 + k % 2]]
+    df = spark.createDataFrame(rows, "bucket string, year int, pmcid string, content binary")
+    want = lambda n: sorted((b, str(y) if y else "unknown-year", f"{p}.xml", c) for b, y, p, c in rows if int(p[3:]) < n)
+    assert stored(spark, store) == []
+    store.append(df.where("substr(pmcid, 4) < 10"), "one", max_members=3)
+    first = want(10)
+    assert stored(spark, store) == first
+    store.append(df, "one")  # committed: not done again
+    assert stored(spark, store) == first
+    second = df.where("substr(pmcid, 4) >= 10")
+    with monkeypatch.context() as m:  # killed between the archives and the commit
+        m.setattr(TarStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError, match="killed"):
+            store.append(second, "two")
+        assert stored(spark, store) == first
+    store.append(second, "two")
+    assert stored(spark, store) == want(30)
+    with monkeypatch.context() as m:
+        m.setattr(TarStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError, match="killed"):
+            store.compact("all")
+        assert stored(spark, store) == want(30) and store.runs() == ["one", "two"]
+    store.compact("all")
+    assert stored(spark, store) == want(30) and store.runs() == ["all"] and store.parts().count() == 3
+    store.vacuum()
+    assert stored(spark, store) == want(30) and sorted(p.name for p in (tmp_path / "store/parts").iterdir()) == ["all"]
+    store.append(df.where("pmcid = 'PMC3'").withColumn("bucket", F.lit("meta")), "three")
+    store.compact("again", max_members=5)  # archives above the bound stay as they are
+    assert len(stored(spark, store)) == len(rows) + 2 and store.parts().where("members > 100").count() == 0
