@@ -60,14 +60,20 @@ def decide(members: DataFrame, labels: DataFrame, seen: DataFrame | None = None)
     if seen is not None:
         known = seen.where("pmcid is not null and pmcid <> ''").select(F.col("pmcid").alias("__seen")).distinct()
         named = named.join(known, F.col("pmcid") == F.col("__seen"), "left").withColumn("__again", F.col("__again") | F.col("__seen").isNotNull()).drop("__seen")
-    named = named.join(labels.withColumn("__known", F.lit(True)), "pmcid", "left")
     others = rows.where("pmcid is null").withColumn("__again", F.lit(False))
-    df = named.unionByName(others, allowMissingColumns=True)
+    return reasons(named.unionByName(others).drop("__row"), labels, "__again")
+
+
+def reasons(rows: DataFrame, labels: DataFrame, again: str) -> DataFrame:
+    """Add year, buckets and reason to members (pmcid, readable) of which ``again``, which goes, says whether their id came before."""
+    unnamed = rows.where("pmcid is null")  # apart, as they would all meet in one task of the join
+    named = rows.where("pmcid is not null").join(labels.withColumn("__known", F.lit(True)), "pmcid", "left")
+    df = named.unionByName(unnamed, allowMissingColumns=True)
     reason = (
-        F.when(F.col("pmcid").isNull(), UNRECOGNIZED).when(F.col("__again"), DUPLICATE).when(F.col("__known").isNull(), MISSING)
+        F.when(F.col("pmcid").isNull(), UNRECOGNIZED).when(F.col(again), DUPLICATE).when(F.col("__known").isNull(), MISSING)
         .when(F.size("buckets") == 0, NO_FLAGS).when(~F.col("readable"), UNREADABLE).otherwise(ACCEPT)
     )
-    return df.withColumn("reason", reason).drop("__again", "__known", "__row")
+    return df.withColumn("reason", reason).drop(again, "__known")
 
 
 def target_path(bucket: Column, year: Column) -> Column:

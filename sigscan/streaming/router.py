@@ -1,25 +1,50 @@
-"""Incremental routing: batches of archive members against a ledger, each applied exactly once.
+"""Incremental routing: each member applied exactly once, each id accepted once.
 
-A batch is known by its run and its number. All its outputs are folders of
-their own that are overwritten, so repeating a batch after a failure leaves the
-same state, and a new run never touches an older one's. The ledger is written
-last; a batch without it is not part of the state.
+A stream remembers members and ids in Structured Streaming's state (RocksDB), so a
+batch costs what it holds, however much was routed before: repeated members are
+dropped by their (src_tar, inner_path), and of an id the first copy alone is
+judged. State and outputs go together: a batch that is repeated after a failure
+meets the state that it met before, and all its outputs are folders of its run
+and number that are overwritten. The ledger is written last, and a batch without it is not part of the tables.
+
+A new checkpoint is a new run with a state of its own; what older runs routed it
+knows from the ledger, which no run but theirs adds to. :meth:`Router.process` routes single batches without a stream, by the ledger alone.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigscan.operators.routing import ACCEPT, copies, decide, manifest, skipped
-from sigscan.session import discard, exists, materialize
+from sigscan.operators.routing import ACCEPT, copies, decide, manifest, member_id, reasons, skipped
+from sigscan.session import discard, exists, materialize, ship
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEDGER = "src_tar string, inner_path string, pmcid string, run string, batch long"
 
 
+def _first_copies(key: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Members of one id in a batch with ``again``: false for the first of an id that is new. One row is held back at a time."""
+    held = None
+    for rows in pieces:
+        rows = rows.assign(again=True)
+        if not state.exists:
+            rows = pd.concat([held, rows]).sort_values(["src_tar", "member_pos", "inner_path"], kind="stable", na_position="first")
+            held, rows = rows.iloc[:1], rows.iloc[1:]
+        yield rows
+    if held is not None:
+        if held["pmcid"].iloc[0] is not None:
+            state.update((True,))
+        yield held.assign(again=False)
+
+
 class Router:
     """Routes members into ``path``: ledger, manifest, skipped, articles."""
 
@@ -36,7 +61,9 @@ class Router:
         """Route one batch: members in the ledger are skipped, ids in it are duplicates. Batches of a run are numbered upwards; a number that was processed is done again, as if those after it were not there."""
         before = self.ledger().where((F.col("run") != run) | (F.col("batch") < batch))
         fresh = members.join(before.select("src_tar", "inner_path"), ["src_tar", "inner_path"], "left_anti")
-        decided = decide(fresh, self.labels, before.select("pmcid"))
+        self._write(decide(fresh, self.labels, before.select("pmcid")), batch, run)
+
+    def _write(self, decided: DataFrame, batch: int, run: str) -> None:
         if "content" in decided.columns:  # nobody reads the others'
             decided = decided.withColumn("content", F.when(F.col("reason") == ACCEPT, F.col("content")))
         decided = materialize(decided, "decided")
@@ -62,9 +89,33 @@ class Router:
         with fs.open_input_stream(at, compression=None) as f:
             return f.read().decode()
 
+    def judged(self, members: DataFrame) -> DataFrame:
+        """A stream of members, each (src_tar, inner_path) once, with pmcid and ``again``: whether the id came before."""
+        ship(self.spark)
+        readable = F.col("readable") if "readable" in members.columns else F.lit(True)
+        rows = members.dropDuplicates(["src_tar", "inner_path"]).withColumn("readable", readable).withColumn("pmcid", member_id(F.col("inner_path")))
+        # names without an id are groups of their own
+        rows = rows.withColumn("__key", F.coalesce("pmcid", F.concat_ws("/", F.lit(""), "src_tar", "inner_path")))
+        schema = T.StructType([*rows.schema.fields, T.StructField("again", T.BooleanType())])
+        return rows.groupBy("__key").applyInPandasWithState(_first_copies, schema, "seen boolean", "append", "NoTimeout").drop("__key")
+
+    def _route(self, judged: DataFrame, batch: int, run: str, older: DataFrame | None) -> None:
+        if older is not None:
+            judged = judged.join(older.select("src_tar", "inner_path"), ["src_tar", "inner_path"], "left_anti")
+            known = older.where("pmcid <> ''").select(F.col("pmcid").alias("__seen")).distinct()
+            judged = judged.join(known, F.col("pmcid") == F.col("__seen"), "left").withColumn("again", F.col("again") | F.col("__seen").isNotNull()).drop("__seen")
+        self._write(reasons(judged, self.labels, "again"), batch, run)
+
     def stream(self, members: DataFrame, checkpoint: str):
         """Process a streaming DataFrame of members until it is exhausted; returns the finished query."""
         run = self._run_of(checkpoint)
-        query = members.writeStream.foreachBatch(lambda df, n: self.process(df, n, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        older = self.ledger().where(F.col("run") != run)
+        older = older if older.head(1) else None  # without older runs no batch reads the ledger
+        before = self.spark.conf.get(_PROVIDER, None)
+        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        try:
+            query = self.judged(members).writeStream.foreachBatch(lambda df, n: self._route(df, n, run, older)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        finally:
+            self.spark.conf.set(_PROVIDER, before) if before else self.spark.conf.unset(_PROVIDER)
         query.awaitTermination()
         return query
