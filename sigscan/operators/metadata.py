@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sigscan.functions import citation
 from sigscan.functions.categories import null_id, type_flags
 from sigscan.functions.text import trim_ws
+from sigscan.session import discard, exists, materialize, shared_path
 
 
 def union_filelists(frames: list[DataFrame], distinct: bool = False) -> DataFrame:
@@ -60,21 +61,39 @@ def refine(df: DataFrame) -> DataFrame:
 Fetcher = Callable[[DataFrame, int], DataFrame]
 
 
-def enrich_types(df: DataFrame, fetch: Fetcher, batches: tuple[int, ...] = (200, 20, 1), dup_policy: str = "all", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+ASKED = "PMID string, batch int, fetched string"
+
+
+def enrich_types(df: DataFrame, fetch: Fetcher, batches: tuple[int, ...] = (200, 20, 1), dup_policy: str = "all", order: str | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fill blank PublicationType cells by PMID in passes of smaller and smaller requests; returns rows and unresolved ids.
 
     ``fetch(ids, batch)`` takes distinct ids (PMID) and returns (PMID, fetched)
-    for those that came back. Each pass asks only for what the former did not
-    return with a value. ``dup_policy="last"`` fills only the last row (by ``order``) of a PMID.
+    for those that came back. Each pass asks only for what the former ones did not
+    return with a value, and what it asked and got is written to ``folder`` (a
+    fresh shared one by default) as soon as it ends: an id is asked once a pass,
+    whatever reads the results, and a run that is given the folder of one that was
+    broken off asks only for what that one had not. ``dup_policy="last"`` fills only the last row (by ``order``) of a PMID.
     """
+    spark = df.sparkSession
     df = ensure_column(df, "PublicationType").withColumn("PMID", null_id(F.col("PMID")))
     blank = F.coalesce(trim_ws(F.col("PublicationType")) == "", F.lit(True)) & F.col("PMID").isNotNull()
-    wanted = df.where(blank).select("PMID").distinct()
-    found, left = None, wanted
+    wanted, folder = materialize(df.where(blank).select("PMID").distinct(), "wanted"), folder or shared_path(spark, "asked")
+
+    def asked() -> DataFrame:
+        return spark.read.schema(ASKED).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], ASKED)
+
+    def answered() -> DataFrame:
+        return asked().where("trim(fetched) <> ''").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
+
     for n in batches:
-        got = fetch(left, n).select("PMID", "fetched").where("trim(fetched) <> ''").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
-        found = got if found is None else found.unionByName(got)
-        left = left.join(got, "PMID", "left_anti")
+        todo = wanted.join(answered(), "PMID", "left_anti").join(asked().where(F.col("batch") == n), "PMID", "left_anti")
+        todo = materialize(todo, "todo")
+        if todo.head(1):
+            got = fetch(todo, n).select("PMID", "fetched").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
+            todo.join(got, "PMID", "left").select("PMID", F.lit(n).alias("batch"), "fetched").write.mode("append").parquet(folder)
+        discard(todo)
+    found = answered()
+    left = wanted.join(found, "PMID", "left_anti")
     fill = blank
     if dup_policy == "last":
         if order is None:

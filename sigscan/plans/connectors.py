@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import gzip
 import io
-import re
 import tarfile
 import uuid
 
@@ -15,13 +14,12 @@ from pyspark.errors import PythonException, SparkRuntimeException as SparkExcept
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.functions.categories import query_text
 from sigscan.functions.text import clean_text, decode_text, page_text
-from sigscan.operators import integrity, metadata, routing
+from sigscan.operators import integrity, routing
 from sigscan.plans.carriers import ARTICLES, MEMBERS, derive
-from sigscan.plans.catalogue import _DECIDED, _FIELDS, _TRIM, _YEAR_TEXT, decided, labels, query, re2
+from sigscan.plans.catalogue import _DECIDED, _TRIM, _YEAR_TEXT, ORACLES, decided, labels, pvalue_histogram, query, re2
 from sigscan.session import materialize, shared_path, ship, table
-from sigscan.sources import archives, corpus, literature
+from sigscan.sources import archives, corpus
 from sigscan.sources.tarstore import TarStore
 from sigscan.sources.xmltext import article_sections, publication_types, section_texts
 from sigscan.streaming.router import Router
@@ -108,22 +106,31 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
     return materialize(df.repartition("src_tar").sortWithinPartitions("src_tar", "member_pos").select("src_tar", "inner_path", "content").mapInArrow(run, "path string"), "archives")
 
 
-@query("SELECT * FROM (VALUES ('good', 'ok'), ('bad_gzip', 'gzip_failed'), ('bad_tar', 'tar_failed')) t(name, status)")
+def _damaged_archives(batches):
+    """A compressed archive around each text: sound, with a broken checksum, or of something that is no tar."""
+    for b in batches:
+        names, contents = [], []
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            body, data = io.BytesIO(), (text or "").encode()
+            with tarfile.open(fileobj=body, mode="w") as tar:
+                info = tarfile.TarInfo(f"d/PMC{doc_id}.xml")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+            kind = doc_id % 3
+            packed = gzip.compress(body.getvalue() if kind < 2 else b"not a tar" * 500 + data, 1)
+            names.append(f"{doc_id}.tar.gz")
+            contents.append(packed[:-8] + b"\0" * 8 if kind == 1 else packed)
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'gzip_failed' ELSE 'tar_failed' END AS status FROM documents")
 def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sound archive, one with a broken checksum, and one that holds no tar."""
+    """An archive for each document, whole texts in them: sound ones, broken checksums, and ones that hold no tar."""
+    ship(spark)
     folder = shared_path(spark, "checked")
-    fs, base = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
-    body = io.BytesIO()
-    with tarfile.open(fileobj=body, mode="w") as t:
-        t.addfile(tarfile.TarInfo("d/PMC1.xml"))
-    good = gzip.compress(body.getvalue())
-    files = {"good": good, "bad_gzip": good[:-8] + b"\0" * 8, "bad_tar": gzip.compress(b"not a tar" * 500)}
-    for name, data in files.items():
-        with fs.open_output_stream(f"{base}/{name}.tar.gz", compression=None) as out:
-            out.write(data)
+    corpus.write_files(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_damaged_archives, "name string, content binary"), folder)
     found = archives.check_archives(archives.list_archives(spark, folder))
-    return found.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("name"), "status")
+    return found.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).cast("long").alias("doc_id"), "status")
 
 
 _LATIN = r"[^\x00-\xff]"
@@ -148,28 +155,6 @@ def line_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.read_lines(spark, folder).select("article_id", "category", "year", F.sha2("line", 256).alias("digest"))
 
 
-class TableService:
-    """A literature service over made-up records, for queries and tests."""
-
-    def __init__(self, n: int):
-        self.n = n
-
-    def count(self, db: str, query: str) -> int:
-        return self.n
-
-    def ids(self, db: str, query: str, start: int, size: int) -> list[str]:
-        return [str(k) for k in range(start, min(self.n, start + size))]
-
-    def fetch(self, db: str, ids: list[str]) -> dict[str, str]:
-        return {i: f"<r><PubmedArticle><PMID>{i}</PMID><AbstractText>a{i}</AbstractText><AbstractText>b</AbstractText></PubmedArticle></r>" for i in ids}
-
-
-@query("SELECT CAST(k AS VARCHAR) AS article_id, CAST(k AS VARCHAR) || chr(9) || 'a' || CAST(k AS VARCHAR) || chr(9) || 'b' AS line FROM range(CAST((SELECT count(*) FROM documents) AS BIGINT)) t(k)")
-def paged_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search of as many records as there are documents, in pages and batches."""
-    return literature.abstract_lines(spark, TableService(table(spark, sf_dir, "documents").count()), "any", batch=100)
-
-
 @query(f"WITH {_DECIDED} SELECT pmcid, src_tar, reason FROM decided")
 def incremental_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing in three batches against the ledger, one repeated: the final state equals one batch's."""
@@ -183,89 +168,6 @@ def incremental_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(router.table("skipped").select(F.nullif("pmcid", F.lit("")).alias("pmcid"), "src_tar", "reason"))
 
 
-# ---- searches
-
-
-_JOURNALS = ["Acta Test", "Ward Notes"]
-_MADE_TYPES = {"Randomized Controlled Trial": 5, "Clinical Trial": 3, "Meta-analysis": 7, "Review": 4, "Systematic Review": 11, "Observational Study": 13}
-
-
-class SearchService:
-    """A literature service that evaluates the search text against made-up records: record k has the types whose number divides it, and a year, journal and flags by arithmetic. The years' 17 shares no factor with the other numbers, so that every search finds some."""
-
-    def __init__(self, n: int):
-        self.n = n
-
-    @staticmethod
-    def _matches(k: int, term: str) -> bool:
-        word, field = re.fullmatch(r'"?([^"\[]*)"?(?:\[([A-Za-z]+)\])?', term.strip()).groups()
-        if field == "PT":
-            return k % {t.lower(): d for t, d in _MADE_TYPES.items()}[word.lower()] == 0
-        if field == "PDAT":
-            return 1996 + k % 17 == int(word)
-        if field == "Journal":
-            return k % 8 == ["Acta Test", "Annals of Tests", "J Sample Res", "Ward Notes"].index(word)
-        return {"hasabstract": k % 3 != 1, "medline": k % 13 != 5, "open access": k % 2 == 0}[word]
-
-    def _all(self, query: str) -> list[str]:
-        parts = [(neg == "NOT", [t for t in re.split(r" OR ", p.strip("()"))]) for neg, p in re.findall(r"(?:^| AND | (NOT) )(\([^)]*\)|(?:(?! AND | NOT ).)+)", query)]
-        return [str(k) for k in range(self.n) if all(any(self._matches(k, t) for t in terms) != neg for neg, terms in parts)]
-
-    def count(self, db: str, query: str) -> int:
-        return len(self._all(query))
-
-    def ids(self, db: str, query: str, start: int, size: int) -> list[str]:
-        return self._all(query)[start : start + size]
-
-    def fetch(self, db: str, ids: list[str]) -> dict[str, str]:
-        return {i: f"<article><front><Abstract><p> t{i} </p><p>u</p></Abstract></front></article>" for i in ids}
-
-
-def _service(spark: SparkSession, sf_dir: str) -> SearchService:
-    return SearchService(table(spark, sf_dir, "documents").count())
-
-
-_K = "range(CAST((SELECT count(*) FROM documents) AS BIGINT)) t(k)"
-_BASE = "1996 + k % 17 = 2000 AND k % 3 <> 1 AND k % 13 <> 5"
-_TESTS = {
-    "all": "true", "rct": "k % 5 = 0", "ct": "k % 3 = 0 AND k % 5 <> 0", "meta": "k % 7 = 0", "review": "k % 4 = 0 AND k % 7 <> 0", "cuj": "k % 8 IN (0, 3)",
-    "Systematic_Review": "k % 11 = 0", "Observational_Study": "k % 13 = 0",
-}
-
-
-@query(" UNION ALL ".join(f"SELECT '{f}' AS field, CAST(k AS VARCHAR) AS article_id FROM {_K} WHERE {_TESTS[f]} AND {_BASE}" for f in _FIELDS))
-def category_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every named search of a year, as text, against a service that evaluates it; pages of 7."""
-    service = _service(spark, sf_dir)
-    found = [literature.all_ids(spark, service, query_text(f, 2000, _JOURNALS), page=7).select(F.lit(f).alias("field"), "article_id") for f in _FIELDS]
-    return metadata.union_filelists(found)
-
-
-@query(f"SELECT 'review' AS field, count(*) AS n FROM {_K} WHERE {_TESTS['review']} AND {_BASE}")
-def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = literature.count_ids(_service(spark, sf_dir), query_text("review", 2000))
-    return spark.createDataFrame([("review", n)], "field string, n long")
-
-
-@query(f"SELECT CAST(k AS VARCHAR) AS article_id, 't' || CAST(k AS VARCHAR) || ' u' AS text FROM {_K} WHERE k % 2 = 0 ORDER BY 1 LIMIT 50")
-def capped_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts of the first full-text ids in string order: the cap is the feature."""
-    service = _service(spark, sf_dir)
-    return literature.abstracts(literature.all_ids(spark, service, "open access[filter]", "pmc", page=100), service, cap=50, batch=20)
-
-
-@query(f"SELECT CASE k % 8 WHEN 0 THEN 'Acta Test' ELSE 'Annals of Tests' END AS journal, CAST(k AS VARCHAR) AS article_id FROM {_K} WHERE k % 8 IN (0, 1) AND k % 2 = 0")
-def journal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open-access articles of the first two of four journals."""
-    names = ["Ward Notes", "J Sample Res", "Annals of Tests", "Acta Test", "Acta Test"]
-    return literature.journal_ids(spark, _service(spark, sf_dir), names, first=2, page=9)
-
-
-@query(f"SELECT 'Acta Test' AS journal, CAST(k AS VARCHAR) AS article_id, 't' || CAST(k AS VARCHAR) || ' u' || chr(10) || chr(10) AS block FROM {_K} WHERE k % 8 = 0")
-def journal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literature.journal_blocks(spark, _service(spark, sf_dir), ["Acta Test"])
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 10 <> 9 THEN 'Type ' || coalesce(lang, '') || ' ; T' || CAST(doc_id % 3 AS VARCHAR) END AS types FROM documents")
 def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publication types out of records; a malformed one has none."""
@@ -355,3 +257,49 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         router.stream(source.parquet(f"{folder}/in"), f"{folder}/checkpoint-{k // 2}")
     kept = router.table("manifest").select("pmcid", "src_tar", F.lit(routing.ACCEPT).alias("reason"))
     return kept.unionByName(router.table("skipped").select(F.nullif("pmcid", F.lit("")).alias("pmcid"), "src_tar", "reason"))
+
+
+@query(f"SELECT coalesce(lang, 'none') AS lang, sha256(line) AS digest FROM (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n')) AS line FROM documents) WHERE {_TRIM('line')} <> ''")
+def folder_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in files by language, rewritten in place without blank lines."""
+    folder = shared_path(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("lang").text(folder)
+    corpus.rewrite_without_blank_lines(spark, folder)
+    lines = spark.read.text(folder).select(F.col("lang").cast("string").alias("lang"), F.sha2("value", 256).alias("digest"))
+    return lines
+
+
+@query("SELECT coalesce(lang, 'none') || '.' || CAST(doc_id AS VARCHAR) || '.txt' AS name, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE chr(233) || ' ' || regexp_replace(coalesce(text, ''), " + re2(_LATIN) + ", '?', 'g') END AS text FROM documents")
+def text_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a text file of its own, half of them Latin-1, then the folder scanned."""
+    folder = shared_path(spark, "texts")
+    text = F.coalesce("text", F.lit(""))
+    latin = F.encode(F.concat(F.lit("é "), F.regexp_replace(text, _LATIN, "?")), "ISO-8859-1")
+    name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = table(spark, sf_dir, "documents").select(name.alias("name"), F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin).alias("content"))
+    corpus.write_files(files, folder)
+    return corpus.read_text_folder(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "text")
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'rct' ELSE 'review' END AS field, CAST(2000 + doc_id % 5 AS VARCHAR) AS year, CASE WHEN doc_id % 3 = 0 THEN 'tgz' WHEN doc_id % 3 = 1 THEN 'tar.gz' ELSE 'tar' END AS kind, count(*) AS n FROM documents GROUP BY ALL")
+def archive_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion jobs found by the names of archives below a folder; other files, one a document, are not jobs."""
+    folder = shared_path(spark, "jobs")
+    kind = F.element_at(F.array(F.lit("tgz"), F.lit("tar.gz"), F.lit("tar")), (F.col("doc_id") % 3 + 1).cast("int"))
+    field = F.when(F.col("doc_id") % 2 == 0, "rct").otherwise("review")
+    place = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), field, F.lit("/"), (2000 + F.col("doc_id") % 5).cast("string"), F.lit("."))
+    docs = table(spark, sf_dir, "documents")
+    archive = docs.select(F.concat(place, kind).alias("name"), F.col("text").cast("binary").alias("content"))
+    corpus.write_files(archive.unionByName(docs.select(F.concat(place, F.lit("txt")).alias("name"), F.lit(b"x").alias("content"))), folder)
+    jobs = archives.list_archives(spark, folder)
+    return jobs.groupBy("field", "year", F.regexp_extract("path", r"\.(tgz|tar\.gz|tar)$", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT bin, CAST(n AS VARCHAR) AS n FROM (" + ORACLES["pvalue_histogram"].replace("SELECT bin, count(*) AS n FROM pv", "SELECT CAST(bin AS VARCHAR) AS bin, count(*) AS n FROM pv") + ")")
+def histogram_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as a tab-separated file with a header, read back as text."""
+    folder = shared_path(spark, "report")
+    corpus.write_csv(pvalue_histogram(spark, sf_dir), folder, sep="\t")
+    lines = spark.read.text(folder).where("value not like 'bin%'").select(F.split("value", "\t").alias("v"))
+    return lines.select(F.col("v")[0].alias("bin"), F.col("v")[1].alias("n"))

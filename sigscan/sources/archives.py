@@ -31,7 +31,7 @@ def list_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = _KIND
     return files.where(F.lower(name).rlike(r"\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$") & F.lower(name).rlike("|".join(k.replace(".", r"\.") + "$" for k in kinds))).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("field"), F.regexp_replace(name, r"(?i)\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$", "").alias("year"))
 
 
-def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = uri.replace("file:/", "file:///", 1)
     return pafs.FileSystem.from_uri(uri)
@@ -39,13 +39,13 @@ def _located(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def open_uri(uri: str):
     """A readable stream of a file by URI, on an executor."""
-    fs, at = _located(uri)
+    fs, at = located(uri)
     return fs.open_input_stream(at, compression=None)
 
 
 def _index_of(path: str, suffix: str):
     """(inner_path, member_pos, offset, size) of the wanted members of an archive. Of one that is not compressed only the headers are read, the rest is skipped over."""
-    fs, at = _located(path)
+    fs, at = located(path)
     with fs.open_input_file(at) as f:
         plain = _is_plain(f)
         f.seek(0)
@@ -83,8 +83,12 @@ def index_archives(archives: DataFrame, suffix: str = ".xml") -> DataFrame:
             if rows:
                 yield _batch(rows, schema)
 
-    n = max(archives.count(), 1)
-    return materialize(archives.select("path").repartition(n, "path").mapInArrow(run, INDEX), "tar-index")
+    return materialize(archives.select("path").repartition(_tasks(archives), "path").mapInArrow(run, INDEX), "tar-index")
+
+
+def _tasks(archives: DataFrame) -> int:
+    """A task an archive, up to a number that a driver can look after."""
+    return max(1, min(archives.count(), 32 * archives.sparkSession.sparkContext.defaultParallelism))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -98,7 +102,7 @@ def contents(rows):
         for path, inner, pos, offset, size in rows:
             if path != now:
                 _close(handles)
-                fs, at = _located(path)
+                fs, at = located(path)
                 now, stream = path, None
                 handles.append(fs.open_input_file(at))
             if offset is not None:
@@ -188,7 +192,7 @@ def check_archives(archives: DataFrame) -> DataFrame:
             paths = b.column(0).to_pylist()
             yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "status": pa.array([status(p) for p in paths], pa.string())})
 
-    return archives.select("path").repartition(max(archives.count(), 1), "path").mapInArrow(run, "path string, status string")
+    return archives.select("path").repartition(_tasks(archives), "path").mapInArrow(run, "path string, status string")
 
 
 def export_tars(copied: DataFrame, folder: str, max_members: int = MAX_MEMBERS) -> DataFrame:

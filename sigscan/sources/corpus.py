@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sigscan.functions.text import WS, clean_text, decode_text, not_blank, trim_ws
 from sigscan.operators.metadata import union_filelists
 from sigscan.session import exists, materialize, ship
-from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, open_uri, ranges
+from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, located, open_uri, ranges
 from sigscan.sources.xmltext import section_texts
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
@@ -193,6 +193,60 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_text(F.col("content")).alias("text"))
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write (name, content) as files of their own in ``folder``, each named when it is complete; names may hold folders."""
+    ship(files.sparkSession)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        n = 0
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _put(fs, f"{base}/{name}".rpartition("/")[0], name.rpartition("/")[2], content or b"")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    files.select("name", "content").mapInArrow(run, "n long").write.mode("overwrite").format("noop").save()
+
+
+def rewrite_without_blank_lines(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
+    """Drop the blank lines of the text files of a folder, other lines keep their text and end with a line feed: (path, lines, kept).
+
+    A task rewrites a file at a time, a line at a time: to a file beside it, which
+    is read again and must hold as many lines as were kept before it takes the
+    file's name. So a run that is broken off leaves each file as it was or as it
+    shall be, and the next run does the rest.
+    """
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select("path")
+
+    def lines(fs, path):
+        with fs.open_input_stream(path, compression=None) as f:
+            yield from io.TextIOWrapper(io.BufferedReader(f), encoding="utf-8", errors="surrogateescape", newline=None)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for uri in b.column(0).to_pylist():
+                fs, path = located(uri)
+                head, _, name = path.rpartition("/")
+                temp, n, kept = f"{head}/.{name}.{uuid.uuid4().hex}", 0, 0
+                with fs.open_output_stream(temp, compression=None) as to:
+                    for line in lines(fs, path):
+                        n += 1
+                        if line.strip():
+                            to.write(line.rstrip("\n").encode("utf-8", "surrogateescape") + b"\n")
+                            kept += 1
+                if sum(1 for _ in lines(fs, temp)) != kept:
+                    raise OSError(f"{uri} was not rewritten whole")
+                fs.move(temp, path)
+                out.append({"path": uri, "lines": n, "kept": kept})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("lines", pa.int64()), ("kept", pa.int64())]))
+
+    n = max(files.count(), 1)
+    return materialize(files.repartition(min(n, 32 * spark.sparkContext.defaultParallelism), "path").mapInArrow(run, "path string, lines long, kept long"), "rewritten")
+
+
 def read_csvs(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files of a folder with their own headers, all columns text, united by name. Headers are read by tasks, a line of each file."""
     ship(spark)
@@ -206,13 +260,14 @@ def read_csvs(spark: SparkSession, path: str) -> DataFrame:
                     heads.append(io.TextIOWrapper(io.BufferedReader(f), encoding="utf-8-sig", errors="replace").readline().rstrip("\r\n"))
             yield pa.RecordBatch.from_pydict({"path": b.column(0), "head": pa.array(heads, pa.string())})
 
-    # files with one header are read together; there are as many reads as headers
-    groups: dict[str, list[str]] = {}
-    for r in sorted(files.mapInArrow(run, "path string, head string").collect()):
-        groups.setdefault(r.head, []).append(r.path)
-    if not groups:
+    # files with one header are read together; there are as many reads as headers, and Spark skips a header by a file's own first line
+    heads = materialize(files.mapInArrow(run, "path string, head string"), "headers")
+    names = [r.head for r in heads.select("head").distinct().orderBy("head").collect()]
+    if not names:
         raise ValueError(f"no CSV file in {path}")
-    return union_filelists([spark.read.option("header", True).option("enforceSchema", False).csv(fs) for fs in groups.values()])
+    if len(names) == 1:
+        return spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*.csv").csv(path)
+    return union_filelists([spark.read.option("header", True).option("enforceSchema", False).csv([r.path for r in heads.where(F.col("head") == h).toLocalIterator()]) for h in names])
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:

@@ -203,3 +203,58 @@ def test_empty_inputs(spark):
     grid = trend.dense_grid(trend.trend(trend.with_least(none)))
     assert grid.count() == 6 * 36 and grid.agg(F.sum("total")).first()[0] == 0
     assert integrity.missing_ids(none, none).count() == 0
+
+
+def test_each_id_is_asked_once_a_pass(spark, tmp_path):
+    """Both outputs are read several times; a run that is broken off in its second pass is resumed by one that asks for what is left."""
+    df = spark.createDataFrame([(k, str(100 + k % 40), "") for k in range(90)], "pos int, PMID string, PublicationType string")
+    asked = {n: spark.sparkContext.accumulator(0) for n in (200, 20, 1)}
+
+    def fetch(ids, n, fail=False):
+        def run(frames):
+            for f in frames:
+                for _ in f["PMID"]:
+                    asked[n].add(1)
+                if fail and len(f):
+                    raise OSError("service down")
+                yield f[f["PMID"].astype(int) % {200: 3, 20: 6, 1: 30}[n] != 0].assign(fetched=f"T{n}")
+
+        return ids.coalesce(1).mapInPandas(run, "PMID string, fetched string")
+
+    with pytest.raises(Exception, match="service down"):
+        metadata.enrich_types(df, lambda ids, n: fetch(ids, n, n == 20), folder=f"{tmp_path}/asked")
+    before = [asked[n].value for n in (200, 20, 1)]  # a task that fails may count or not
+    assert before[0] == 40
+    out, left = metadata.enrich_types(df, fetch, folder=f"{tmp_path}/asked")
+    for _ in range(3):
+        out.collect()
+        left.collect()
+    assert [asked[n].value - b for n, b in zip((200, 20, 1), before, strict=True)] == [0, 13, 7]
+    assert sorted(r.PMID for r in left.collect()) == ["120"]
+    assert {r.PMID: r.PublicationType for r in out.collect()} == {str(k): "" if k == 120 else "T200" if k % 3 else "T20" if k % 6 else "T1" for k in range(100, 140)}
+    metadata.enrich_types(df, fetch, folder=f"{tmp_path}/asked")
+    assert [asked[n].value - b for n, b in zip((200, 20, 1), before, strict=True)] == [0, 13, 7]
+
+
+def test_folders_are_rewritten(spark, tmp_path, monkeypatch):
+    (tmp_path / "t/a").mkdir(parents=True)
+    files = {"a/x.txt": b"a\r\n \t\nb\xff\n\n\xe3\x80\x80\nc", "y.txt": b"\n\n", "z.txt": b"", "long.txt": b"line\n\n" * 300_000, "keep.csv": b"a\n\n"}
+    for name, data in files.items():
+        (tmp_path / "t" / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[-1]: (r.lines, r.kept) for r in corpus.rewrite_without_blank_lines(spark, f"{tmp_path}/t").collect()}
+    assert got == {"x.txt": (6, 3), "y.txt": (2, 0), "long.txt": (600_000, 300_000)}
+    want = {"a/x.txt": b"a\nb\xff\nc\n", "y.txt": b"", "z.txt": b"", "long.txt": b"line\n" * 300_000, "keep.csv": b"a\n\n"}
+    read = lambda: {str(p.relative_to(tmp_path / "t")): p.read_bytes() for p in (tmp_path / "t").rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert read() == want
+    corpus.rewrite_without_blank_lines(spark, f"{tmp_path}/t")
+    assert read() == want
+
+
+def test_ordered_distinct_lines_as_files(spark, tmp_path):
+    lines = [(k % 3, k, f"l{k * k % 50}" if k % 9 else "") for k in range(300)]
+    df = spark.createDataFrame(lines, "file int, k int, line string").repartition(7)
+    integrity.write_distinct_lines(df, ["file", "k"], "line", f"{tmp_path}/out")
+    want = list(dict.fromkeys(t for _, _, t in sorted(lines)))
+    files = sorted(p for p in (tmp_path / "out").iterdir() if p.suffix == ".txt")
+    assert [t for f in files for t in f.read_text().splitlines()] == want
+    assert [r.line for r in integrity.read_ordered_lines(spark, f"{tmp_path}/out").orderBy("pos").collect()] == want
