@@ -14,11 +14,12 @@ from pyspark.errors import PythonException, SparkRuntimeException as SparkExcept
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigscan.functions.sql import register
 from sigscan.functions.text import clean_text, decode_text, page_text
 from sigscan.operators import integrity, routing
-from sigscan.plans.carriers import ARTICLES, MEMBERS, derive
-from sigscan.plans.catalogue import _DECIDED, _TRIM, _YEAR_TEXT, ORACLES, decided, labels, pvalue_histogram, query, re2
-from sigscan.session import materialize, shared_path, ship, table
+from sigscan.plans.carriers import ARTICLES, CORE_JOURNALS, FILELIST, MEMBERS, derive
+from sigscan.plans.catalogue import _BIN, _CITE, _DECIDED, _J, _LIST, _TRIM, _TYPES_OF, _Y, _YEAR_TEXT, ORACLES, PVALUES, _buckets_sql, decided, labels, pvalue_histogram, query, re2
+from sigscan.session import materialize, shared_path, ship, spread, table
 from sigscan.sources import archives, corpus
 from sigscan.sources.tarstore import TarStore
 from sigscan.sources.xmltext import article_sections, publication_types, section_texts
@@ -303,3 +304,36 @@ def histogram_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus.write_csv(pvalue_histogram(spark, sf_dir), folder, sep="\t")
     lines = spark.read.text(folder).where("value not like 'bin%'").select(F.split("value", "\t").alias("v"))
     return lines.select(F.col("v")[0].alias("bin"), F.col("v")[1].alias("n"))
+
+
+# ---- from SQL
+
+
+@query(f"WITH {PVALUES} SELECT '0.' || lpad(CAST({_BIN} AS VARCHAR), 3, '0') AS bin, op, count(*) AS n FROM pv GROUP BY ALL")
+def sql_pvalue_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT pvalue_bin(v.p) AS bin, v.op, count(*) AS n FROM (SELECT explode(pv) AS v FROM (SELECT pvalues(line) AS pv FROM {arts})) GROUP BY ALL", arts=spread(derive(spark, sf_dir, ARTICLES)))
+
+
+@query(f"WITH {_LIST}, {_CITE}, t AS (SELECT doc_id, {_J} AS journal, {_Y} AS year FROM c WHERE ok), b AS (SELECT doc_id, {_TYPES_OF('publication_type')} AS types FROM f) SELECT doc_id, journal, year, array_to_string({_buckets_sql('types', 'journal')}, ';') AS categories FROM t JOIN b USING (doc_id)")
+def sql_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations and categories of a file list in one statement."""
+    register(spark)
+    core = ", ".join(f"'{j.strip().lower()}'" for j in CORE_JOURNALS)
+    rows = f"SELECT doc_id, citation_journal(citation) AS journal, citation_year(citation) AS year, publication_type FROM {{files}} WHERE citation_valid(citation)"
+    return spark.sql(f"SELECT doc_id, journal, year, array_join(article_categories(publication_type, lower(trim(journal)) IN ({core})), ';') AS categories FROM ({rows})", files=derive(spark, sf_dir, FILELIST))
+
+
+@query(f"SELECT src_tar, inner_path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM ({_WITH_TEXT})")
+def sql_tar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of whole texts listed by a table function, an archive a call."""
+    register(spark)
+    paths = _write_archives(_with_text(spark, sf_dir), shared_path(spark, "archives"))
+    return spark.sql("SELECT regexp_extract(path, '([^/]+)$', 1) AS src_tar, inner_path, size FROM {paths}, LATERAL tar_index(path)", paths=paths)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST((row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) - 1) // 20 AS BIGINT) AS chunk FROM documents")
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of 20 ids within each of 64 lists."""
+    register(spark)
+    return spark.sql("SELECT id, chunk FROM request_chunks(20, TABLE(SELECT doc_id, doc_id % 64 AS list FROM {docs}) PARTITION BY list ORDER BY doc_id)", docs=table(spark, sf_dir, "documents"))

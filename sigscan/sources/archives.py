@@ -43,7 +43,7 @@ def open_uri(uri: str):
     return fs.open_input_stream(at, compression=None)
 
 
-def _index_of(path: str, suffix: str):
+def index_of(path: str, suffix: str):
     """(inner_path, member_pos, offset, size) of the wanted members of an archive. Of one that is not compressed only the headers are read, the rest is skipped over."""
     fs, at = located(path)
     with fs.open_input_file(at) as f:
@@ -75,7 +75,7 @@ def index_archives(archives: DataFrame, suffix: str = ".xml") -> DataFrame:
         for b in batches:
             rows = []
             for path in b.column(0).to_pylist():
-                for row in _index_of(path, suffix):
+                for row in index_of(path, suffix):
                     rows.append((path, *row))
                     if len(rows) >= 8192:
                         yield _batch(rows, schema)
