@@ -106,7 +106,35 @@ QUERIES = {
 _CONTROL = r"'\[\\*(?:/?INST|/?SYS|/?ROLE|TEXT)\]|<\\*/?s>'"
 _AROUND = " ".join(f"WHEN '{role}' THEN {len(a) + len(b) + 1}" for role, (a, b) in chatformat.MARKS.items())
 
+#: crc32 of the text s: each byte is taken into the register, which is shifted by eight bits.
+_BYTE = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))"
+_CRC = f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, octet_length(encode(s))), lambda i: CAST('0x' || substr(hex(s), 2 * i + 1, 2) AS BIGINT)), lambda c, b: {_BYTE}), 4294967295)"
+
+
+def _edited(state: str, cost: str, initial: str, line: str = "''") -> str:
+    """A state of the repair (cost, audit, repaired rows) after an edit."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'r': {state}.r || {line}}} END"
+
+
+def _repair_step() -> str:
+    """The states of each conversation after one more row, at the start, after a system row, a user, an assistant."""
+    keep = lambda k, initial: f"CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = '{initial}' THEN {_edited(f's{k}', 'late', 'K', 'line')} END"
+    name = lambda k, role: f"CASE WHEN fault NOT IN (1, 2) THEN {_edited(f's{k}', '3 + late', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+    gone = [_edited(f"s{k}", "4", "D") for k in range(4)]
+    into = {1: [keep(0, "s")], 2: [f(k, x) for k in (0, 1, 3) for f, x in ((keep, "u"), (name, "user"))], 3: [keep(2, "a"), name(2, "assistant")]}
+    row = ", ".join([f"{gone[0]} AS n0", *(f"list_min([{', '.join([gone[k], *into[k]])}]) AS n{k}" for k in (1, 2, 3))])
+    user, reply = (f"chr(10) || '{r}:'" for r in ("user", "assistant"))
+    more = ", ".join(_edited(f"n{k}", "3", "I", user) for k in (0, 1, 3))
+    return f"""
+            SELECT conv_id, k + 1, n0, n1, n2, list_min([n3, {_edited('n2', '3', 'I', reply)}])
+            FROM (SELECT conv_id, k, n0, n1, n3, list_min([n2, {more}]) AS n2
+                  FROM (SELECT conv_id, k, {row}
+                        FROM (SELECT t.*, role, text, fault, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late, chr(10) || role || ':' || text AS line
+                              FROM steps t JOIN placed p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.k = p.k)))"""
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = _FOLD.replace("{}", r"unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}'))")
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
@@ -170,6 +198,47 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f""",
+    "op11_repair": f"""
+        WITH RECURSIVE src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+        kinds AS (SELECT *, {_CRC} % 20 AS kind FROM src),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds WHERE kind <> 0),
+        ordered AS (
+            SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat_ws(':', coalesce(CAST(conv_id AS VARCHAR), ''), CAST(length(role) AS VARCHAR), role, text))) - 1 AS k FROM damaged),
+        placed AS (
+            SELECT *, CASE WHEN tail = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM ordered),
+        counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+                   count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM placed GROUP BY conv_id),
+        steps AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS k, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}} AS s0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s1,
+                   {{'c': CAST(3 AS BIGINT), 'a': 'I', 'r': chr(10) || 'user:'}} AS s2, {{'c': CAST(6 AS BIGINT), 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM counts
+            UNION ALL {_repair_step()}),
+        done AS (SELECT t.conv_id, list_min([s0, s3]) AS best FROM steps t JOIN counts c ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.k = c.n)
+        SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON i.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON i.conv_id IS NOT DISTINCT FROM d.conv_id""",
+    "op12_spelling": f"""
+        WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_RUNS} AS run FROM documents),
+        each AS (SELECT id, run, count(*) AS c, id || ':' || run AS s FROM runs GROUP BY id, run),
+        hashed AS (SELECT run, c, {_CRC} AS h FROM each),
+        cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+        words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        holes AS (SELECT word, n, i, left(word, CAST(i AS INTEGER) - 1) AS a, substr(word, CAST(i AS INTEGER) + 1) AS b FROM places),
+        shorter AS (SELECT DISTINCT word, n, a || b AS rest FROM holes),
+        near AS (
+            SELECT x.word, y.word AS other, y.n AS m FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION ALL SELECT x.word, w.word, w.n FROM shorter x JOIN words w ON x.rest = w.word
+            UNION ALL SELECT w.word, x.word, x.n FROM shorter x JOIN words w ON x.rest = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+        forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+        ways AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT v.word, f.word, f.form FROM ways v JOIN forms f ON v.next = f.word)
+        SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms f JOIN ways v ON f.word = v.word AND v.next IS NULL""",
     "op13_chat_format": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
