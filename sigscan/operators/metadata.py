@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigscan.functions import citation
 from sigscan.functions.categories import null_id, type_flags
 from sigscan.functions.text import trim_ws
-from sigscan.session import discard, exists, materialize, shared_path
+from sigscan.session import exists, materialize, shared_path
 
 
 def union_filelists(frames: list[DataFrame], distinct: bool = False) -> DataFrame:
@@ -86,12 +86,11 @@ def enrich_types(df: DataFrame, fetch: Fetcher, batches: tuple[int, ...] = (200,
         return asked().where("trim(fetched) <> ''").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
 
     for n in batches:
-        todo = wanted.join(answered(), "PMID", "left_anti").join(asked().where(F.col("batch") == n), "PMID", "left_anti")
-        todo = materialize(todo, "todo")
-        if todo.head(1):
-            got = fetch(todo, n).select("PMID", "fetched").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
-            todo.join(got, "PMID", "left").select("PMID", F.lit(n).alias("batch"), "fetched").write.mode("append").parquet(folder)
-        discard(todo)
+        # one write takes each pass: what is to be asked, asked once, and what came back
+        before = asked().where((F.col("batch") == n) | (F.trim("fetched") != "")).select("PMID")
+        todo = wanted.join(before, "PMID", "left_anti")
+        got = fetch(todo, n).select("PMID", "fetched").groupBy("PMID").agg(F.max("fetched").alias("fetched"))
+        todo.join(got, "PMID", "left").select("PMID", F.lit(n).alias("batch"), "fetched").write.mode("append").parquet(folder)
     found = answered()
     left = wanted.join(found, "PMID", "left_anti")
     fill = blank
