@@ -1,15 +1,18 @@
 """Operator 10, toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of
-its words and word stems; the scores are combined by noisy-or (a document is
-toxic unless every sentence is harmless), and the weights are trained from
-document labels alone. The trained model then scores each sentence, which
-locates the offending ones.
+its words and word stems; the scores of all its sentences are combined by
+noisy-or (a document is toxic unless every sentence is harmless), and the weights
+are trained from document labels alone. No weight is negative, and the bias is at
+most ``BIAS``: a sentence without a weighted word has a chance so small that
+millions of them leave a document harmless. The trained model then scores each
+sentence, which locates the offending ones.
 
 Training reads a bounded sample of labelled rows, ``MAX_ROWS`` by hash. Their
 texts, of any length, stay on the executors: features are counted there, and
 the driver gets the features that a weight may be given to and, for each
-sentence, which of them it has. Scoring reads every whole text.
+document, the different sets of them that its sentences have, with how many
+sentences have each. Scoring reads every whole text.
 
 Nulls, ties and odd texts: a null or wordless text has the score of an empty
 bag, 0; a null doc_id or text is never learned from; labels that are null are not
@@ -42,6 +45,8 @@ KNOWN = 200_000
 #: Bytes of a longer word's start that count as its stems.
 STEMS = (4, 6)
 THRESHOLD = 0.5
+#: The bias at most: the chance of a sentence that holds no weighted word is below 1.2e-7.
+BIAS = -16.0
 #: Ends of sentences become line feeds, other non-word bytes blanks, A-Z a-z.
 _FOLD = bytes(10 if b in b".!?\n\r" else b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SENTENCE = re.compile(r"[^.!?\n\r]+")
@@ -59,30 +64,35 @@ def _features(words: list[bytes]) -> set[bytes]:
     return set(words) | {b"^" + w[:k] for w in words for k in STEMS if len(w) > k}
 
 
+def _log_harmless(z: float) -> float:
+    """log(1 - sigmoid(z))."""
+    return -math.log1p(math.exp(z)) if z < 0 else -z - math.log1p(math.exp(-z))
+
+
 class Model:
     """Word and stem weights, and the bias of a sentence."""
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.base = -math.log1p(math.exp(bias)) if weights else 0.0  # log of a plain sentence's harmlessness
         self.stems = {k[1:] for k in weights if k[:1] == b"^"}
         self._known: dict[bytes, float] = {}
 
+    def _z(self, words: list[bytes]) -> float:
+        get = self.weights.get
+        return self.bias + sum(get(f, 0.0) for f in sorted(_features(words)))
+
     def sentence(self, words: list[bytes]) -> float:
         """The chance that a sentence is toxic."""
-        if not self.weights:
-            return 0.0
-        get = self.weights.get
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + sum(get(f, 0.0) for f in sorted(_features(words)))))))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self._z(words))))) if self.weights else 0.0
 
     def _of_word(self, w: bytes) -> bool:
         return w in self.weights or any(len(w) > k and w[:k] in self.stems for k in STEMS)
 
     def document(self, text: bytes | None) -> float:
-        """Noisy-or of the sentences that hold a weighted word; the others share the bias and count as harmless."""
+        """Noisy-or of all sentences; those without a weighted word have the same chance and are only counted."""
         if not text or not self.weights:
             return 0.0
-        safe, known = 0.0, self._known
+        safe, plain, known = 0.0, 0, self._known
         for words in sentences(text):
             for w in words:
                 hit = known.get(w)
@@ -91,9 +101,11 @@ class Model:
                         known.clear()
                     hit = known[w] = self._of_word(w)
                 if hit:
-                    safe += math.log1p(-min(self.sentence(words), 1 - 1e-12))
+                    safe += _log_harmless(self._z(words))
                     break
-        return 1 - math.exp(safe)
+            else:
+                plain += 1
+        return -math.expm1(safe + plain * _log_harmless(self.bias))
 
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[dict]:
         """Sentences with at least that score: their places in the text and scores."""
@@ -115,35 +127,34 @@ def _candidates(counts: dict[bytes, tuple[int, int]], pos: float, neg: float) ->
     return {f: odds[f] for f in sorted(odds) if odds[f] > 1}
 
 
-def _hits(text: bytes, index: dict[bytes, int]) -> list[list[int]]:
-    """The candidates of each sentence that has any; other sentences have no weight and add only the bias."""
-    return [h for words in sentences(text) if (h := sorted(index[f] for f in _features(words) if f in index))]
+def _hits(text: bytes, index: dict[bytes, int]) -> list[tuple[tuple[int, ...], int]]:
+    """The different sets of candidates that the sentences have, the empty set too, each with its number of sentences."""
+    return sorted(Counter(tuple(sorted(index[f] for f in _features(words) if f in index)) for words in sentences(text)).items())
 
 
-def _fit(start: dict[bytes, float], bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
-    """Noisy-or likelihood over bags of sentences, by Adam from log-odds starts. Weights of features that say little are dropped."""
+def _fit(start: dict[bytes, float], bags: list[list[tuple[tuple[int, ...], int]]], labels: np.ndarray, rounds: int = 200, ridge: float = 0.02, rate: float = 0.15) -> Model:
+    """Noisy-or likelihood over bags of sentences, both labels weighing alike, by projected Adam from log-odds starts."""
     if not start:
         return Model({}, 0.0)
     names, n = list(start), len(bags)
-    per_bag = np.array([len(b) for b in bags], int)
-    per_sentence = np.array([len(h) for b in bags for h in b], int)
-    doc, row = np.repeat(np.arange(n), per_bag), np.repeat(np.arange(len(per_sentence)), per_sentence)
-    col, s = np.array([c for b in bags for h in b for c in h], int), len(per_sentence)
+    doc = np.repeat(np.arange(n), [len(b) for b in bags])
+    times = np.array([k for b in bags for _, k in b], float)
+    row, s = np.repeat(np.arange(len(times)), np.array([len(h) for b in bags for h, _ in b], int)), len(times)
+    col = np.array([c for b in bags for h, _ in b for c in h], int)
     y = labels.astype(float)
-    w, b = np.array([0.5 * start[f] for f in names]), -2.0
+    weight = np.where(y > 0, (n - y.sum()) / y.sum(), 1.0)
+    w, b = np.array([-BIAS / 8 * start[f] for f in names]), BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = np.clip(b + np.bincount(row, w[col], minlength=s), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        safe = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)
-        q = np.clip(1 - np.exp(safe), 1e-6, 1 - 1e-6)
+        z = np.clip(b + np.bincount(row, w[col], minlength=s), -60, 60)
+        q = np.clip(-np.expm1(-np.bincount(doc, times * np.logaddexp(0, z), minlength=n)), 1e-12, 1 - 1e-9)
         # d log-likelihood / d z of a sentence: p * (y / q - 1)
-        g = p * (y[doc] / q[doc] - 1)
+        g = times / (1 + np.exp(-z)) * (weight * (y / q - 1))[doc]
         grad = np.append(np.bincount(col, g[row], minlength=len(w)) - ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w + step[:-1], min(b + step[-1], -1.0)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if x > 0.05}, float(b))
+        w, b = np.maximum(w + step[:-1], 0.0), min(b + step[-1], BIAS)
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if x > 0}, float(b))
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -199,11 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS, usable: Colu
     def hits(batches):
         for b in batches:
             found = [_hits(t.as_py(), sent.value) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "label", "hits"])
+            sets = pa.array([[h for h, _ in x] for x in found], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), sets, pa.array([[k for _, k in x] for x in found], pa.list_(pa.int64()))], ["key", "label", "hits", "times"])
 
-    got = sorted(found.select("key", "text", "label").mapInArrow(hits, "key long, label int, hits array<array<int>>").collect())
+    got = sorted(found.select("key", "text", "label").mapInArrow(hits, "key long, label int, hits array<array<int>>, times array<long>").collect())
     discard(found)
-    return _fit(start, [r.hits for r in got], np.array([r.label for r in got], int))
+    return _fit(start, [list(zip(r.hits, r.times, strict=True)) for r in got], np.array([r.label for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, offending: bool = False) -> DataFrame:

@@ -240,26 +240,25 @@ def plain_toxicity(texts, labels):
     seen = {f for bag, v in zip(bags, labels) if v for b in bag for f in b}
     odds = {f: math.log((has(f, 1) + 0.5) / (pos + 1)) - math.log((has(f, 0) + 0.5) / (neg + 1)) for f in sorted(seen) if has(f, 1) >= 3}
     names = [f for f in sorted(odds) if odds[f] > 1]
-    w, b, m, v = np.array([odds[f] / 2 for f in names]), -2.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    x = [[np.array([float(f in s) for f in names]) for s in bag if any(f in s for f in names)] for bag in bags]
-    for t in range(1, 151):
+    w, b, m, v = np.array([2 * odds[f] for f in names]), -16.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    x = [[np.array([float(f in s) for f in names]) for s in bag] for bag in bags]
+    for t in range(1, 201):
         grad = np.zeros(len(names) + 1)
         for sentences, y in zip(x, labels):
-            p = [1 / (1 + math.exp(-max(-30, min(30, b + s @ w)))) for s in sentences]
-            q = min(max(1 - math.prod(1 - min(k, 1 - 1e-9) for k in p), 1e-6), 1 - 1e-6)
+            p = [1 / (1 + math.exp(-max(-60, min(60, b + s @ w)))) for s in sentences]
+            q = min(max(-math.expm1(sum(math.log1p(-min(k, 1 - 1e-16)) for k in p)), 1e-12), 1 - 1e-9)
             for s, k in zip(sentences, p):
-                grad += np.append(s, 1.0) * k * (y / q - 1)
+                grad += np.append(s, 1.0) * k * (neg / pos * (1 / q - 1) if y else -1)
         grad[:-1] -= 0.02 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w + step[:-1], min(b + step[-1], -1.0)
-    weights = {f: k for f, k in zip(names, w) if k > 0.05}
+        w, b = np.maximum(w + step[:-1], 0), min(b + step[-1], -16.0)
+    weights = dict(zip(names, w))
 
     def score(text):
         safe = 1.0
         for s in parts(text):
-            if any(f in weights for f in s):
-                safe *= 1 - 1 / (1 + math.exp(-(b + sum(weights.get(f, 0) for f in s))))
+            safe *= 1 - 1 / (1 + math.exp(-(b + sum(weights.get(f, 0) for f in s))))
         return 1 - safe
 
     return score

@@ -211,3 +211,8 @@ def test_toxicity_locates_sentences():
     spans = m.offending("w1 w2. w3 nastyword w4. w5")
     assert [("w1 w2. w3 nastyword w4. w5")[s["start"] : s["end"]] for s in spans] == [" w3 nastyword w4"]
     assert toxicity.fit([], np.array([])).document(b"x") == 0.0 and m.document(None) == 0.0
+    # all sentences count: noisy-or over every one of them, the plain ones too, which a million of leave harmless
+    for text in (b"w1 w2. w3 NASTYWORD w4. w5", b"w1. w2 nastyw. vileword w3", b"w1. " * 1000):
+        harmless = [1 - m.sentence(words) for words in toxicity.sentences(text)]
+        assert m.document(text) == pytest.approx(1 - np.prod(harmless), abs=1e-9) and m.document(text) > 0
+    assert m.document(b"w1. " * 1_000_000) < 0.2
