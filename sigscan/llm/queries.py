@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigscan.llm import chatformat, langid, mixing, quality, toxicity
+from sigscan.llm import chatformat, langid, mixing, quality, tokencount, toxicity
 from sigscan.llm.common import crc_mod
 from sigscan.llm.convrepair import repair_damaged
 from sigscan.llm.decontam import decontaminate, digest_rows
 from sigscan.llm.embeddings import near_vectors
 from sigscan.llm.simhash import simhash_components
 from sigscan.llm.spelling import group_spellings
-from sigscan.llm.tokencount import count_tokens
 from sigscan.llm.tokens import token_output
 from sigscan.llm.warc import warc_round_trip
 from sigscan.session import table
@@ -61,7 +60,8 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    docs, pieces = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    return tokencount.count_tokens(docs, pieces, tokencount.fit(docs, pieces))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from math import inf
 
 import numpy as np
 import pytest
@@ -603,6 +604,54 @@ def test_token_counts_on_odd_rows(spark):
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.count_tokens(odd(spark), path).collect()}
     assert got[2] == got[3] == got[6] == (0, 0) and got[1] == (5, 5) and got[5][0] == 300_000
     assert tokencount.count_tokens(empty(spark), path).count() == 0
+    fitted = tokencount.fit(odd(spark), path)
+    assert np.isfinite(fitted).all() and abs(np.exp(fitted).sum() - 1) < 1e-9
+    assert len(set(tokencount.fit(empty(spark), path))) == 1
+
+
+def test_token_counts_equal_plain_training_and_counting(spark, sf, monkeypatch):
+    """The whole query against pieces in a dictionary, each pre-token segmented alone."""
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    rank = {}
+    for k in range(len(p)):
+        if not (p.is_control(k) or p.is_unknown(k) or p.is_byte(k) or p.is_unused(k)):
+            rank.setdefault(p.id_to_piece(k), len(rank))
+    longest = max(map(len, rank))
+    docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    words = Counter(w for d in docs for w in re.split("[ \t-\r]+", d["text"] or "") if w)
+
+    def segment(word, scores, unknown):
+        word = "▁" + word
+        best = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            found = (-inf, 0, None)
+            for begin in range(max(0, end - longest), end):
+                piece = rank.get(word[begin:end])
+                if piece is not None:
+                    found = max(found, (best[begin][0] + scores[piece], begin, piece))
+            alone = best[end - 1][0] + unknown * (n := len(word[end - 1].encode()))
+            best.append((alone, best[end - 1][1] + [-1] * n) if alone > found[0] else (found[0], best[found[1]][1] + [found[2]]))
+        return best[-1][1]
+
+    scores, likelihood = -np.log(np.arange(len(rank)) + 2.0), []
+    for _ in range(tokencount.ROUNDS + 1):
+        used, unknown = Counter(), scores.min() - 10
+        for w, n in words.items():
+            for piece in segment(w, scores, unknown):
+                used[piece] += n
+        likelihood.append(sum(n * (scores[k] if k >= 0 else unknown) for k, n in used.items()))
+        n = np.array([used[k] for k in range(len(rank))]) + tokencount.SMOOTH
+        scores = np.log(n / n.sum())
+    assert likelihood[1:] == sorted(likelihood[1:])  # the scores before training are no probabilities
+    monkeypatch.setattr(tokencount, "ROUND_BYTES", 20_000)
+    assert tokencount.fit(spark.read.parquet(f"{sf}/documents.parquet"), queries.vocabulary("piece_bpe_32k.model")).tolist() == scores.tolist()
+    n = {w: len(segment(w, scores, scores.min() - 10)) for w in words}
+    want = [[w for w in re.split("[ \t-\r]+", d["text"] or "") if w] for d in docs]
+    got = sorted(tuple(r) for r in queries.QUERIES["op8_token_counts"](spark, sf).collect())
+    assert got == sorted((d["doc_id"], len(ws), sum(n[w] for w in ws)) for d, ws in zip(docs, want, strict=True))
 
 
 # ---- pipeline

@@ -141,7 +141,7 @@ def test_token_counts_equal_plain_dynamic_programming():
                 for c in w[s:e]:
                     node = node.get(c) if node else None
                 if node and "" in node:
-                    found = max(found, (best[s][0] + node[""], s, best[s][1] + 1), key=lambda o: o[:2])
+                    found = max(found, (best[s][0] + v.scores[node[""]], s, best[s][1] + 1), key=lambda o: o[:2])
             n = len(w[e - 1].encode())
             alone = (best[e - 1][0] + v.unknown * n, best[e - 1][1] + n)
             best.append(alone if alone[0] > found[0] else (found[0], found[2]))
