@@ -12,16 +12,15 @@ of a public vocabulary, and only their log-probabilities are learned). By Zipf's
 law a piece of rank r starts at -ln(r + 2) but for a constant; then each round
 segments distinct pre-tokens over the same tries, counts the pieces used, each
 as often as its pre-token occurs, and takes smoothed shares as the new
-probabilities (Viterbi training, an EM with the best segmentation alone). The
-first ``ROUNDS`` rounds read a sample of about ``SAMPLE`` distinct pre-tokens,
-the last one all of them, so that the scores rest on counts of the whole corpus.
-Pre-tokens are counted before the shuffle; the driver gets one number a piece.
+probabilities (Viterbi training, an EM with the best segmentation alone). All
+rounds read all distinct pre-tokens of the corpus, which are counted once,
+before the shuffle, and kept sorted; the driver gets one number a piece.
 A character that no piece covers falls back to one token for each of its UTF-8
 bytes, each at the score of an unknown. Ties are won by the shorter last piece.
 
 Nulls, ties and odd texts: a null or blank text has no tokens; repeated rows
 count alike; texts of any length are read whole, in pieces; a pre-token of more
-than ``LONG`` bytes is scored alone, not kept and in no sample; an empty table
+than ``LONG`` bytes is scored alone and not kept; an empty table
 gives no rows, and a corpus without a pre-token scores all pieces alike.
 Columns besides doc_id and text are not read.
 """
@@ -40,9 +39,9 @@ from sigscan.session import discard, materialize, partitions_for, ship
 
 #: Counts that a worker keeps (one more part of texts may come on top), and the longest pre-token that is kept.
 KEPT, LONG = 1_000_000, 256
-#: Rounds of training on a sample, its distinct pre-tokens, and what is added to each piece's count.
-ROUNDS, SAMPLE, SMOOTH = 2, 100_000, 0.5
-#: Bytes of the table of distinct pre-tokens that a task of the last round segments.
+#: Rounds of training before the last, and what is added to each piece's count.
+ROUNDS, SMOOTH = 2, 0.5
+#: Bytes of the table of distinct pre-tokens that a task of a round segments.
 ROUND_BYTES = 8 << 20
 #: Stands before every pre-token, as in the vocabulary's pieces.
 MARK = "▁"
@@ -224,17 +223,15 @@ def step(words: DataFrame, vocabulary: str, scores: np.ndarray) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, sample: int = SAMPLE) -> np.ndarray:
-    """Log-probabilities of the vocabulary's pieces, by rank, fitted to all rows."""
-    words = materialize(pretokens(docs), "pretokens")
-    n = words.count()
+def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-probabilities of the vocabulary's pieces, by rank, fitted to all rows: each round segments all distinct pre-tokens."""
+    counted = materialize(pretokens(docs), "pretokens")
+    # dealt and sorted once, so that a round reads files alone and neighbours share their prefixes
+    words = materialize(counted.repartition(partitions_for(counted, ROUND_BYTES), "word").sortWithinPartitions("word"), "words")
+    discard(counted)
     scores = prior(vocabulary)
-    part = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = materialize(words.where((F.length("word") <= LONG) & (part * n < sample)).repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
-    for _ in range(rounds):
-        scores = step(some, vocabulary, scores)
-    scores = step(words.repartition(partitions_for(words, ROUND_BYTES)), vocabulary, scores)
-    discard(some)
+    for _ in range(rounds + 1):
+        scores = step(words, vocabulary, scores)
     discard(words)
     return scores
 

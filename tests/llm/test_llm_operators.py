@@ -609,6 +609,15 @@ def test_token_counts_on_odd_rows(spark):
     assert len(set(tokencount.fit(empty(spark), path))) == 1
 
 
+def test_every_round_of_token_counts_reads_all_pretokens(spark, monkeypatch):
+    """More distinct pre-tokens than a sample would hold, and one longer than those that are kept."""
+    docs = spark.range(150).select(F.concat_ws(" ", F.lit("z" * (tokencount.LONG + 1)), F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda k: F.concat(F.lit("w"), k.cast("string")))).alias("text"))
+    read = []
+    monkeypatch.setattr(tokencount, "step", lambda words, vocabulary, scores: read.append(tuple(words.agg(F.count("*"), F.sum("n")).first())) or scores)
+    tokencount.fit(docs, queries.vocabulary("piece_bpe_32k.model"))
+    assert read == [(150_001, 150_150)] * (tokencount.ROUNDS + 1)
+
+
 def test_token_counts_equal_plain_training_and_counting(spark, sf, monkeypatch):
     """The whole query against pieces in a dictionary, each pre-token segmented alone."""
     import pyarrow.parquet as pq
