@@ -11,7 +11,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import PythonException, SparkRuntimeException as SparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigscan.functions.sql import register
@@ -134,6 +134,11 @@ def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).cast("long").alias("doc_id"), "status")
 
 
+def _group(doc_id: str) -> Column:
+    """The folder of a document's file: a thousand documents each, so that no folder holds all files."""
+    return F.concat(F.lit("k"), F.floor(F.col(doc_id) / F.lit(1000)).cast("string"))
+
+
 _LATIN = r"[^\x00-\xff]"
 
 
@@ -289,7 +294,7 @@ def archive_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "jobs")
     kind = F.element_at(F.array(F.lit("tgz"), F.lit("tar.gz"), F.lit("tar")), (F.col("doc_id") % 3 + 1).cast("int"))
     field = F.when(F.col("doc_id") % 2 == 0, "rct").otherwise("review")
-    place = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), field, F.lit("/"), (2000 + F.col("doc_id") % 5).cast("string"), F.lit("."))
+    place = F.concat(_group("doc_id"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/"), field, F.lit("/"), (2000 + F.col("doc_id") % 5).cast("string"), F.lit("."))
     docs = table(spark, sf_dir, "documents")
     archive = docs.select(F.concat(place, kind).alias("name"), F.col("text").cast("binary").alias("content"))
     corpus.write_files(archive.unionByName(docs.select(F.concat(place, F.lit("txt")).alias("name"), F.lit(b"x").alias("content"))), folder)

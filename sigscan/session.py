@@ -44,6 +44,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark takes it for."""
+    p, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_root(spark)}/sigscan/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigscan.session import materialize, ship
+from sigscan.sources.listing import _batch, list_files, located
 
 MEMBERS = "src_tar string, inner_path string, member_pos long, readable boolean, content binary"
 #: A member's place: ``offset`` and ``size`` of its bytes in an archive that is not compressed, null in one that is (``size`` is known in both).
@@ -25,18 +26,12 @@ MAX_MEMBERS = 100_000
 
 
 def list_archives(spark: SparkSession, path: str, kinds: tuple[str, ...] = _KINDS) -> DataFrame:
-    """(path, field, year) of archives below ``path``: the field is their folder, the year their stem. Bytes are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    """(path, field, year) of archives below ``path``: the field is their folder, the year their stem. Tasks list the folders; bytes are not read."""
+    files = list_files(spark, path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.where(F.lower(name).rlike(r"\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$") & F.lower(name).rlike("|".join(k.replace(".", r"\.") + "$" for k in kinds))).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("field"), F.regexp_replace(name, r"(?i)\.(tar|tgz|tar\.gz|tar\.bz2|tar\.xz)$", "").alias("year"))
 
 
-def located(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.replace("file:/", "file:///", 1)
-    return pafs.FileSystem.from_uri(uri)
-
-
 def open_uri(uri: str):
     """A readable stream of a file by URI, on an executor."""
     fs, at = located(uri)
@@ -47,6 +42,8 @@ def index_of(path: str, suffix: str):
     """(inner_path, member_pos, offset, size) of the wanted members of an archive. Of one that is not compressed only the headers are read, the rest is skipped over."""
     fs, at = located(path)
     with fs.open_input_file(at) as f:
+        if not f.size():  # an empty file has no members
+            return
         plain = _is_plain(f)
         f.seek(0)
         with tarfile.open(fileobj=f, mode="r:" if plain else "r|*") as tar:
@@ -91,10 +88,6 @@ def _tasks(archives: DataFrame) -> int:
     return max(1, min(archives.count(), 32 * archives.sparkSession.sparkContext.defaultParallelism))
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
 def contents(rows):
     """The rows (path, inner_path, member_pos, offset, size) with the members' bytes. Rows of an archive come in order, so a file is opened once and a compressed one is streamed once."""
     now, handles, stream = None, [], None

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from sigscan.functions.text import WS, clean_text, decode_text, not_blank, trim_ws
 from sigscan.operators.metadata import union_filelists
 from sigscan.session import exists, materialize, ship
-from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, located, open_uri, ranges
+from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, open_uri, ranges
+from sigscan.sources.listing import list_files, located
 from sigscan.sources.xmltext import section_texts
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
@@ -139,9 +140,10 @@ def convert_archives(archives: DataFrame, folder: str, unit_bytes: int = RANGE_B
     return converted(spark, folder).join(left, "job", "left_semi")
 
 
-def _put(fs: pafs.FileSystem, folder: str, name: str, data: bytes) -> None:
-    """A small file that is there whole or not at all."""
-    fs.create_dir(folder, recursive=True)
+def _put(fs: pafs.FileSystem, folder: str, name: str, data: bytes, make: bool = True) -> None:
+    """A small file that is there whole or not at all; ``make`` its folder first."""
+    if make:
+        fs.create_dir(folder, recursive=True)
     temp = f"{folder}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(temp, compression=None) as out:
         out.write(data)
@@ -199,11 +201,12 @@ def write_files(files: DataFrame, folder: str) -> None:
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
-        n = 0
+        n, made = 0, None
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _put(fs, f"{base}/{name}".rpartition("/")[0], name.rpartition("/")[2], content or b"")
-                n += 1
+                at, _, last = f"{base}/{name}".rpartition("/")
+                _put(fs, at, last, content or b"", at != made)
+                n, made = n + 1, at
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     files.select("name", "content").mapInArrow(run, "n long").write.mode("overwrite").format("noop").save()
@@ -218,7 +221,7 @@ def rewrite_without_blank_lines(spark: SparkSession, folder: str, glob: str = "*
     shall be, and the next run does the rest.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select("path")
+    files = list_files(spark, folder, glob).where("size > 0")
 
     def lines(fs, path):
         with fs.open_input_stream(path, compression=None) as f:
@@ -244,7 +247,7 @@ def rewrite_without_blank_lines(spark: SparkSession, folder: str, glob: str = "*
             yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("lines", pa.int64()), ("kept", pa.int64())]))
 
     n = max(files.count(), 1)
-    return materialize(files.repartition(min(n, 32 * spark.sparkContext.defaultParallelism), "path").mapInArrow(run, "path string, lines long, kept long"), "rewritten")
+    return materialize(files.select("path").repartition(min(n, 32 * spark.sparkContext.defaultParallelism), "path").mapInArrow(run, "path string, lines long, kept long"), "rewritten")
 
 
 def read_csvs(spark: SparkSession, path: str) -> DataFrame:
