@@ -3,7 +3,7 @@
 A stream remembers members and ids in Structured Streaming's state (RocksDB), so a
 batch costs what it holds, however much was routed before: repeated members are
 dropped by their (src_tar, inner_path), and of an id the first copy alone is
-judged. State and outputs go together: a batch that is repeated after a failure
+judged. Both are keys of one ``dropDuplicates``, so no Python runs for an id. State and outputs go together: a batch that is repeated after a failure
 meets the state that it met before, and all its outputs are folders of its run
 and number that are overwritten. The ledger is written last, and a batch without it is not part of the tables.
 
@@ -14,37 +14,19 @@ knows from the ledger, which no run but theirs adds to. :meth:`Router.process` r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sigscan.operators.routing import ACCEPT, copies, decide, manifest, member_id, reasons, skipped
-from sigscan.session import discard, exists, materialize, ship
+from sigscan.session import discard, exists, materialize
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEDGER = "src_tar string, inner_path string, pmcid string, run string, batch long"
 
 
-def _first_copies(key: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Members of one id in a batch with ``again``: false for the first of an id that is new. One row is held back at a time."""
-    held = None
-    for rows in pieces:
-        rows = rows.assign(again=True)
-        if not state.exists:
-            rows = pd.concat([held, rows]).sort_values(["src_tar", "member_pos", "inner_path"], kind="stable", na_position="first")
-            held, rows = rows.iloc[:1], rows.iloc[1:]
-        yield rows
-    if held is not None:
-        if held["pmcid"].iloc[0] is not None:
-            state.update((True,))
-        yield held.assign(again=False)
-
-
 class Router:
     """Routes members into ``path``: ledger, manifest, skipped, articles."""
 
@@ -90,21 +72,33 @@ class Router:
             return f.read().decode()
 
     def judged(self, members: DataFrame) -> DataFrame:
-        """A stream of members, each (src_tar, inner_path) once, with pmcid and ``again``: whether the id came before."""
-        ship(self.spark)
+        """A stream of members with pmcid, each (src_tar, inner_path) once, and a row with ``__mark`` for each id that did not come before.
+
+        Spark's own state keeps both kinds of keys; rows of members and marks are told apart by ``__mark``.
+        """
         readable = F.col("readable") if "readable" in members.columns else F.lit(True)
-        rows = members.dropDuplicates(["src_tar", "inner_path"]).withColumn("readable", readable).withColumn("pmcid", member_id(F.col("inner_path")))
-        # names without an id are groups of their own
-        rows = rows.withColumn("__key", F.coalesce("pmcid", F.concat_ws("/", F.lit(""), "src_tar", "inner_path")))
-        schema = T.StructType([*rows.schema.fields, T.StructField("again", T.BooleanType())])
-        return rows.groupBy("__key").applyInPandasWithState(_first_copies, schema, "seen boolean", "append", "NoTimeout").drop("__key")
+        rows = members.withColumn("readable", readable).withColumn("pmcid", member_id(F.col("inner_path")))
+        key = lambda mark, a, b: F.struct(F.lit(mark).alias("mark"), a.cast("string").alias("a"), b.cast("string").alias("b"))
+        member, mark = key(False, F.col("src_tar"), F.col("inner_path")), key(True, F.col("pmcid"), F.lit(None))
+        keyed = rows.withColumn("__key", F.explode(F.when(F.col("pmcid").isNull(), F.array(member)).otherwise(F.array(member, mark))))
+        # a mark has its id alone
+        plain = [F.col("pmcid") if c == "pmcid" else F.when(~F.col("__key.mark"), F.col(f"`{c}`")).alias(c) for c in rows.columns]
+        return keyed.select(*plain, F.col("__key.mark").alias("__mark"), F.col("__key.a").alias("__a"), F.col("__key.b").alias("__b")).dropDuplicates(["__mark", "__a", "__b"]).drop("__a", "__b")
 
     def _route(self, judged: DataFrame, batch: int, run: str, older: DataFrame | None) -> None:
+        came = materialize(judged, "batch")  # a batch is read several times, its state only once
+        rows, new = came.where("not __mark").drop("__mark"), came.where("__mark").select("pmcid")
+        # the first copy of each new id is judged; the minimum combines before the shuffle, and rows are unique by archive and path
+        first = rows.where("pmcid is not null").groupBy("pmcid").agg(F.min(F.struct("src_tar", "member_pos", "inner_path")).alias("f")).join(new, "pmcid", "left_semi")
+        first = first.select(F.col("f.src_tar").alias("__src"), F.col("f.inner_path").alias("__path"), F.lit(False).alias("__again"))
+        judged = rows.join(first, F.col("src_tar").eqNullSafe(F.col("__src")) & F.col("inner_path").eqNullSafe(F.col("__path")), "left")
+        judged = judged.withColumn("again", F.coalesce("__again", F.col("pmcid").isNotNull())).drop("__src", "__path", "__again")
         if older is not None:
             judged = judged.join(older.select("src_tar", "inner_path"), ["src_tar", "inner_path"], "left_anti")
             known = older.where("pmcid <> ''").select(F.col("pmcid").alias("__seen")).distinct()
             judged = judged.join(known, F.col("pmcid") == F.col("__seen"), "left").withColumn("again", F.col("again") | F.col("__seen").isNotNull()).drop("__seen")
         self._write(reasons(judged, self.labels, "again"), batch, run)
+        discard(came)
 
     def stream(self, members: DataFrame, checkpoint: str):
         """Process a streaming DataFrame of members until it is exhausted; returns the finished query."""

@@ -91,3 +91,19 @@ def test_streams_equal_single_batches(spark, tmp_path):
         single.process(members(spark, b).dropDuplicates(["src_tar", "inner_path"]), b)
     assert state(streamed) == state(single)
     assert streamed.table("skipped").where(F.col("reason") == routing.UNRECOGNIZED).count() == 2
+
+
+def test_state_is_sparks_own_and_a_hot_id_is_judged_once(spark, tmp_path):
+    """No Python for each id; an id with most of the members, in two batches, and archives without a name."""
+    router = Router(spark, f"{tmp_path}/state", known(spark))
+    rows = lambda k: [(f"{k}.tar", f"d{n}/PMC8.xml", n) for n in range(3000)] + [(None, "d/PMC10.xml", 0), (None, "e/PMC10.xml", None)]
+    for k in (1, 0):
+        spark.createDataFrame(rows(k), COLUMNS).repartition(3).write.parquet(f"{tmp_path}/in/{k}")
+        source = spark.readStream.schema(COLUMNS).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        assert "Pandas" not in router.judged(source)._jdf.queryExecution().analyzed().toString()
+        router.stream(source, f"{tmp_path}/checkpoint")
+    got = router.table("manifest").select("pmcid", "src_tar").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("PMC8", "1.tar"), ("PMC10", None)], key=str)
+    left = router.table("skipped").groupBy("pmcid", "src_tar", "reason").count().collect()
+    assert sorted(map(tuple, left), key=str) == sorted([("PMC8", "1.tar", routing.DUPLICATE, 2999), ("PMC8", "0.tar", routing.DUPLICATE, 3000), ("PMC10", None, routing.DUPLICATE, 1)], key=str)
+    assert router.table("skipped").where("inner_path = 'd/PMC10.xml'").count() == 1  # (null position) comes first
