@@ -283,8 +283,8 @@ def text_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     latin = F.encode(F.concat(F.lit("é "), F.regexp_replace(text, _LATIN, "?")), "ISO-8859-1")
     name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt"))
-    files = table(spark, sf_dir, "documents").select(name.alias("name"), F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin).alias("content"))
-    corpus.write_files(files, folder)
+    files = table(spark, sf_dir, "documents").select(_group("doc_id").alias("group"), name.alias("name"), F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin).alias("content"))
+    corpus.write_files(files.withColumn("name", F.concat_ws("/", "group", "name")), folder)
     return corpus.read_text_folder(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "text")
 
 

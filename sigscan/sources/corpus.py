@@ -20,7 +20,7 @@ from sigscan.functions.text import WS, clean_text, decode_text, not_blank, trim_
 from sigscan.operators.metadata import union_filelists
 from sigscan.session import exists, materialize, ship
 from sigscan.sources.archives import RANGE_BYTES, contents, index_archives, open_uri, ranges
-from sigscan.sources.listing import list_files, located
+from sigscan.sources.listing import list_files, located, read_files
 from sigscan.sources.xmltext import section_texts
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
@@ -190,8 +190,8 @@ def read_converted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of .txt files, UTF-8 or else Latin-1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
+    """(path, text) of .txt files, UTF-8 or else Latin-1; empty ones too."""
+    files = read_files(spark, path, "*.txt")
     return files.select("path", decode_text(F.col("content")).alias("text"))
 
 

@@ -105,9 +105,11 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
         left = now.where("folder").select("path").repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "path")
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """(path, content) of files (path, size), in tasks of about ``TASK_BYTES``; each is opened once."""
-    ship(files.sparkSession)
+def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, content) of the files of :func:`list_files`, in tasks of about ``TASK_BYTES``; each is opened once."""
+    if _prefix(qualified(spark, folder)) is None:
+        return by_spark(spark, folder, glob).select("path", "content")
+    files = list_files(spark, folder, glob)
 
     def run(batches):
         rows, size = [], 0
@@ -124,7 +126,7 @@ def read_files(files: DataFrame) -> DataFrame:
             yield _batch(rows, _READ)
 
     total = files.agg(F.sum(F.col("size") + FILE_BYTES)).first()[0] or 0
-    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    n = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     return files.select("path").repartition(n, "path").mapInArrow(run, "path string, content binary")
 
 

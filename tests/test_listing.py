@@ -35,3 +35,14 @@ def test_names_of_archives_stay_off_the_driver(spark, tmp_path):
     jobs = archives.list_archives(spark, f"{tmp_path}")
     assert jobs.where(F.col("field") == "x y").count() == 200  # empty ones too
     assert not [f for f in jobs.inputFiles() if f.lower().endswith((".tar", ".tgz", ".txt"))]
+
+
+def test_text_files_are_read_by_few_tasks(spark, tmp_path):
+    """Spark's reader takes a task for every few small files, keeps their names on the driver and leaves out empty ones."""
+    tree(tmp_path)
+    (tmp_path / "latin.txt").write_bytes("caf\xe9".encode("latin-1"))
+    read = corpus.read_text_folder(spark, f"{tmp_path}")
+    got = {r.path.removeprefix("file:"): r.text for r in read.collect()}
+    assert got == {str(p): p.read_bytes().decode("latin-1") for p in tmp_path.rglob("*.txt")} and "" in got.values()
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert not [f for f in read.inputFiles() if f.endswith(".txt")]
