@@ -60,23 +60,32 @@ def pages_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("body"))
 
 
+#: The folder that an archive lies in.
+_SOURCE = "([^/]+)/[^/]+$"
 _WITH_TEXT = MEMBERS.replace("SELECT ", "SELECT text, ", 1)
 
 
 @query(f"SELECT src_tar, inner_path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, sha256(coalesce(text, '')) AS digest FROM ({_WITH_TEXT})")
 def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of archives that are written first, one for each source archive, whole texts in them."""
+    """Members of archives that are written first, those of a source archive in a folder of its name, whole texts in them."""
     paths = _write_archives(_with_text(spark, sf_dir), shared_path(spark, "archives"))
-    return archives.members(paths, by_path=False).select("src_tar", "inner_path", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
+    return archives.members(paths).select(F.regexp_extract("src_tar", _SOURCE, 1).alias("src_tar"), "inner_path", F.octet_length("content").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
 
 
 def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, _WITH_TEXT).select("src_tar", "inner_path", "member_pos", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
+#: Bytes of members of a compressed archive that is written.
+ARCHIVE_BYTES = 32 << 20
+
+
 def _write_archives(df: DataFrame, folder: str) -> DataFrame:
-    """A gzip-compressed archive for each src_tar, members in order: (path). An archive gets its name when it is complete; the fixture has three."""
+    """Gzip-compressed archives ``<src_tar>/<part>.tar.gz`` of each src_tar, members in order: (path). As a compressed archive is read by one task, a source has an archive for each ``ARCHIVE_BYTES``. An archive gets its name when it is complete."""
     ship(df.sparkSession)
+    sizes = materialize(df.groupBy("src_tar").agg(F.ceil(F.sum(F.octet_length("content") + 1024) / F.lit(ARCHIVE_BYTES)).alias("parts")), "sizes")
+    parted = df.join(sizes, "src_tar").withColumn("part", F.pmod(F.xxhash64("inner_path"), F.col("parts")).cast("int"))
+    n = sizes.agg(F.sum("parts")).first()[0] or 1
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -91,9 +100,11 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
                 names.append(f"{folder}/{now}")
 
         for b in batches:
-            for name, inner, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for src, part, inner, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                name = f"{src}/{part:05d}.tar.gz"
                 if name != now:
                     close()
+                    fs.create_dir(f"{base}/{src}", recursive=True)
                     now, temp = name, f"{base}/.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temp, compression=None)
                     tar = tarfile.open(fileobj=out, mode="w|gz")
@@ -104,7 +115,8 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
         if names:
             yield pa.RecordBatch.from_pydict({"path": pa.array(names)})
 
-    return materialize(df.repartition("src_tar").sortWithinPartitions("src_tar", "member_pos").select("src_tar", "inner_path", "content").mapInArrow(run, "path string"), "archives")
+    dealt = parted.repartition(int(n), "src_tar", "part").sortWithinPartitions("src_tar", "part", "member_pos")
+    return materialize(dealt.select("src_tar", "part", "inner_path", "content").mapInArrow(run, "path string"), "archives")
 
 
 def _damaged_archives(batches):
@@ -129,14 +141,14 @@ def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each document, whole texts in them: sound ones, broken checksums, and ones that hold no tar."""
     ship(spark)
     folder = shared_path(spark, "checked")
-    corpus.write_files(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_damaged_archives, "name string, content binary"), folder)
+    corpus.write_files(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_damaged_archives, "name string, content binary").withColumn("name", F.concat_ws("/", _group(F.split_part("name", F.lit("."), F.lit(1)).cast("long")), "name")), folder)
     found = archives.check_archives(archives.list_archives(spark, folder))
     return found.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).cast("long").alias("doc_id"), "status")
 
 
-def _group(doc_id: str) -> Column:
+def _group(doc_id: Column) -> Column:
     """The folder of a document's file: a thousand documents each, so that no folder holds all files."""
-    return F.concat(F.lit("k"), F.floor(F.col(doc_id) / F.lit(1000)).cast("string"))
+    return F.concat(F.lit("k"), F.floor(doc_id / F.lit(1000)).cast("string"))
 
 
 _LATIN = r"[^\x00-\xff]"
@@ -283,7 +295,7 @@ def text_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     latin = F.encode(F.concat(F.lit("é "), F.regexp_replace(text, _LATIN, "?")), "ISO-8859-1")
     name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt"))
-    files = table(spark, sf_dir, "documents").select(_group("doc_id").alias("group"), name.alias("name"), F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin).alias("content"))
+    files = table(spark, sf_dir, "documents").select(_group(F.col("doc_id")).alias("group"), name.alias("name"), F.when(F.col("doc_id") % 2 == 0, text.cast("binary")).otherwise(latin).alias("content"))
     corpus.write_files(files.withColumn("name", F.concat_ws("/", "group", "name")), folder)
     return corpus.read_text_folder(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "text")
 
@@ -294,7 +306,7 @@ def archive_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "jobs")
     kind = F.element_at(F.array(F.lit("tgz"), F.lit("tar.gz"), F.lit("tar")), (F.col("doc_id") % 3 + 1).cast("int"))
     field = F.when(F.col("doc_id") % 2 == 0, "rct").otherwise("review")
-    place = F.concat(_group("doc_id"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/"), field, F.lit("/"), (2000 + F.col("doc_id") % 5).cast("string"), F.lit("."))
+    place = F.concat(_group(F.col("doc_id")), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/"), field, F.lit("/"), (2000 + F.col("doc_id") % 5).cast("string"), F.lit("."))
     docs = table(spark, sf_dir, "documents")
     archive = docs.select(F.concat(place, kind).alias("name"), F.col("text").cast("binary").alias("content"))
     corpus.write_files(archive.unionByName(docs.select(F.concat(place, F.lit("txt")).alias("name"), F.lit(b"x").alias("content"))), folder)
@@ -334,7 +346,7 @@ def sql_tar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of whole texts listed by a table function, an archive a call."""
     register(spark)
     paths = _write_archives(_with_text(spark, sf_dir), shared_path(spark, "archives"))
-    return spark.sql("SELECT regexp_extract(path, '([^/]+)$', 1) AS src_tar, inner_path, size FROM {paths}, LATERAL tar_index(path)", paths=paths)
+    return spark.sql(f"SELECT regexp_extract(path, '{_SOURCE}', 1) AS src_tar, inner_path, size FROM {{paths}}, LATERAL tar_index(path)", paths=paths.repartition(max(1, paths.count()), "path"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST((row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) - 1) // 20 AS BIGINT) AS chunk FROM documents")

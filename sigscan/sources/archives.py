@@ -161,24 +161,42 @@ def members(archives: DataFrame, content: bool = True, suffix: str = ".xml", by_
     return index.select(src.alias("src_tar"), "inner_path", "member_pos", F.lit(True).alias("readable"), F.lit(None).cast("binary").alias("content"))
 
 
+class _Unpacked(io.RawIOBase):
+    """What a compressed stream holds, and whether its checksums hold (``failed``); a failure looks like an end."""
+
+    def __init__(self, raw):
+        self.z, self.failed = gzip.open(io.BufferedReader(raw), "rb"), False
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        try:
+            return b"" if self.failed else self.z.read(size)
+        except Exception:  # noqa: BLE001  any failure of the first test is its verdict
+            self.failed = True
+            return b""
+
+
 def check_archives(archives: DataFrame) -> DataFrame:
-    """(path, status) of compressed archives: ok, gzip_failed (checksum) or tar_failed (structure). Memory holds a block."""
+    """(path, status) of compressed archives: ok, gzip_failed (checksum) or tar_failed (structure). An archive is opened and unpacked once; memory holds a block."""
     ship(archives.sparkSession)
 
     def status(path: str) -> str:
         try:
-            with open_uri(path) as raw, gzip.open(io.BufferedReader(raw), "rb") as z:
-                while z.read(1 << 20):
+            with open_uri(path) as raw:
+                unpacked, sound = _Unpacked(raw), True
+                try:
+                    with tarfile.open(fileobj=unpacked, mode="r|") as tar:
+                        for _ in tar:
+                            tar.members = []  # they are not kept
+                except Exception:  # noqa: BLE001
+                    sound = False
+                while unpacked.read(1 << 20):  # to the end, as the checksum comes last
                     pass
-        except Exception:  # noqa: BLE001  any failure of the first test is its verdict
+                return "gzip_failed" if unpacked.failed else "ok" if sound else "tar_failed"
+        except Exception:  # noqa: BLE001  it can't be read
             return "gzip_failed"
-        try:
-            with open_uri(path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
-                for _ in tar:
-                    pass
-        except Exception:  # noqa: BLE001
-            return "tar_failed"
-        return "ok"
 
     def run(batches):
         for b in batches:

@@ -1,5 +1,6 @@
 """Tar archives: index and ranges against the sequential reader."""
 
+import gzip
 import io
 import sys
 import tarfile
@@ -8,6 +9,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from conftest import compare
+from sigscan.plans import connectors
+from sigscan.plans.catalogue import ORACLES
+from sigscan.plans.catalogue import QUERIES
 from sigscan.sources import archives, corpus
 from sigscan.sources.tarstore import TarStore
 from sigscan.sources.xmltext import section_texts
@@ -71,6 +76,38 @@ def test_empty_and_odd_archives(spark, tmp_path):
     assert archives.members(archives.list_archives(spark, f"{tmp_path}").where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["tar_members", "sql_tar_index"])
+def test_a_source_of_many_bytes_is_many_archives(spark, sf, monkeypatch, name):
+    """A compressed archive is one task's, so its bytes are bounded."""
+    written, keep = [], connectors._write_archives
+    monkeypatch.setattr(connectors, "ARCHIVE_BYTES", 1 << 15)
+    monkeypatch.setattr(connectors, "_write_archives", lambda *a: written.append(keep(*a)) or written[-1])
+    compare(spark, sf, QUERIES[name], ORACLES[name])
+    assert written[0].count() > 10
+    index = archives.index_archives(written[0])
+    assert index.groupBy("path").agg(F.sum("size").alias("n"), F.count("*").alias("k")).where(f"n > 4 * {1 << 15} and k > 1").count() == 0
+
+
+def test_checks_of_archives(spark, tmp_path):
+    """Each verdict from one reading, a failing checksum before a failing structure."""
+    pack(tmp_path / "good.tar", [f"PMC{k}.xml" for k in range(500)])
+    good = (tmp_path / "good.tar").read_bytes()
+    packed = gzip.compress(good)
+    kinds = {"ok": (packed, gzip.compress(b"") + packed, gzip.compress(good) + b"\0" * 64), "tar_failed": (gzip.compress(good[:5000]), gzip.compress(b"nonsense" * 999), gzip.compress(b""), b""), "gzip_failed": (packed[:-8] + b"\0" * 8, packed[: len(packed) // 2], b"nonsense" * 99, good, gzip.compress(b"nonsense" * 999)[:-4], packed + b"more")}
+    for status, contents in kinds.items():
+        (tmp_path / "z" / status).mkdir(parents=True)
+        for k, data in enumerate(contents):
+            (tmp_path / f"z/{status}/{k}.tar.gz").write_bytes(data)
+    got = archives.check_archives(archives.list_archives(spark, f"{tmp_path}/z")).collect()
+    assert len(got) == 13 and all(r.path.split("/")[-2] == r.status for r in got), got
+
+
+def test_files_of_checked_archives_lie_in_folders(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(connectors, "shared_path", lambda *a: f"file://{tmp_path}/checked")
+    compare(spark, sf, connectors.archive_check, ORACLES["archive_check"])
+    assert all(p.is_dir() for p in (tmp_path / "checked").iterdir())
+
+
 class Breaks:
     """An extraction that fails at one article."""
 
