@@ -11,7 +11,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import PythonException, SparkRuntimeException as SparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigscan.functions.sql import register
@@ -84,6 +84,7 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
     """Gzip-compressed archives ``<src_tar>/<part>.tar.gz`` of each src_tar, members in order: (path). As a compressed archive is read by one task, a source has an archive for each ``ARCHIVE_BYTES``. An archive gets its name when it is complete."""
     ship(df.sparkSession)
     sizes = materialize(df.groupBy("src_tar").agg(F.ceil(F.sum(F.octet_length("content") + 1024) / F.lit(ARCHIVE_BYTES)).alias("parts")), "sizes")
+    sizes = sizes.withColumn("before", F.sum("parts").over(Window.orderBy("src_tar")) - F.col("parts"))  # a row a source
     parted = df.join(sizes, "src_tar").withColumn("part", F.pmod(F.xxhash64("inner_path"), F.col("parts")).cast("int"))
     n = sizes.agg(F.sum("parts")).first()[0] or 1
 
@@ -115,7 +116,7 @@ def _write_archives(df: DataFrame, folder: str) -> DataFrame:
         if names:
             yield pa.RecordBatch.from_pydict({"path": pa.array(names)})
 
-    dealt = parted.repartition(int(n), "src_tar", "part").sortWithinPartitions("src_tar", "part", "member_pos")
+    dealt = parted.repartitionById(int(n), (F.col("before") + F.col("part")).cast("int")).sortWithinPartitions("src_tar", "part", "member_pos")
     return materialize(dealt.select("src_tar", "part", "inner_path", "content").mapInArrow(run, "path string"), "archives")
 
 
