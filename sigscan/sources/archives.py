@@ -9,7 +9,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigscan.session import materialize, ship
@@ -209,14 +209,19 @@ def check_archives(archives: DataFrame) -> DataFrame:
 def export_tars(copied: DataFrame, folder: str, max_members: int = MAX_MEMBERS) -> DataFrame:
     """Write copies (bucket, year, pmcid, content) as tar archives ``bucket/year/part.tar`` in a shared folder: (path, members).
 
-    A bucket of any size has as many archives as it needs; owners are zeroed.
+    A bucket of any size has as many archives as it needs; owners are zeroed. An
+    archive is one task's, the largest buckets begin; contents move once.
     """
     ship(copied.sparkSession)
     year = F.coalesce(F.col("year").cast("string"), F.lit("unknown-year"))
     rows = copied.select("bucket", year.alias("year"), "pmcid", "content")
-    sizes = rows.groupBy("bucket", "year").agg(F.ceil(F.count("*") / F.lit(float(max_members))).alias("__parts"))
-    dealt = rows.join(sizes, ["bucket", "year"]).withColumn("__part", F.pmod(F.xxhash64("pmcid"), F.col("__parts")))
-    dealt = dealt.repartition("bucket", "year", "__part").sortWithinPartitions("bucket", "year", "__part", "pmcid").select("bucket", "year", "__part", "pmcid", "content")
+    sizes = rows.groupBy("bucket", "year").agg(F.count("*").alias("__n"))
+    sizes = materialize(sizes.withColumn("__parts", F.ceil(F.col("__n") / F.lit(float(max_members)))), "sizes")  # so Spark knows how small it is
+    n = min(sizes.agg(F.sum("__parts")).first()[0] or 1, 32 * copied.sparkSession.sparkContext.defaultParallelism)
+    sizes = sizes.withColumn("__before", F.sum("__parts").over(Window.orderBy(F.desc("__n"), "bucket", "year")) - F.col("__parts")).drop("__n")  # a row a bucket and year
+    parted = rows.join(sizes, ["bucket", "year"]).withColumn("__part", F.pmod(F.xxhash64("pmcid"), F.col("__parts")))
+    dealt = parted.repartitionById(n, F.pmod(F.col("__before") + F.col("__part"), F.lit(n)).cast("int"))
+    dealt = dealt.sortWithinPartitions("bucket", "year", "__part", "pmcid").select("bucket", "year", "__part", "pmcid", "content")
 
     def run(batches):
         from pyspark import TaskContext

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import uuid
 from collections.abc import Callable
 from contextlib import ExitStack
@@ -24,7 +23,6 @@ from sigscan.sources.listing import list_files, located, read_files
 from sigscan.sources.xmltext import section_texts
 
 #: File names: xtract list, category, year (or unknown-year), section for full-text archives.
-_LINE_BREAKS = re.compile("[\r\n\t ]+")
 _NAME = r"(pmcid|pmcxtract|pmid|pmxtract)_list_(.+?)_([0-9]{4}|unknown-year|unknown)(?:_(abstract|body))?\.txt$"
 
 
@@ -33,7 +31,7 @@ def _parts(df: DataFrame, *more: Column) -> DataFrame:
     part = lambda k: F.nullif(F.regexp_extract(path, _NAME, k), F.lit(""))
     kind = part(1)
     source = F.when(kind.startswith("pmc"), F.concat(F.lit("pmc_"), part(4))).when(kind.isNotNull(), F.lit("pubmed_abstract"))
-    return df.select(trim_ws(F.col("value")).alias("line"), source.alias("source"), part(2).alias("category"), part(3).try_cast("int").alias("year"), *more).where(not_blank(F.col("line")))
+    return df.where(not_blank(F.col("value"))).select(trim_ws(F.col("value")).alias("line"), source.alias("source"), part(2).alias("category"), part(3).try_cast("int").alias("year"), *more)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
@@ -99,6 +97,8 @@ def write_corpus(lines: DataFrame, folder: str, kind: str = "pmcxtract") -> Data
     return materialize(dealt.mapInArrow(run, "path string, lines long"), "corpus")
 
 
+#: Bytes that a member counts as besides its own.
+MEMBER_BYTES = 1 << 10
 #: What a unit of work writes: the texts of each section, and the ids of the articles that have it.
 _SECTIONS = ("abstract", "body")
 DONE = "job string, path string, part long, category string, year string, articles long, abstract long, body long"
@@ -112,7 +112,9 @@ def convert_archives(archives: DataFrame, folder: str, unit_bytes: int = RANGE_B
     folder of its own, each named when it is complete, and then its mark. So a run that
     is broken off keeps every unit that was finished, the next one does the
     others, and nothing that a unit left without its mark is ever read. Article
-    texts are read and written one at a time.
+    texts are read and written one at a time. A task does units of about
+    ``RANGE_BYTES`` together, one after another; when it is tried again it passes
+    over those that have their mark.
     """
     spark = archives.sparkSession
     ship(spark)
@@ -120,26 +122,39 @@ def convert_archives(archives: DataFrame, folder: str, unit_bytes: int = RANGE_B
     job = F.md5(F.concat_ws(":", "path", "part").cast("binary"))
     units = index.withColumn("job", job).join(archives.select("path", "category", F.coalesce(F.col("year").cast("string"), F.lit("unknown-year")).alias("year")).dropDuplicates(["path"]), "path")
     before = converted(spark, folder).select("job")
-    todo = units.join(before, "job", "left_anti")
-    left = materialize(todo.select("job").distinct(), "units")
-    n = max(left.count(), 1)
+    columns = ["path", "inner_path", "member_pos", "offset", "size", "job", "part", "category", "year"]
+    todo = materialize(units.join(before, "job", "left_anti").select(*columns), "units")
+    left = todo.groupBy("job").agg(F.sum(F.col("size") + MEMBER_BYTES).alias("bytes"))
+    k, total = left.agg(F.count("*"), F.sum("bytes")).first()
+    n = max(1, min(k, max(-(-(total or 0) // RANGE_BYTES), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         # of each row what reading needs, and beside it the unit that it belongs to
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True))
         for (job_, path, part, category, year), unit in groupby(rows, itemgetter(5, 0, 6, 7, 8)):
+            if fs.get_file_info(f"{base}/done/{job_}.json").type != pafs.FileType.NotFound:  # by an attempt before
+                continue
             done = _convert(fs, f"{base}/units/{job_}", f"{category}_{year}", contents(r[:5] for r in unit), sections)
             mark = {"job": job_, "path": path, "part": part, "category": category, "year": year, **done}
             _put(fs, f"{base}/done", f"{job_}.json", json.dumps(mark).encode() + b"\n")
             yield pa.RecordBatch.from_pylist([{"job": job_}], pa.schema([("job", pa.string())]))
 
-    dealt = todo.repartition(n, "job").sortWithinPartitions("job", "path", "member_pos")
-    columns = ["path", "inner_path", "member_pos", "offset", "size", "job", "part", "category", "year"]
-    materialize(dealt.select(*columns).mapInArrow(run, "job string"), "converted")
+    # ranges of a digest: a unit is in one of them, and each has about as many members
+    dealt = todo.repartitionByRange(n, "job").sortWithinPartitions("job", "path", "member_pos")
+    dealt.mapInArrow(run, "job string").write.mode("overwrite").format("noop").save()
     return converted(spark, folder).join(left, "job", "left_semi")
 
 
+def _one_line(text: str) -> str:
+    """Runs of line ends, tabs and blanks become one blank, ends are stripped; a run is halved at a time, so any is done in linear time."""
+    for c in "\r\n\t":
+        text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip()
+
+
 def _put(fs: pafs.FileSystem, folder: str, name: str, data: bytes, make: bool = True) -> None:
     """A small file that is there whole or not at all; ``make`` its folder first."""
     if make:
@@ -162,7 +177,7 @@ def _convert(fs: pafs.FileSystem, folder: str, name: str, articles, sections) ->
             article = inner.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             counts["articles"] += 1
             for s, text in zip(_SECTIONS, sections(data), strict=True):
-                text = _LINE_BREAKS.sub(" ", text or "").strip()
+                text = _one_line(text or "")
                 if text:
                     out["pmcxtract", s].write(f"{article} {text}\n".encode())
                     out["pmcid", s].write(f"{article}\n".encode())

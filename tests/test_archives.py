@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import random
+import re
 import sys
 import tarfile
 
@@ -155,6 +157,68 @@ def test_a_broken_run_keeps_what_is_finished(spark, tmp_path):
     assert corpus.read_ids(spark, f"{tmp_path}/out/units").where("category = 'review'").count() > 0
 
 
+class Noted:
+    """An extraction that leaves a file for each task and counts articles in it."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, data):
+        from pyspark import TaskContext
+
+        with open(f"{self.folder}/{TaskContext.get().taskAttemptId()}", "a") as f:
+            f.write("x")
+        return section_texts(data)
+
+
+def test_units_share_tasks_and_one_with_its_mark_is_passed_over(spark, tmp_path, monkeypatch):
+    """A task for each unit cost more than small units themselves."""
+    rows = [("review", 2000 + k % 2, f"PMC{k}", f"<a><body>text {k}</body>{'x' * 2000}</a>".encode()) for k in range(1000)]
+    jobs = archives.export_tars(spark.createDataFrame(rows, "bucket string, year int, pmcid string, content binary"), f"file://{tmp_path}/in").select("path", F.lit("review").alias("category"), F.regexp_extract("path", "/([0-9]{4})/", 1).cast("int").alias("year"))
+    jobs = spark.createDataFrame(jobs.collect(), "path string, category string, year int")
+    for name in ("first", "second"):
+        (tmp_path / name).mkdir()
+    articles = lambda name: {f.name: len(f.read_text()) for f in (tmp_path / name).iterdir()}
+    out, unit, tasks = f"file://{tmp_path}/out", 1 << 15, 4 * spark.sparkContext.defaultParallelism
+    assert corpus.convert_archives(jobs, out, unit, Noted(f"{tmp_path}/first")).count() > 3 * tasks
+    first = articles("first")
+    assert sum(first.values()) == 1000 and len(first) <= tasks and max(first.values()) < 4 * 1000 / tasks
+    # as an attempt before has left them: marked since the run began, but for three
+    marks = sorted((tmp_path / "out/done").glob("*.json"))
+    for m in marks[:3]:
+        m.unlink()
+    real, calls = corpus.converted, []
+    monkeypatch.setattr(corpus, "converted", lambda s, f: calls.append(f) or (real(s, f) if len(calls) > 1 else s.createDataFrame([], corpus.DONE)))
+    assert corpus.convert_archives(jobs, out, unit, Noted(f"{tmp_path}/second")).count() == len(marks)
+    assert 0 < sum(articles("second").values()) < 100
+    assert sorted(r.line for r in corpus.read_converted(spark, out).collect()) == sorted(f"PMC{k} text {k}" for k in range(1000))
+
+
+def test_an_archive_is_a_task_of_its_own(spark, tmp_path):
+    """However few partitions the session shuffles to; the largest come first."""
+    rows = [(f"b{b}", None if b % 3 else 2000 + b, f"PMC{k}", b"x" * k) for b in range(20) for k in range(10 + 4 * b)]
+    written = archives.export_tars(spark.createDataFrame(rows, "bucket string, year int, pmcid string, content binary"), f"file://{tmp_path}/tars", max_members=50)
+    got = written.withColumn("task", F.spark_partition_id()).orderBy("task").collect()
+    assert len({r.task for r in got}) == len(got) > 20 and "/b19/" in got[0].path
+    assert sum(r.members for r in got) == len(rows)
+    read = archives.members(spark.createDataFrame([(r.path,) for r in got], "path string"))
+    place = F.regexp_extract("src_tar", "/(b[0-9]+)/([^/]+)/[^/]+$", 1), F.regexp_extract("src_tar", "/(b[0-9]+)/([^/]+)/[^/]+$", 2)
+    assert sorted((r[0], r[1], r.inner_path, bytes(r.content)) for r in read.select(*place, "inner_path", "content").collect()) == sorted((b, str(y) if y else "unknown-year", f"{p}.xml", c) for b, y, p, c in rows)
+
+
+def test_texts_on_one_line():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        s = "".join(rng.choices(" \t\r\nab\x0b\u3000", k=rng.randrange(14)))
+        assert corpus._one_line(s) == re.sub("[\r\n\t ]+", " ", s).strip()
+
+
+def test_characters_that_xml_allows(spark):
+    every = "".join(chr(k) for k in [*range(0xD800), *range(0xE000, 0x10000), 0x10000, 0x1F600, 0x10FFFF])
+    a, b = spark.createDataFrame([(every,)], "t string").select(*(F.regexp_replace("t", p, "") for p in (connectors._FORBIDDEN, connectors._NOT_XML))).first()
+    assert a == b and len(every) - len(a) == 31
+
+
 def stored(spark, store):
     parts = store.parts()
     found = archives.members(parts).withColumnRenamed("src_tar", "path").join(parts, "path")
