@@ -7,6 +7,7 @@ import gzip
 import io
 import tarfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -280,14 +281,28 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(router.table("skipped").select(F.nullif("pmcid", F.lit("")).alias("pmcid"), "src_tar", "reason"))
 
 
+#: Spark's readers drop a byte order mark that begins a file, so files have escapes for it and for the character that begins an escape.
+_ESCAPES = (("\x1a", "\x1a0"), ("\ufeff", "\x1a1"))
+
+
+def _without_bom(c: Column) -> Column:
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES, c)
+
+
+def _with_bom(c: Column) -> Column:
+    plain = reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(_ESCAPES), c)
+    return F.when(F.contains(c, F.lit("\x1a")), plain).otherwise(c)
+
+
 @query(f"SELECT coalesce(lang, 'none') AS lang, sha256(line) AS digest FROM (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n')) AS line FROM documents) WHERE {_TRIM('line')} <> ''")
 def folder_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts in files by language, rewritten in place without blank lines."""
     folder = shared_path(spark, "texts")
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    # a folder's name begins with a letter, as Spark takes "01" for a number and "" for null
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("l"), F.coalesce("lang", F.lit("none"))).alias("lang"), _without_bom(F.coalesce("text", F.lit(""))).alias("value"))
     docs.write.partitionBy("lang").text(folder)
     corpus.rewrite_without_blank_lines(spark, folder)
-    lines = spark.read.text(folder).select(F.col("lang").cast("string").alias("lang"), F.sha2("value", 256).alias("digest"))
+    lines = spark.read.text(folder).select(F.substring("lang", 2, F.length("lang")).alias("lang"), F.sha2(_with_bom(F.col("value")), 256).alias("digest"))
     return lines
 
 

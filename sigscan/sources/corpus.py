@@ -6,7 +6,7 @@ import io
 import json
 import uuid
 from collections.abc import Callable
-from contextlib import ExitStack
+from contextlib import ExitStack, suppress
 from itertools import groupby
 from operator import itemgetter
 
@@ -165,6 +165,15 @@ def _put(fs: pafs.FileSystem, folder: str, name: str, data: bytes, make: bool =
     fs.move(temp, f"{folder}/{name}")
 
 
+def _replace(fs: pafs.FileSystem, temp: str, path: str) -> None:
+    """``temp`` takes the name of a file that is there. Spark's local writer leaves a checksum beside a file, which does not hold for other bytes: its readers would refuse them. It goes first, as a file without one is read as it is."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        head, _, name = path.rpartition("/")
+        with suppress(FileNotFoundError):  # none was written, or another attempt removed it
+            fs.delete_file(f"{head}/.{name}.crc")
+    fs.move(temp, path)
+
+
 def _convert(fs: pafs.FileSystem, folder: str, name: str, articles, sections) -> dict[str, int]:
     """Write a unit's four files; what an attempt before left under other names goes."""
     attempt = f"{folder}/.{uuid.uuid4().hex}"
@@ -233,7 +242,8 @@ def rewrite_without_blank_lines(spark: SparkSession, folder: str, glob: str = "*
     A task rewrites a file at a time, a line at a time: to a file beside it, which
     is read again and must hold as many lines as were kept before it takes the
     file's name. So a run that is broken off leaves each file as it was or as it
-    shall be, and the next run does the rest.
+    shall be, and the next run does the rest. A checksum that Spark wrote beside
+    the file goes with the old lines.
     """
     ship(spark)
     files = list_files(spark, folder, glob).where("size > 0")
@@ -257,7 +267,7 @@ def rewrite_without_blank_lines(spark: SparkSession, folder: str, glob: str = "*
                             kept += 1
                 if sum(1 for _ in lines(fs, temp)) != kept:
                     raise OSError(f"{uri} was not rewritten whole")
-                fs.move(temp, path)
+                _replace(fs, temp, path)
                 out.append({"path": uri, "lines": n, "kept": kept})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("lines", pa.int64()), ("kept", pa.int64())]))
 

@@ -250,6 +250,16 @@ def test_folders_are_rewritten(spark, tmp_path, monkeypatch):
     assert read() == want
 
 
+def test_rewritten_files_are_read_by_spark(spark, tmp_path):
+    folder = f"{tmp_path}/t"
+    texts = [("a\n\nb\r\n \t\nc", 0), ("\n", 1), ("", 0), ("kept\nas it is", 1)] * 3
+    spark.createDataFrame(texts, "value string, k int").repartition(3).write.partitionBy("k").text(folder)
+    assert any((tmp_path / "t").rglob("*.txt.crc"))
+    for _ in range(2):
+        corpus.rewrite_without_blank_lines(spark, folder)
+        assert sorted(r.value for r in spark.read.text(folder).collect()) == sorted(["a", "b", "c", "kept", "as it is"] * 3)
+
+
 def test_ordered_distinct_lines_as_files(spark, tmp_path):
     lines = [(k % 3, k, f"l{k * k % 50}" if k % 9 else "") for k in range(300)]
     df = spark.createDataFrame(lines, "file int, k int, line string").repartition(7)
